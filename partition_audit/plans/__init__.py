@@ -1,0 +1,3 @@
+from partition_audit.plans.jobs import data_compare, data_validation
+
+__all__ = ["data_compare", "data_validation"]

@@ -1,0 +1,86 @@
+"""Composite jobs: reconciliation of two tables and quality check of one."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from partition_audit.functions import metric_rows, null_count
+from partition_audit.operators.compare import compared_columns, diff_totals, key_tally
+
+
+def data_compare(
+    src: DataFrame,
+    tgt: DataFrame,
+    keys: Sequence[str],
+    compare: Sequence[str] | None = None,
+    pairing: str = "one_to_one",
+) -> DataFrame:
+    """Counts, repeated keys and diff classes of both sides, one row per metric.
+
+    Every metric comes out of the same per-key tally: each table is read once.
+    """
+    cols = compared_columns(src, tgt, keys, compare, pairing)
+    totals = key_tally(src, tgt, keys, cols).agg(
+        F.sum("s").alias("source_count"),
+        F.sum("t").alias("target_count"),
+        F.count(F.when(F.col("s") > 1, 1)).alias("source_duplicate_keys"),
+        F.count(F.when(F.col("t") > 1, 1)).alias("target_duplicate_keys"),
+        *diff_totals(pairing),
+    )
+    metrics = [
+        "source_count",
+        "target_count",
+        "source_duplicate_keys",
+        "target_duplicate_keys",
+        "only_source",
+        "only_target",
+        "changed",
+        "same",
+    ]
+    return metric_rows(totals, ["metric"], [((m,), F.col(m)) for m in metrics], "value")
+
+
+def data_validation(
+    df: DataFrame, null_columns: Sequence[str], key_sets: Sequence[Sequence[str]]
+) -> DataFrame:
+    """Row count, NULL count per column and repeated values per key set, one row per check.
+
+    All key sets are grouped in one pass (grouping sets), so the input is computed once; the row and
+    NULL counts ride along with the first set.
+    """
+    sets = [list(dict.fromkeys(keys)) for keys in key_sets]
+    if len({frozenset(s) for s in sets}) != len(sets) or not all(sets):
+        raise ValueError("key sets must be non-empty and different")
+    names = list(dict.fromkeys(name for keys in sets for name in keys))
+    nulls = [null_count(c).alias(f"nulls{i}") for i, c in enumerate(null_columns)]
+    if not sets:
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), *nulls)
+        duplicates = []
+    else:
+        codes = [sum(2**i for i, n in enumerate(reversed(names)) if n not in keys) for keys in sets]
+        grouped = df.groupingSets(sets, *names).agg(
+            F.grouping_id().alias("set_code"), F.count(F.lit(1)).alias("rows"), *nulls
+        )
+        head = F.col("set_code") == codes[0]
+        counts = grouped.agg(
+            *[
+                F.sum(F.when(head, F.col(c))).alias(c)
+                for c in ["rows", *[f"nulls{i}" for i in range(len(null_columns))]]
+            ],
+            *[
+                F.count(F.when((F.col("set_code") == code) & (F.col("rows") > 1), 1)).alias(f"repeated{i}")
+                for i, code in enumerate(codes)
+            ],
+        )
+        duplicates = [
+            (("duplicate_keys", ",".join(keys)), F.col(f"repeated{i}")) for i, keys in enumerate(sets)
+        ]
+    checks = [
+        (("row_count", "*"), F.col("rows")),
+        *[(("null_count", c), F.col(f"nulls{i}")) for i, c in enumerate(null_columns)],
+        *duplicates,
+    ]
+    return metric_rows(counts, ["check_name", "column_name"], checks, "value")

@@ -1,0 +1 @@
+"""Empty on purpose: the work this library covers has no stream, window or watermark in it."""
