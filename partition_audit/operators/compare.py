@@ -19,12 +19,13 @@ a large share of all rows is spread over all reducers.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partition_audit.functions import any_null, changed_list, metric_rows
+from partition_audit.functions import any_null, changed_list, differs, metric_rows
 from partition_audit.operators.frames import check_same_types, compare_columns
 from partition_audit.session import shuffle_width
 
@@ -54,6 +55,48 @@ def anti_join(
     return src.join(wanted, list(keys), "left_anti").select(*src.columns)
 
 
+@dataclass(frozen=True)
+class Sides:
+    """Both tables cut down to key and compared columns; maps are held as sorted entry lists."""
+
+    src: DataFrame
+    tgt: DataFrame
+    keys: list[str]
+    cols: list[str]
+    maps: frozenset[str]
+
+
+def align(
+    src: DataFrame,
+    tgt: DataFrame,
+    keys: Sequence[str],
+    compare: Sequence[str] | None = None,
+    pairing: str = "one_to_one",
+) -> Sides:
+    """Check names and types and project both sides to what is compared."""
+    if not keys:
+        raise ValueError("at least one key column is needed")
+    if pairing not in PAIRINGS:
+        raise ValueError(f"pairing must be one of {PAIRINGS}")
+    listed = compare_columns(src, tgt) if compare is None else list(compare)
+    keys, cols = list(keys), [c for c in listed if c not in set(keys)]
+    for side, df in (("source", src), ("target", tgt)):
+        if missing := [c for c in [*keys, *cols] if c not in df.columns]:
+            raise ValueError(f"columns missing in the {side}: {missing}")
+    check_same_types(src, tgt, [*keys, *cols])
+    names = [*keys, "diff_type", "changed_columns", *_side_names(cols)]
+    if len(set(names)) != len(names):
+        raise ValueError(f"report columns clash: {names}")
+    maps = frozenset(c for c in cols if isinstance(src.schema[c].dataType, T.MapType))
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.select(
+            *keys, *[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in cols]
+        )
+
+    return Sides(cut(src), cut(tgt), keys, cols, maps)
+
+
 def data_diff(
     src: DataFrame,
     tgt: DataFrame,
@@ -66,16 +109,14 @@ def data_diff(
 
     `changed_columns` is comma-joined in compare-column order and NULL for unmatched rows.
     """
-    cols = compared_columns(src, tgt, keys, compare, pairing)
+    sides = align(src, tgt, keys, compare, pairing)
     if pairing == "sql":
-        typed = _outer_join(src, tgt, keys, cols)
-        if not include_same:
-            typed = typed.where(F.col("diff_type") != "same")
-        return _report(typed, keys, cols)
-    versions = _versions(src, tgt, keys, cols)
-    report = _report(_paired_rest(versions, keys, cols), keys, cols)
+        typed = _outer_join(sides)
+        return _report(typed if include_same else typed.where("__type != 'same'"), sides)
+    versions = _versions(sides)
+    report = _report(_paired_rest(versions, sides), sides)
     if include_same:
-        report = report.unionByName(_report(_matched(versions, keys, cols), keys, cols))
+        report = report.unionByName(_report(_matched(versions, sides), sides))
     return report
 
 
@@ -87,10 +128,8 @@ def data_diff_summary(
     pairing: str = "one_to_one",
 ) -> DataFrame:
     """Row count per `diff_type` (types that do not occur are left out). Pairs are never built."""
-    cols = compared_columns(src, tgt, keys, compare, pairing)
-    totals = key_tally(src, tgt, keys, cols, settle_same=pairing == "one_to_one").agg(
-        *diff_totals(pairing)
-    )
+    sides = align(src, tgt, keys, compare, pairing)
+    totals = key_tally(sides, settle_same=pairing == "one_to_one").agg(*diff_totals(pairing))
     rows = [((name,), F.col(name)) for name in DIFF_TYPES]
     return metric_rows(totals, ["diff_type"], rows, "cnt").where("cnt > 0")
 
@@ -98,44 +137,38 @@ def data_diff_summary(
 def data_diff_columns(
     src: DataFrame, tgt: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None
 ) -> DataFrame:
-    """Per compared column, the number of matched rows in which it differs."""
-    cols = compared_columns(src, tgt, keys, compare, "one_to_one")
-    rest = _paired_rest(_versions(src, tgt, keys, cols), keys, cols)
-    counts = rest.where(F.col("diff_type") == "changed").agg(
+    """Per compared column, the number of `changed` rows in which it differs."""
+    sides = align(src, tgt, keys, compare)
+    changed = _paired_rest(_versions(sides), sides).where("__type = 'changed'")
+    counts = changed.agg(
         *[
-            F.count(F.when(~F.col("src")[c].eqNullSafe(F.col("tgt")[c]), 1)).alias(f"m{i}")
-            for i, c in enumerate(cols)
+            F.count(F.when(differs(F.col("__src")[c], F.col("__tgt")[c]), 1)).alias(f"m{i}")
+            for i, c in enumerate(sides.cols)
         ]
     )
-    rows = [((c,), F.col(f"m{i}")) for i, c in enumerate(cols)]
+    rows = [((c,), F.col(f"m{i}")) for i, c in enumerate(sides.cols)]
     return metric_rows(counts, ["column_name"], rows, "mismatch_count")
 
 
-def key_tally(
-    src: DataFrame,
-    tgt: DataFrame,
-    keys: Sequence[str],
-    cols: Sequence[str],
-    settle_same: bool = False,
-) -> DataFrame:
+def key_tally(sides: Sides, settle_same: bool = False) -> DataFrame:
     """Per key: copies in source (`s`) and target (`t`), matching copies (`m`) and pairs (`mp`).
 
     With `settle_same`, rows that fully match are not kept apart by key. They leave the map side of
     the second shuffle as one row per task, so that shuffle carries only differing keys.
     """
-    versions = _versions(src, tgt, keys, cols)
-    groups = [F.col(k) for k in keys] + [F.col("__lone")]
+    groups = [F.col(name) for name in [*sides.keys, "__lone"]]
     if settle_same:
-        open_row = F.col("s") != F.col("t")
+        open_row = F.col("__s") != F.col("__t")
         groups = [F.when(open_row, g).alias(f"__g{i}") for i, g in enumerate(groups)]
         groups.append(open_row.alias("__open"))
     wide = T.DecimalType(19, 0)
-    return versions.groupBy(*groups).agg(
-        F.sum("s").alias("s"),
-        F.sum("t").alias("t"),
-        F.sum(F.least("s", "t")).alias("m"),
-        F.sum(F.col("s").cast(wide) * F.col("t").cast(wide)).alias("mp"),
+    tally = _versions(sides).groupBy(*groups).agg(
+        F.sum("__s").alias("s"),
+        F.sum("__t").alias("t"),
+        F.sum(F.least("__s", "__t")).alias("m"),
+        F.sum(F.col("__s").cast(wide) * F.col("__t").cast(wide)).alias("mp"),
     )
+    return tally.select("s", "t", "m", "mp")
 
 
 def diff_totals(pairing: str = "one_to_one") -> list[Column]:
@@ -156,147 +189,152 @@ def diff_totals(pairing: str = "one_to_one") -> list[Column]:
     ]
 
 
-def compared_columns(
-    src: DataFrame, tgt: DataFrame, keys: Sequence[str], compare: Sequence[str] | None, pairing: str
-) -> list[str]:
-    """Non-key columns to compare, after checking names and types."""
-    if not keys:
-        raise ValueError("at least one key column is needed")
-    if pairing not in PAIRINGS:
-        raise ValueError(f"pairing must be one of {PAIRINGS}")
-    listed = compare_columns(src, tgt) if compare is None else list(compare)
-    cols = [c for c in listed if c not in set(keys)]
-    for side, df in (("source", src), ("target", tgt)):
-        if missing := [c for c in [*keys, *cols] if c not in df.columns]:
-            raise ValueError(f"columns missing in the {side}: {missing}")
-    check_same_types(src, tgt, [*keys, *cols])
-    names = [*keys, "diff_type", "changed_columns", *[f"{c}{end}" for c in cols for end in ("_src", "_tgt")]]
-    if len(set(names)) != len(names):
-        raise ValueError(f"report columns clash: {names}")
-    return cols
+def _side_names(cols: Sequence[str]) -> list[str]:
+    return [f"{c}_{end}" for c in cols for end in ("src", "tgt")]
 
 
 def _values(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols]) if cols else F.struct(F.lit(True).alias("__none"))
 
 
-def _versions(src: DataFrame, tgt: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Distinct (key, values) with the copies on each side.
+def _versions(sides: Sides) -> DataFrame:
+    """Distinct (key, values) with the copies on each side in `__s` and `__t`.
 
     `__lone` holds the side of a NULL-key row, so such rows are counted but never cancel out.
     """
 
     def side(df: DataFrame, from_source: bool) -> DataFrame:
         return df.select(
-            *keys,
-            *cols,
-            F.when(any_null(keys), F.lit(from_source)).alias("__lone"),
-            F.lit(int(from_source)).cast("bigint").alias("s"),
-            F.lit(int(not from_source)).cast("bigint").alias("t"),
+            *sides.keys,
+            *sides.cols,
+            F.when(any_null(sides.keys), F.lit(from_source)).alias("__lone"),
+            F.lit(int(from_source)).cast("bigint").alias("__s"),
+            F.lit(int(not from_source)).cast("bigint").alias("__t"),
         )
 
     return (
-        side(src, True)
-        .unionByName(side(tgt, False))
-        .groupBy(*keys, *cols, "__lone")
-        .agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+        side(sides.src, True)
+        .unionByName(side(sides.tgt, False))
+        .groupBy(*sides.keys, *sides.cols, "__lone")
+        .agg(F.sum("__s").alias("__s"), F.sum("__t").alias("__t"))
     )
 
 
-def _paired_rest(versions: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Differing rows as (keys, diff_type, src struct, tgt struct)."""
-    salts = shuffle_width(versions.sparkSession)
-    hashable = [c for c in cols if "map<" not in versions.schema[c].dataType.simpleString()]
+def _paired_rest(versions: DataFrame, sides: Sides) -> DataFrame:
+    """Differing rows as (keys, __type, __src struct, __tgt struct)."""
+    keys, salts = sides.keys, shuffle_width(versions.sparkSession)
+    in_src, copies, values = F.col("__in_src"), F.col("__copies"), F.col("__values")
     left_over = _chunked(
-        versions.where(F.col("s") != F.col("t"))
-        .withColumn("in_src", F.col("s") > F.col("t"))
-        .withColumn("copies", F.abs(F.col("s") - F.col("t")))
-    ).withColumn("salt", F.pmod(F.xxhash64(*hashable, "chunk"), F.lit(salts)).cast("int"))
+        versions.where(F.col("__s") != F.col("__t")).select(
+            *keys,
+            _values(sides.cols).alias("__values"),
+            (F.col("__s") > F.col("__t")).alias("__in_src"),
+            F.abs(F.col("__s") - F.col("__t")).alias("__copies"),
+        )
+    ).withColumn(
+        "__salt", F.pmod(F.xxhash64("__values", "__chunk"), F.lit(salts)).cast("int")
+    )
 
     # At most two rows per (key, side, salt) go on to the key's own group: two already show that
     # the key has no single row left, so all others are settled as unmatched where they are.
-    nth = F.row_number().over(Window.partitionBy(*keys, "in_src", "salt").orderBy("chunk"))
-    settled = any_null(keys) | (F.col("nth") > 2)
-    lanes = left_over.withColumn("nth", nth).withColumn(
-        "lane", F.when(settled, F.col("salt")).otherwise(F.lit(-1))
+    nth = F.row_number().over(Window.partitionBy(*keys, "__in_src", "__salt").orderBy("__chunk"))
+    settled = any_null(keys) | (nth > 2)
+    lanes = left_over.select(
+        *keys,
+        values,
+        in_src,
+        copies,
+        F.when(settled, F.col("__salt")).otherwise(-1).alias("__lane"),
     )
-    group = Window.partitionBy(*keys, "lane")
-    in_src, copies, values = F.col("in_src"), F.col("copies"), _values(cols)
+    group = Window.partitionBy(*keys, "__lane")
+    pair = (F.col("__lane") == -1) & (F.col("__n_src") == 1) & (F.col("__n_tgt") == 1)
     judged = (
-        lanes.withColumn("n_src", F.sum(F.when(in_src, copies).otherwise(0)).over(group))
-        .withColumn("n_tgt", F.sum(F.when(in_src, 0).otherwise(copies)).over(group))
-        .withColumn("partner", F.first(F.when(~in_src, values), ignorenulls=True).over(group))
-        .withColumn(
-            "pair", (F.col("lane") == -1) & (F.col("n_src") == 1) & (F.col("n_tgt") == 1)
+        lanes.withColumns(
+            {
+                "__n_src": F.sum(F.when(in_src, copies).otherwise(0)).over(group),
+                "__n_tgt": F.sum(F.when(in_src, 0).otherwise(copies)).over(group),
+                "__partner": F.first(F.when(~in_src, values), ignorenulls=True).over(group),
+            }
         )
-        .where(in_src | ~F.col("pair"))
+        .withColumn("__pair", pair)
+        .where(in_src | ~F.col("__pair"))
     )
+    kind = F.when(F.col("__pair"), "changed").when(in_src, "only_source").otherwise("only_target")
     typed = judged.select(
         *keys,
-        F.when(F.col("pair"), "changed")
-        .when(in_src, "only_source")
-        .otherwise("only_target")
-        .alias("diff_type"),
-        F.when(in_src, values).alias("src"),
-        F.when(F.col("pair"), F.col("partner")).when(~in_src, values).alias("tgt"),
-        "copies",
+        kind.alias("__type"),
+        F.when(in_src, values).alias("__src"),
+        F.when(F.col("__pair"), F.col("__partner")).when(~in_src, values).alias("__tgt"),
+        copies,
     )
     return _repeated(typed)
 
 
-def _matched(versions: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def _matched(versions: DataFrame, sides: Sides) -> DataFrame:
     """Rows present on both sides. Only the copies beyond one chunk are spread by a shuffle."""
-    both = versions.where(F.least("s", "t") > 0).select(
-        *keys,
-        F.lit("same").alias("diff_type"),
-        _values(cols).alias("src"),
-        _values(cols).alias("tgt"),
-        F.least("s", "t").alias("copies"),
+    copies = F.least("__s", "__t").alias("__copies")
+    both = versions.where(F.least("__s", "__t") > 0).select(
+        *sides.keys,
+        F.lit("same").alias("__type"),
+        _values(sides.cols).alias("__src"),
+        _values(sides.cols).alias("__tgt"),
+        copies,
     )
-    first = both.withColumn("copies", F.least("copies", F.lit(COPIES_PER_CHUNK)))
-    beyond = _chunked(both.where(F.col("copies") > COPIES_PER_CHUNK)).where(F.col("chunk") > 0)
-    return _repeated(first).unionByName(_repeated(beyond.repartition(*keys, "chunk").drop("chunk")))
+    first = both.withColumn("__copies", F.least("__copies", F.lit(COPIES_PER_CHUNK)))
+    beyond = _chunked(both.where(F.col("__copies") > COPIES_PER_CHUNK)).where("__chunk > 0")
+    spread = beyond.repartition(*sides.keys, "__chunk").drop("__chunk")
+    return _repeated(first).unionByName(_repeated(spread))
 
 
 def _chunked(df: DataFrame) -> DataFrame:
     """Split a row standing for many copies into rows of at most COPIES_PER_CHUNK copies."""
-    size = F.lit(COPIES_PER_CHUNK).cast("bigint")
-    last = F.floor((F.col("copies") - 1) / size)
-    return df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn(
-        "copies", F.least(size, F.col("copies") - F.col("chunk") * size)
-    )
+    size = COPIES_PER_CHUNK
+    chunks = F.expr(f"explode(sequence(0L, (__copies - 1) div {size}))")
+    part = F.expr(f"least({size}L, __copies - __chunk * {size}L)")
+    return df.withColumn("__chunk", chunks).withColumn("__copies", part)
 
 
 def _repeated(df: DataFrame) -> DataFrame:
     """One output row per copy."""
-    copies = F.sequence(F.lit(1).cast("bigint"), F.col("copies"))
-    return df.withColumn("copy", F.explode(copies)).drop("copy", "copies")
+    kept = [c for c in df.columns if c != "__copies"]
+    return df.select(*kept, F.expr("explode(sequence(1L, __copies))").alias("__copy")).drop("__copy")
 
 
-def _outer_join(src: DataFrame, tgt: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def _outer_join(sides: Sides) -> DataFrame:
     """The literal full outer join. A struct per side marks presence, so NULL keys stay apart."""
-    left = src.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], _values(cols).alias("src"))
-    right = tgt.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(keys)], _values(cols).alias("tgt"))
-    equal = [F.col(f"__s{i}") == F.col(f"__t{i}") for i in range(len(keys))]
-    diff_type = (
-        F.when(F.col("tgt").isNull(), "only_source")
-        .when(F.col("src").isNull(), "only_target")
-        .when(~F.col("src").eqNullSafe(F.col("tgt")), "changed")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        keys = [F.col(k).alias(f"__{name}{i}") for i, k in enumerate(sides.keys)]
+        return df.select(*keys, _values(sides.cols).alias(f"__{name}"))
+
+    places = range(len(sides.keys))
+    src, tgt = F.col("__src"), F.col("__tgt")
+    kind = (
+        F.when(tgt.isNull(), "only_source")
+        .when(src.isNull(), "only_target")
+        .when(differs(src, tgt), "changed")
         .otherwise("same")
     )
-    return left.join(right, equal, "full_outer").select(
-        *[F.coalesce(f"__s{i}", f"__t{i}").alias(k) for i, k in enumerate(keys)],
-        diff_type.alias("diff_type"),
-        "src",
-        "tgt",
+    equal = [F.col(f"__src{i}") == F.col(f"__tgt{i}") for i in places]
+    return side(sides.src, "src").join(side(sides.tgt, "tgt"), equal, "full_outer").select(
+        *[F.coalesce(f"__src{i}", f"__tgt{i}").alias(sides.keys[i]) for i in places],
+        kind.alias("__type"),
+        src,
+        tgt,
     )
 
 
-def _report(typed: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    changed = F.when(
-        F.col("src").isNotNull() & F.col("tgt").isNotNull(), changed_list(cols, "src", "tgt")
+def _report(typed: DataFrame, sides: Sides) -> DataFrame:
+    both = F.col("__src").isNotNull() & F.col("__tgt").isNotNull()
+    values = []
+    for c in sides.cols:
+        for end in ("src", "tgt"):
+            value = F.col(f"__{end}")[c]
+            value = F.map_from_entries(value) if c in sides.maps else value
+            values.append(value.alias(f"{c}_{end}"))
+    return typed.select(
+        *sides.keys,
+        F.col("__type").alias("diff_type"),
+        F.when(both, changed_list(sides.cols, "__src", "__tgt")).alias("changed_columns"),
+        *values,
     )
-    sides = [
-        F.col(side)[c].alias(f"{c}_{side}") for c in cols for side in ("src", "tgt")
-    ]
-    return typed.select(*keys, "diff_type", changed.alias("changed_columns"), *sides)

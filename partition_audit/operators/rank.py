@@ -28,6 +28,8 @@ def group_top_n(
     larger `n` a hot group is first cut to `n` rows in each of `salts` parts, so no task receives
     more than `salts * n` rows of it.
     """
+    if "rn" in df.columns:
+        raise ValueError("the input already has a column 'rn'")
     order = [*order_cols, *tie_break]
     if salts is None:
         salts = 1 if n <= DIRECT_LIMIT else shuffle_width(df.sparkSession)

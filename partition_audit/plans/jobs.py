@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partition_audit.functions import metric_rows, null_count
-from partition_audit.operators.compare import compared_columns, diff_totals, key_tally
+from partition_audit.operators.compare import align, diff_totals, key_tally
 
 
 def data_compare(
@@ -22,8 +22,7 @@ def data_compare(
 
     Every metric comes out of the same per-key tally: each table is read once.
     """
-    cols = compared_columns(src, tgt, keys, compare, pairing)
-    totals = key_tally(src, tgt, keys, cols).agg(
+    totals = key_tally(align(src, tgt, keys, compare, pairing)).agg(
         F.sum("s").alias("source_count"),
         F.sum("t").alias("target_count"),
         F.count(F.when(F.col("s") > 1, 1)).alias("source_duplicate_keys"),

@@ -36,24 +36,25 @@ def events_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.day_slice(_event_rows(spark, sf_dir), "ts", DAY)
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
-
-
-def orders_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_v2(orders: DataFrame) -> DataFrame:
     """A changed copy of `orders`: keys removed and added, a value changed, a value turned NULL."""
     key = F.col("o_orderkey")
-    kept = orders(spark, sf_dir).where(key % 17 != 0)
-    changed = kept.withColumns(
+    changed = orders.where(key % 17 != 0).withColumns(
         {
             "o_orderstatus": F.when(key % 13 == 0, "X").otherwise(F.col("o_orderstatus")),
             "o_totalprice": F.when(key % 29 != 0, F.col("o_totalprice")),
         }
     )
-    added = orders(spark, sf_dir).where(key < 20).withColumn("o_orderkey", -1 - key)
+    added = orders.where(key < 20).withColumn("o_orderkey", -1 - key)
     return changed.unionByName(added)
 
 
+def order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Source, target and key of the comparison queries."""
+    source = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    return source, orders_v2(source), ["o_orderkey"]
+
+
 def documents_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and their labels; NULL where a document has none."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -123,15 +124,15 @@ def _union_merge(spark, sf_dir):
 
 
 def _data_diff(spark, sf_dir):
-    return op.data_diff(orders(spark, sf_dir), orders_v2(spark, sf_dir), ["o_orderkey"])
+    return op.data_diff(*order_versions(spark, sf_dir))
 
 
 def _data_diff_summary(spark, sf_dir):
-    return op.data_diff_summary(orders(spark, sf_dir), orders_v2(spark, sf_dir), ["o_orderkey"])
+    return op.data_diff_summary(*order_versions(spark, sf_dir))
 
 
 def _data_diff_columns(spark, sf_dir):
-    return op.data_diff_columns(orders(spark, sf_dir), orders_v2(spark, sf_dir), ["o_orderkey"])
+    return op.data_diff_columns(*order_versions(spark, sf_dir))
 
 
 def _data_clean(spark, sf_dir):
@@ -163,7 +164,7 @@ def _alter_table(spark, sf_dir):
 
 
 def _data_compare(spark, sf_dir):
-    return data_compare(orders(spark, sf_dir), orders_v2(spark, sf_dir), ["o_orderkey"])
+    return data_compare(*order_versions(spark, sf_dir))
 
 
 def _data_validation(spark, sf_dir):

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Without it every column expression costs extra driver round trips to record its call site.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Partition values such as '2026-03-08' stay text; '2026-03-08-temp' is not a date.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
