@@ -34,6 +34,8 @@ PAIRINGS = ("one_to_one", "sql")
 
 # Copies of one row that a single task writes out before the rest is spread over other tasks.
 COPIES_PER_CHUNK = 10_000
+# Salts per reducer: several, so that hashing the parts of a hot key fills the reducers evenly.
+SALTS_PER_REDUCER = 8
 # Parts of the target's key set during its first de-duplication.
 KEY_PARTS = 16
 
@@ -222,7 +224,7 @@ def _versions(sides: Sides) -> DataFrame:
 
 def _paired_rest(versions: DataFrame, sides: Sides) -> DataFrame:
     """Differing rows as (keys, __type, __src struct, __tgt struct)."""
-    keys, salts = sides.keys, shuffle_width(versions.sparkSession)
+    keys, salts = sides.keys, SALTS_PER_REDUCER * shuffle_width(versions.sparkSession)
     in_src, copies, values = F.col("__in_src"), F.col("__copies"), F.col("__values")
     left_over = _chunked(
         versions.where(F.col("__s") != F.col("__t")).select(

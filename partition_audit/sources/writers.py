@@ -152,7 +152,8 @@ def change_schema(
 
     Added columns are a metadata change. A rename or a new type needs the rows rewritten: they go to
     a sibling table, which takes over the name once it is complete. The rewrite keeps the input's
-    layout and has no shuffle. The old table stays as `<name>__before` if the swap is interrupted.
+    layout and has no shuffle. The old table stays as `<name>__before` until the new one is found to
+    hold as many rows under its final name.
     """
     if is_path(target):
         raise ValueError("schema changes by path: write evolve_schema(...) to a new path")
@@ -169,6 +170,14 @@ def change_schema(
     writer.mode("errorifexists").saveAsTable(fresh)
     spark.sql(f"ALTER TABLE {target} RENAME TO {before}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {target}")
+    for table in (target, before):
+        if col in evolved.columns:
+            # Not every catalog moves the partitions' locations along with the table's name.
+            spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+        spark.catalog.refreshTable(table)
+    kept, expected = (spark.table(table).count() for table in (target, before))
+    if kept != expected:
+        raise RuntimeError(f"{target} holds {kept} rows, {before} {expected}; {before} was kept")
     spark.sql(f"DROP TABLE {before}")
 
 

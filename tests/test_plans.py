@@ -1,0 +1,158 @@
+"""What the plans look like: pruning, pushdown, scans, shuffles and behaviour under hot keys."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import partition_audit as pa
+from partition_audit.operators.compare import _paired_rest, _versions, align
+from partition_audit.plans import registry
+from tests.conftest import rows_of
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df):
+    """The plan adaptive execution ended with."""
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+@pytest.fixture
+def settings(spark):
+    """Change session settings for one test."""
+    before = {}
+
+    def change(**values):
+        for name, value in values.items():
+            key = "spark.sql." + name.replace("__", ".")
+            before[key] = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_day_filter_reaches_the_scan(spark):
+    text = plan(registry.QUERIES["field_dist"](spark, SF_DIR))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024-01-08", text)
+    assert re.search(r"ReadSchema: struct<ts:timestamp_ntz,event_type:string>", text)
+
+
+@pytest.mark.parametrize(
+    "name,columns",
+    [
+        ("repeat_check", "struct<l_orderkey:bigint,l_linenumber:int>"),
+        ("check_field_len", "struct<doc_id:bigint,text:string>"),
+        ("group_top_n", "struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>"),
+        ("partition_size", "struct<path:string,length:bigint>"),
+        ("batch_data_num", "struct<>"),
+    ],
+)
+def test_scans_read_only_what_is_needed(spark, name, columns):
+    assert f"ReadSchema: {columns}" in plan(registry.QUERIES[name](spark, SF_DIR))
+
+
+@pytest.mark.parametrize(
+    "name,scans",
+    [("null_checks", 2), ("data_validation", 2), ("data_clean", 1), ("move_partition", 1), ("data_diff", 3),
+     ("data_compare", 3), ("data_diff_columns", 3), ("data_diff_summary", 3)],
+)
+def test_each_input_is_scanned_once(spark, name, scans):
+    """orders_v2 is itself a union of two reads of orders, hence three for the comparisons."""
+    assert plan(registry.QUERIES[name](spark, SF_DIR)).count("FileScan") == scans
+
+
+@pytest.mark.parametrize("name", ["data_clean", "move_partition", "drop_partition", "alter_table", "union_merge"])
+def test_row_changes_do_not_shuffle(spark, name):
+    assert "Exchange" not in plan(registry.QUERIES[name](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_no_python_and_no_cartesian_in_any_plan(spark, name):
+    text = plan(registry.QUERIES[name](spark, SF_DIR))
+    assert not re.search("Python|CartesianProduct|NestedLoop", text)
+
+
+def test_top_rows_are_cut_before_the_shuffle(spark):
+    text = plan(registry.QUERIES["group_top_n"](spark, SF_DIR))
+    assert text.count("WindowGroupLimit") == 2
+    assert "TakeOrderedAndProject" in plan(registry.QUERIES["check_field_len"](spark, SF_DIR))
+
+
+def test_large_top_n_is_cut_in_parts(spark):
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") % 3 > 0).cast("int").alias("g"), "id")
+    top = pa.group_top_n(df, ["g"], [F.desc("id")], 5_000, tie_break=["id"])
+    assert plan(top).count("Exchange hashpartitioning") == 2
+    got = top.groupBy("g").agg(F.count("*"), F.min("id"), F.max("rn"), F.countDistinct("rn"))
+    rows = [r for r in range(39_999, -1, -1) if r % 3 > 0][:5_000], [r for r in range(39_999, -1, -1) if r % 3 == 0][:5_000]
+    assert rows_of(got) == [(0, 5_000, rows[1][-1], 5_000, 5_000), (1, 5_000, rows[0][-1], 5_000, 5_000)]
+
+
+def test_anti_join_splits_a_hot_source_key(spark, settings):
+    settings(
+        autoBroadcastJoinThreshold="-1",
+        shuffle__partitions="32",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="200k",
+        adaptive__advisoryPartitionSizeInBytes="200k",
+    )
+    src = spark.range(0, 300_000, 1, 32).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("v"),
+    )
+    hot_target = spark.range(0, 100_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, -2).otherwise(F.col("id") * 2).alias("k")
+    )
+    missing = pa.anti_join(src, hot_target, ["k"])
+    assert "SortMergeJoin(skew=true)" in final_plan(missing)
+    targets = {i * 2 for i in range(100_000) if i % 3}
+    assert missing.count() == 100_000 + sum(i % 3 > 0 and i not in targets for i in range(300_000))
+
+
+def test_anti_join_shares_a_small_target(spark):
+    text = final_plan(registry.QUERIES["anti_join"](spark, SF_DIR))
+    assert "BroadcastHashJoin" in text and "LeftAnti" in text
+
+
+def test_hot_diff_key_is_spread_and_linear(spark, settings):
+    """A third of all rows share one key, every one of them different on both sides."""
+    settings(adaptive__coalescePartitions__enabled="false")
+    n = 60_000
+    hot = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k")
+    src = spark.range(n).select(hot, F.col("id").alias("v"))
+    tgt = spark.range(n).select(hot, F.when(F.col("id") % 3 == 0, -1 - F.col("id")).otherwise(F.col("id")).alias("v"))
+    sides = align(src, tgt, ["k"])
+    rest = _paired_rest(_versions(sides), sides)
+    per_task = rest.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    diff = pa.data_diff(src, tgt, ["k"])
+    assert rows_of(diff.groupBy("k", "diff_type").count()) == [
+        (-1, "only_source", n // 3),
+        (-1, "only_target", n // 3),
+    ]
+    assert rows_of(pa.data_diff_summary(src, tgt, ["k"])) == [
+        ("only_source", n // 3), ("only_target", n // 3), ("same", n - n // 3),
+    ]
+    assert per_task < 2 * (2 * n // 3) / 8
+
+
+def test_hot_copies_cancel_before_the_shuffle(spark):
+    src = spark.range(0, 90_000, 1, 8).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.lit("x").alias("v"))
+    text = final_plan(pa.data_diff_summary(src, src.where("k <> 1"), ["k"]))
+    assert "SortMergeJoin" not in text and text.count("HashAggregate") >= 4
+    counts = dict(rows_of(pa.data_compare(src, src.where("k <> 1"), ["k"])))
+    assert counts["source_duplicate_keys"] == 1 and counts["same"] == 90_000 - 1 and counts["only_source"] == 1
+
+
+def test_literal_join_counts_are_computed_without_pairs(spark):
+    """3e5 x 3e5 pairs would not finish; their number follows from per-key counts."""
+    side = spark.range(300_000).select(F.lit(1).alias("k"), (F.col("id") % 2).alias("v"))
+    summary = dict(rows_of(pa.data_diff_summary(side, side, ["k"], pairing="sql")))
+    assert summary == {"same": 2 * 150_000**2, "changed": 2 * 150_000**2}
