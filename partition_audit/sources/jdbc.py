@@ -5,6 +5,7 @@ Connection options (`url`, `user`, `password`, `driver`, ...) come from the call
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,21 @@ from pyspark.sql import types as T
 
 from partition_audit.operators.combine import literal_rows
 
+LOGGER = logging.getLogger(__name__)
+
 FETCH_ROWS = 10_000
 BATCH_ROWS = 1_000
 
+# MySQL driver properties. Without the first the driver ignores the fetch size and
+# buffers the whole result; the second turns a batch into multi-row INSERT statements.
+MYSQL_URLS = ("jdbc:mysql:", "jdbc:mariadb:")
+MYSQL_READ = {"useCursorFetch": "true"}
+MYSQL_WRITE = {"rewriteBatchedStatements": "true"}
+
+
+def is_mysql(opts: Mapping[str, str]) -> bool:
+    return opts.get("url", "").startswith(MYSQL_URLS)
+
 
 def read_options(
     opts: Mapping[str, str],
@@ -23,19 +36,38 @@ def read_options(
     lower: object = None,
     upper: object = None,
     num_partitions: int | None = None,
+    limit: int | str | None = None,
 ) -> dict[str, str]:
-    """Reader options. A SELECT is wrapped so that it can be split like a table."""
+    """Reader options. A SELECT is wrapped so that it can be split like a table.
+
+    MySQL gets the row limit in the statement, so that it does not send more.
+    """
     text = table_or_query.strip().rstrip(";")
-    is_query = text.lower().split(None, 1)[0] in ("select", "with") if text else False
     if not text:
         raise ValueError("no table or query given")
-    options = {"fetchsize": str(FETCH_ROWS), **opts, "dbtable": f"({text}) q" if is_query else text}
-    bounds = {"partitionColumn": partition_column, "lowerBound": lower, "upperBound": upper,
-              "numPartitions": num_partitions}
+    is_query = text.lower().split(None, 1)[0] in ("select", "with")
+    source = f"({text}) q" if is_query else text
+    if limit not in (None, "") and is_mysql(opts):
+        source = f"(SELECT * FROM {source} LIMIT {int(limit)}) q_limit"
+    bounds = {
+        "partitionColumn": partition_column,
+        "lowerBound": lower,
+        "upperBound": upper,
+        "numPartitions": num_partitions,
+    }
     given = {name: str(value) for name, value in bounds.items() if value is not None}
     if given and len(given) != len(bounds):
         raise ValueError(f"a split read needs all of {sorted(bounds)}")
-    return options | given
+    defaults = {"fetchsize": str(FETCH_ROWS), **(MYSQL_READ if is_mysql(opts) else {})}
+    return {**defaults, **opts, "dbtable": source, **given}
+
+
+def write_options(
+    opts: Mapping[str, str], table: str, batchsize: int = BATCH_ROWS, connections: int | None = None
+) -> dict[str, str]:
+    limits = {} if connections is None else {"numPartitions": str(connections)}
+    defaults = MYSQL_WRITE if is_mysql(opts) else {}
+    return {**defaults, **opts, "dbtable": table, "batchsize": str(batchsize), **limits}
 
 
 def jdbc_read(
@@ -53,7 +85,9 @@ def jdbc_read(
     With a partition column and bounds, `num_partitions` tasks read ranges of it side by side. The
     bounds only set the range widths: rows outside them are read too.
     """
-    options = read_options(opts, table_or_query, partition_column, lower, upper, num_partitions)
+    options = read_options(
+        opts, table_or_query, partition_column, lower, upper, num_partitions, limit
+    )
     df = spark.read.format("jdbc").options(**options).load()
     return df if limit in (None, "") else df.limit(int(limit))
 
@@ -70,9 +104,7 @@ def jdbc_append(
     Spark commits once per partition. Where all or nothing is needed, append to a staging table and
     publish from it in the database. `connections` bounds how many partitions write at once.
     """
-    options = {**opts, "dbtable": table, "batchsize": str(batchsize)}
-    if connections is not None:
-        options["numPartitions"] = str(connections)
+    options = write_options(opts, table, batchsize, connections)
     df.write.format("jdbc").options(**options).mode("append").save()
 
 
@@ -89,6 +121,7 @@ def jdbc_insert_rows(
     A column missing from a row is NULL, an unknown one is an error.
     """
     if not rows:
+        LOGGER.warning("no rows to insert into %s", table)
         return 0
     jdbc_append(literal_rows(spark, schema, rows), opts, table, batchsize)
     return len(rows)
