@@ -1,3 +1,17 @@
-from partition_audit.plans.jobs import data_compare, data_validation
+from partition_audit.plans.jobs import (
+    compare_tables,
+    data_compare,
+    data_validation,
+    diff_tables,
+    open_partition,
+    validate_table,
+)
 
-__all__ = ["data_compare", "data_validation"]
+__all__ = [
+    "compare_tables",
+    "data_compare",
+    "data_validation",
+    "diff_tables",
+    "open_partition",
+    "validate_table",
+]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partition_audit.functions import metric_rows, null_count
-from partition_audit.operators.compare import align, diff_totals, key_tally
+from partition_audit.operators.compare import align, data_diff, diff_totals, key_tally
+from partition_audit.operators.frames import PARTITION_COLUMN, resolve_partition
+from partition_audit.sources.tables import DEFAULT_FORMAT, partition_values, read_partition
 
 
 def data_compare(
@@ -83,3 +85,63 @@ def data_validation(
         *duplicates,
     ]
     return metric_rows(counts, ["check_name", "column_name"], checks, "value")
+
+
+def open_partition(
+    spark: SparkSession,
+    target: str,
+    raw: str,
+    fmt: str = DEFAULT_FORMAT,
+    col: str = PARTITION_COLUMN,
+) -> DataFrame:
+    """One partition of a stored table, its value checked against those the table has."""
+    value = resolve_partition(partition_values(spark, target, fmt, col), raw, col)
+    return read_partition(spark, target, value, fmt, col)
+
+
+def diff_tables(
+    spark: SparkSession,
+    source_table: str,
+    target_table: str,
+    join_keys: Sequence[str],
+    source_partition: str,
+    target_partition: str | None = None,
+    fmt: str = DEFAULT_FORMAT,
+    col: str = PARTITION_COLUMN,
+    **options,
+) -> DataFrame:
+    """`data_diff` of two stored partitions; `options` are those of `data_diff`."""
+    src = open_partition(spark, source_table, source_partition, fmt, col)
+    tgt = open_partition(spark, target_table, target_partition or source_partition, fmt, col)
+    return data_diff(src.drop(col), tgt.drop(col), join_keys, **options)
+
+
+def compare_tables(
+    spark: SparkSession,
+    source_table: str,
+    target_table: str,
+    join_keys: Sequence[str],
+    source_partition: str,
+    target_partition: str | None = None,
+    fmt: str = DEFAULT_FORMAT,
+    col: str = PARTITION_COLUMN,
+    **options,
+) -> DataFrame:
+    """`data_compare` of two stored partitions; `options` are those of `data_compare`."""
+    src = open_partition(spark, source_table, source_partition, fmt, col)
+    tgt = open_partition(spark, target_table, target_partition or source_partition, fmt, col)
+    return data_compare(src.drop(col), tgt.drop(col), join_keys, **options)
+
+
+def validate_table(
+    spark: SparkSession,
+    table: str,
+    partition: str,
+    key_sets: Sequence[Sequence[str]],
+    null_columns: Sequence[str] | None = None,
+    fmt: str = DEFAULT_FORMAT,
+    col: str = PARTITION_COLUMN,
+) -> DataFrame:
+    """`data_validation` of one stored partition, NULLs counted in all data columns by default."""
+    rows = open_partition(spark, table, partition, fmt, col).drop(col)
+    return data_validation(rows, rows.columns if null_columns is None else null_columns, key_sets)

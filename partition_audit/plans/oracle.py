@@ -1,7 +1,7 @@
 """The expected result of every registered query, as SQL that DuckDB runs on the same tables.
 
-`events` stands in for a partitioned table (`ds` derived from `ts`), `orders_v2` for a changed copy
-of `orders`.
+`events` stands in for a partitioned table (`ds` derived from `ts`). `orders_v2` is a changed copy of
+`orders`; `tgt` one of `lineitem`, compared by a key that repeats on both sides.
 """
 
 from __future__ import annotations
@@ -117,6 +117,58 @@ SELECT 'o_custkey' AS column_name, COUNT(CASE WHEN t1.o_custkey IS DISTINCT FROM
 UNION ALL SELECT 'o_orderstatus' AS column_name, COUNT(CASE WHEN t1.o_orderstatus IS DISTINCT FROM t2.o_orderstatus THEN 1 END) AS mismatch_count FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey
 UNION ALL SELECT 'o_totalprice' AS column_name, COUNT(CASE WHEN t1.o_totalprice IS DISTINCT FROM t2.o_totalprice THEN 1 END) AS mismatch_count FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey
 UNION ALL SELECT 'o_orderpriority' AS column_name, COUNT(CASE WHEN t1.o_orderpriority IS DISTINCT FROM t2.o_orderpriority THEN 1 END) AS mismatch_count FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey
+""",
+    "data_diff_repeated_keys": """
+WITH src AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
+), tgt AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
+    CASE WHEN l_partkey % 11 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag
+  FROM src WHERE l_partkey % 17 <> 0
+  UNION ALL SELECT * FROM src WHERE l_partkey % 23 = 0
+), s AS (SELECT * FROM src EXCEPT ALL SELECT * FROM tgt),
+t AS (SELECT * FROM tgt EXCEPT ALL SELECT * FROM src),
+n AS (
+  SELECT l_orderkey, l_linenumber, SUM(a) AS in_src, SUM(b) AS in_tgt
+  FROM (SELECT l_orderkey, l_linenumber, 1 AS a, 0 AS b FROM s
+    UNION ALL SELECT l_orderkey, l_linenumber, 0, 1 FROM t) u
+  GROUP BY l_orderkey, l_linenumber
+)
+SELECT l_orderkey, l_linenumber, 'changed' AS diff_type,
+  concat_ws(',', CASE WHEN s.l_partkey IS DISTINCT FROM t.l_partkey THEN 'l_partkey' END, CASE WHEN s.l_quantity IS DISTINCT FROM t.l_quantity THEN 'l_quantity' END, CASE WHEN s.l_returnflag IS DISTINCT FROM t.l_returnflag THEN 'l_returnflag' END) AS changed_columns,
+  s.l_partkey AS l_partkey_src, t.l_partkey AS l_partkey_tgt, s.l_quantity AS l_quantity_src, t.l_quantity AS l_quantity_tgt, s.l_returnflag AS l_returnflag_src, t.l_returnflag AS l_returnflag_tgt
+FROM n JOIN s USING (l_orderkey, l_linenumber) JOIN t USING (l_orderkey, l_linenumber)
+WHERE in_src = 1 AND in_tgt = 1
+UNION ALL SELECT l_orderkey, l_linenumber, 'only_source', NULL,
+  s.l_partkey, NULL, s.l_quantity, NULL, s.l_returnflag, NULL
+FROM n JOIN s USING (l_orderkey, l_linenumber) WHERE NOT (in_src = 1 AND in_tgt = 1)
+UNION ALL SELECT l_orderkey, l_linenumber, 'only_target', NULL,
+  NULL, t.l_partkey, NULL, t.l_quantity, NULL, t.l_returnflag
+FROM n JOIN t USING (l_orderkey, l_linenumber) WHERE NOT (in_src = 1 AND in_tgt = 1)
+""",
+    "data_compare_repeated_keys": """
+WITH src AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
+), tgt AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
+    CASE WHEN l_partkey % 11 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag
+  FROM src WHERE l_partkey % 17 <> 0
+  UNION ALL SELECT * FROM src WHERE l_partkey % 23 = 0
+), typed AS (
+  SELECT CASE WHEN t2.in_tgt IS NULL THEN 'only_source' WHEN t1.in_src IS NULL THEN 'only_target'
+    WHEN t1.l_partkey IS DISTINCT FROM t2.l_partkey OR t1.l_quantity IS DISTINCT FROM t2.l_quantity OR t1.l_returnflag IS DISTINCT FROM t2.l_returnflag THEN 'changed' ELSE 'same' END AS diff_type
+  FROM (SELECT *, true AS in_src FROM src) t1
+  FULL OUTER JOIN (SELECT *, true AS in_tgt FROM tgt) t2
+    ON t1.l_orderkey = t2.l_orderkey AND t1.l_linenumber = t2.l_linenumber
+)
+SELECT 'source_count' AS metric, COUNT(1) AS value FROM src
+UNION ALL SELECT 'target_count', COUNT(1) FROM tgt
+UNION ALL SELECT 'source_duplicate_keys', COUNT(1) FROM (SELECT l_orderkey FROM src GROUP BY l_orderkey, l_linenumber HAVING COUNT(1) > 1) x
+UNION ALL SELECT 'target_duplicate_keys', COUNT(1) FROM (SELECT l_orderkey FROM tgt GROUP BY l_orderkey, l_linenumber HAVING COUNT(1) > 1) x
+UNION ALL SELECT 'only_source', COUNT(CASE WHEN diff_type = 'only_source' THEN 1 END) FROM typed
+UNION ALL SELECT 'only_target', COUNT(CASE WHEN diff_type = 'only_target' THEN 1 END) FROM typed
+UNION ALL SELECT 'changed', COUNT(CASE WHEN diff_type = 'changed' THEN 1 END) FROM typed
+UNION ALL SELECT 'same', COUNT(CASE WHEN diff_type = 'same' THEN 1 END) FROM typed
 """,
     "data_clean": """
 WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)

@@ -55,6 +55,22 @@ def order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return source, orders_v2(source), ["o_orderkey"]
 
 
+def line_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Source, target and key of the comparisons by a repeated key.
+
+    The target is a changed copy of `lineitem`: rows removed, a value changed, rows doubled.
+    """
+    keys = ["l_orderkey", "l_linenumber"]
+    source = table(spark, sf_dir, "lineitem").select(
+        *keys, "l_partkey", "l_quantity", "l_returnflag"
+    )
+    part = F.col("l_partkey")
+    changed = source.where(part % 17 != 0).withColumn(
+        "l_returnflag", F.when(part % 11 == 0, "X").otherwise(F.col("l_returnflag"))
+    )
+    return source, changed.unionByName(source.where(part % 23 == 0)), keys
+
+
 def documents_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and their labels; NULL where a document has none."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -135,6 +151,14 @@ def _data_diff_columns(spark, sf_dir):
     return op.data_diff_columns(*order_versions(spark, sf_dir))
 
 
+def _data_diff_repeated_keys(spark, sf_dir):
+    return op.data_diff(*line_versions(spark, sf_dir))
+
+
+def _data_compare_repeated_keys(spark, sf_dir):
+    return data_compare(*line_versions(spark, sf_dir), pairing="sql")
+
+
 def _data_clean(spark, sf_dir):
     return op.data_clean(events_by_day(spark, sf_dir), DAY, F.col("event_type") == "error")
 
@@ -196,6 +220,8 @@ QUERIES: dict[str, Query] = {
     "data_diff": _data_diff,
     "data_diff_summary": _data_diff_summary,
     "data_diff_columns": _data_diff_columns,
+    "data_diff_repeated_keys": _data_diff_repeated_keys,
+    "data_compare_repeated_keys": _data_compare_repeated_keys,
     "data_clean": _data_clean,
     "move_partition": _move_partition,
     "drop_partition": _drop_partition,

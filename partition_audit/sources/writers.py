@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def overwrite_partition(
         spark.catalog.refreshByPath(target)
     else:
         aligned = _in_table_order(rows, target)
-        with _setting(spark, OVERWRITE_MODE, "dynamic"):
+        with _dynamic_overwrite(spark):
             aligned.write.mode("overwrite").insertInto(target)
     if seen.get["rows"] == 0:
         _empty_partition(df.drop(col), target, ds, fmt, col)
@@ -217,13 +218,26 @@ def _file_system(spark: SparkSession, location: str):
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Dynamic overwrite mode for the session while at least one overwrite runs.
+
+    The mode is looked up again while a job starts. Were it restored under another thread's
+    overwrite, that one would replace the whole table, so only the last one out restores it.
+    """
+    with _mode_lock:
+        running, before = _mode_users.get(spark) or (0, spark.conf.get(OVERWRITE_MODE))
+        _mode_users[spark] = (running + 1, before)
+        spark.conf.set(OVERWRITE_MODE, "dynamic")
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        with _mode_lock:
+            running, before = _mode_users.pop(spark)
+            if running > 1:
+                _mode_users[spark] = (running - 1, before)
+            else:
+                spark.conf.set(OVERWRITE_MODE, before)
+
+
+_mode_lock = Lock()
+_mode_users: dict[SparkSession, tuple[int, str]] = {}

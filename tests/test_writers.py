@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,19 @@ def test_overwrite_in_any_column_order(spark, sample, stored):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
 
 
+def test_overwrites_side_by_side(spark, sample, stored):
+    days = [f"2026-04-{day:02d}" for day in range(1, 9)]
+
+    def put(ds):
+        pa.overwrite_partition(sample["tgt"], stored[0], ds, stored[1])
+
+    for _ in range(2):
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(put, days))
+    assert counts(spark, stored) == {DAY: 3, OTHER: 2, **dict.fromkeys(days, 2)}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
 def test_failed_overwrite_keeps_the_partition(spark, stored):
     broken = pa.read_partition(spark, stored[0], DAY, stored[1]).withColumn(
         "status", F.when(F.col("id") == "3", F.raise_error(F.lit("boom"))).otherwise(F.col("status"))
