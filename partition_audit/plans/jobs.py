@@ -95,7 +95,7 @@ def open_partition(
     col: str = PARTITION_COLUMN,
 ) -> DataFrame:
     """One partition of a stored table, its value checked against those the table has."""
-    value = resolve_partition(partition_values(spark, target, fmt, col), raw, col)
+    value = resolve_partition(partition_values(spark, target, col), raw, col)
     return read_partition(spark, target, value, fmt, col)
 
 

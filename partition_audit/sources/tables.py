@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,18 +48,30 @@ def read_partition(
     col: str = PARTITION_COLUMN,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """One partition; other partitions are pruned before any file is opened."""
+    """One partition; a missing one has no rows.
+
+    From the catalog, other partitions are pruned before their files are listed. By path, only the
+    partition's own directory is listed, not the whole table.
+    """
+    if is_path(target):
+        fs, path = file_system(spark, table_path(spark, target, ds, col))
+        if fs.exists(path) and fs.listStatus(path):
+            reader = spark.read.format(fmt)
+            if schema is not None:
+                reader = reader.schema(T.StructType([f for f in schema if f.name != col]))
+            return reader.load(str(path)).withColumn(col, F.lit(ds))
     return partition_filter(read_table(spark, target, fmt, col, schema), ds, col)
 
 
-def partition_values(
-    spark: SparkSession, target: str, fmt: str = DEFAULT_FORMAT, col: str = PARTITION_COLUMN
-) -> DataFrame:
-    """Known partition values. The catalog also lists empty ones and opens no file for it."""
-    if is_path(target):
-        return read_table(spark, target, fmt, col).select(col).distinct()
-    spec = F.regexp_extract("partition", f"(?:^|/){re.escape(col)}=([^/]*)", 1)
-    return spark.sql(f"SHOW PARTITIONS {target}").select(spec.alias(col))
+def partition_values(spark: SparkSession, target: str, col: str = PARTITION_COLUMN) -> DataFrame:
+    """Known partition values, empty partitions included. No data file is opened for it."""
+    if not is_path(target):
+        spec = F.regexp_extract("partition", f"(?:^|/){re.escape(col)}=([^/]*)", 1)
+        return spark.sql(f"SHOW PARTITIONS {target}").select(spec.alias(col))
+    fs, path = file_system(spark, target)
+    names = [str(status.getPath().getName()) for status in fs.listStatus(path)]
+    values = [(unquote(n.split("=", 1)[1]),) for n in names if n.startswith(f"{col}=")]
+    return spark.createDataFrame(values, T.StructType([T.StructField(col, T.StringType())]))
 
 
 def table_path(spark: SparkSession, target: str, ds: str | None = None, col: str = PARTITION_COLUMN) -> str:
@@ -76,3 +89,10 @@ def safe_value(ds: str) -> str:
     if not re.fullmatch(r"[\w.+ -]+", ds):
         raise ValueError(f"unsupported characters in partition value {ds!r}")
     return ds
+
+
+def file_system(spark: SparkSession, location: str):
+    """Hadoop file system and path object, for what has no DataFrame counterpart."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -21,6 +21,7 @@ from partition_audit.operators.frames import PARTITION_COLUMN
 from partition_audit.operators.partitions import keep_clean
 from partition_audit.sources.tables import (
     DEFAULT_FORMAT,
+    file_system,
     is_path,
     read_partition,
     read_table,
@@ -98,7 +99,7 @@ def remove_partition(spark: SparkSession, target: str, ds: str, col: str = PARTI
     if not is_path(target):
         spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({col}='{value}')")
         return
-    fs, path = _file_system(spark, table_path(spark, target, value, col))
+    fs, path = file_system(spark, table_path(spark, target, value, col))
     fs.delete(path, True)
     spark.catalog.refreshByPath(target)
 
@@ -115,7 +116,7 @@ def add_partition(
     if not is_path(target):
         spark.sql(f"ALTER TABLE {target} ADD IF NOT EXISTS PARTITION ({col}='{value}')")
         return
-    fs, path = _file_system(spark, table_path(spark, target, value, col))
+    fs, path = file_system(spark, table_path(spark, target, value, col))
     if not fs.exists(path):
         _empty_partition(read_table(spark, target, fmt, col).drop(col), target, value, fmt, col)
 
@@ -210,13 +211,6 @@ def _provider(spark: SparkSession, table: str) -> str:
     return rows[0]["data_type"]
 
 
-def _file_system(spark: SparkSession, location: str):
-    """Hadoop file system and path object: directory removal has no DataFrame counterpart."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(location)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 @contextmanager
 def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
     """Dynamic overwrite mode for the session while at least one overwrite runs.
