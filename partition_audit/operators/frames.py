@@ -50,24 +50,27 @@ def resolve_partition(partitions: DataFrame, raw: str, col: str = PARTITION_COLU
     """Find the stored partition value that a loosely written one stands for.
 
     An exact match wins. Otherwise separators and letter case are ignored ('20260308' finds
-    '2026-03-08', but never '2026-03-08-temp'). Only the matching values reach the driver.
+    '2026-03-08', but never '2026-03-08-temp'), as is a leading '<column>='. Only matching values
+    reach the driver, three at most.
     """
+
     def squeeze(column):
         return F.lower(F.regexp_replace(column, r"[^\p{L}\p{N}]", ""))
 
+    wanted = raw.strip().removeprefix(f"{col}=")
     stored = F.col(col).cast("string")
     matches = (
-        partitions.where(squeeze(stored) == squeeze(F.lit(raw.strip())))
+        partitions.where(squeeze(stored) == squeeze(F.lit(wanted)))
         .select(stored.alias("value"))
         .distinct()
-        .orderBy((F.col("value") == F.lit(raw.strip())).desc(), "value")
+        .orderBy((F.col("value") == F.lit(wanted)).desc(), "value")
         .limit(3)
         .collect()
     )
     values = [row["value"] for row in matches]
     if not values:
         raise LookupError(f"no partition {col} matches {raw!r}")
-    if values[0] == raw.strip() or len(values) == 1:
+    if values[0] == wanted or len(values) == 1:
         return values[0]
     raise LookupError(f"partition {raw!r} is ambiguous: {values}")
 

@@ -155,7 +155,7 @@ def change_schema(
     Added columns are a metadata change. A rename or a new type needs the rows rewritten: they go to
     a sibling table, which takes over the name once it is complete. The rewrite keeps the input's
     layout and has no shuffle. The old table stays as `<name>__before` until the new one is found to
-    hold as many rows under its final name.
+    hold as many rows under its final name. Table properties and comments are not carried over.
     """
     if is_path(target):
         raise ValueError("schema changes by path: write evolve_schema(...) to a new path")

@@ -159,6 +159,7 @@ def test_resolve_partition(spark):
     assert pa.resolve_partition(known, DAY) == DAY
     assert pa.resolve_partition(known, "20260308") == DAY
     assert pa.resolve_partition(known, " 2026/03/08 ") == DAY
+    assert pa.resolve_partition(known, "ds=2026-03-08") == DAY
     assert pa.resolve_partition(known, "20260308-TEMP") == TEMP
     assert pa.resolve_partition(known, "ab") == "ab"
     with pytest.raises(LookupError, match="no partition"):
