@@ -141,6 +141,8 @@ def data_diff_columns(
 ) -> DataFrame:
     """Per compared column, the number of `changed` rows in which it differs."""
     sides = align(src, tgt, keys, compare)
+    if not sides.cols:
+        raise ValueError("no columns to compare besides the key")
     changed = _paired_rest(_versions(sides), sides).where("__type = 'changed'")
     counts = changed.agg(
         *[

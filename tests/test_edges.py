@@ -158,6 +158,8 @@ def test_diff_rejects_bad_input(spark):
         pa.data_diff(src, src.drop("v"), ["k"], compare=["v"])
     with pytest.raises(ValueError, match="key"):
         pa.data_diff(src, src, [])
+    with pytest.raises(ValueError, match="no columns"):
+        pa.data_diff_columns(src, src, ["k"], compare=[])
     with pytest.raises(ValueError, match="pairing"):
         pa.data_diff(src, src, ["k"], pairing="all")
 
