@@ -23,6 +23,7 @@ from partition_audit.sources.tables import (
     DEFAULT_FORMAT,
     file_system,
     is_path,
+    partition_values,
     read_partition,
     read_table,
     safe_value,
@@ -85,12 +86,19 @@ def copy_partition(
     fmt: str = DEFAULT_FORMAT,
     col: str = PARTITION_COLUMN,
 ) -> None:
-    """Replace the destination's content by the source's; the source goes last, if at all."""
+    """Replace the destination's content by the source's.
+
+    With `drop_source` the partition is renamed: no row is read or written. The destination's old
+    content goes first, so a failure in between leaves the source as it was. Without it, or if there
+    is no such source partition (then the destination ends up empty), rows are copied.
+    """
     if src_ds == dst_ds:
         raise ValueError("source and destination partition are the same")
+    if drop_source and _has_partition(spark, target, src_ds, col):
+        remove_partition(spark, target, dst_ds, col)
+        _rename_partition(spark, target, src_ds, dst_ds, col)
+        return
     overwrite_partition(read_partition(spark, target, src_ds, fmt, col), target, dst_ds, fmt, col)
-    if drop_source:
-        remove_partition(spark, target, src_ds, col)
 
 
 def remove_partition(spark: SparkSession, target: str, ds: str, col: str = PARTITION_COLUMN) -> None:
@@ -183,6 +191,23 @@ def change_schema(
     spark.sql(f"DROP TABLE {before}")
 
 
+def _has_partition(spark: SparkSession, target: str, ds: str, col: str) -> bool:
+    return not partition_values(spark, target, col).where(F.col(col) == ds).isEmpty()
+
+
+def _rename_partition(spark: SparkSession, target: str, old: str, new: str, col: str) -> None:
+    old, new = safe_value(old), safe_value(new)
+    if not is_path(target):
+        spark.sql(
+            f"ALTER TABLE {target} PARTITION ({col}='{old}') RENAME TO PARTITION ({col}='{new}')"
+        )
+        return
+    fs, path = file_system(spark, table_path(spark, target, old, col))
+    if not fs.rename(path, file_system(spark, table_path(spark, target, new, col))[1]):
+        raise OSError(f"could not rename {col}={old} to {col}={new} in {target}")
+    spark.catalog.refreshByPath(target)
+
+
 def _empty_partition(like: DataFrame, target: str, ds: str, fmt: str, col: str) -> None:
     spark = like.sparkSession
     none = spark.createDataFrame([], like.schema)

@@ -97,7 +97,8 @@ def test_large_top_n_is_cut_in_parts(spark):
     assert rows_of(got) == [(0, 5_000, rows[1][-1], 5_000, 5_000), (1, 5_000, rows[0][-1], 5_000, 5_000)]
 
 
-def test_anti_join_splits_a_hot_source_key(spark, settings):
+@pytest.mark.parametrize("hot", [-1, None])
+def test_anti_join_splits_a_hot_source_key(spark, settings, hot):
     settings(
         autoBroadcastJoinThreshold="-1",
         shuffle__partitions="32",
@@ -105,7 +106,7 @@ def test_anti_join_splits_a_hot_source_key(spark, settings):
         adaptive__advisoryPartitionSizeInBytes="200k",
     )
     src = spark.range(0, 300_000, 1, 32).select(
-        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("id")).alias("k"),
         F.sha2(F.col("id").cast("string"), 256).alias("v"),
     )
     hot_target = spark.range(0, 100_000, 1, 16).select(
@@ -122,11 +123,12 @@ def test_anti_join_shares_a_small_target(spark):
     assert "BroadcastHashJoin" in text and "LeftAnti" in text
 
 
-def test_hot_diff_key_is_spread_and_linear(spark, settings):
-    """A third of all rows share one key, every one of them different on both sides."""
+@pytest.mark.parametrize("key", [-1, None])
+def test_hot_diff_key_is_spread_and_linear(spark, settings, key):
+    """A third of all rows share one key (or have none), and all of these differ between the sides."""
     settings(adaptive__coalescePartitions__enabled="false")
     n = 60_000
-    hot = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k")
+    hot = F.when(F.col("id") % 3 == 0, F.lit(key)).otherwise(F.col("id")).alias("k")
     src = spark.range(n).select(hot, F.col("id").alias("v"))
     tgt = spark.range(n).select(hot, F.when(F.col("id") % 3 == 0, -1 - F.col("id")).otherwise(F.col("id")).alias("v"))
     sides = align(src, tgt, ["k"])
@@ -134,8 +136,8 @@ def test_hot_diff_key_is_spread_and_linear(spark, settings):
     per_task = rest.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
     diff = pa.data_diff(src, tgt, ["k"])
     assert rows_of(diff.groupBy("k", "diff_type").count()) == [
-        (-1, "only_source", n // 3),
-        (-1, "only_target", n // 3),
+        (key, "only_source", n // 3),
+        (key, "only_target", n // 3),
     ]
     assert rows_of(pa.data_diff_summary(src, tgt, ["k"])) == [
         ("only_source", n // 3), ("only_target", n // 3), ("same", n - n // 3),

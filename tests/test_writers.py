@@ -81,6 +81,21 @@ def test_copy_and_move(spark, stored):
     assert counts(spark, stored) == {DAY: 3, TEMP: 2}
     moved = pa.read_partition(spark, stored[0], TEMP, stored[1])
     assert sorted(r.id for r in moved.collect()) == ["8", "9"]
+    pa.append_rows(spark, stored[0], TEMP, [{"id": "10"}], stored[1])
+    assert counts(spark, stored) == {DAY: 3, TEMP: 3}
+
+
+def test_move_renames_files(spark, stored):
+    before = pa.read_partition(spark, stored[0], DAY, stored[1]).inputFiles()
+    pa.copy_partition(spark, stored[0], DAY, "2026-03-10", drop_source=True, fmt=stored[1])
+    after = pa.read_partition(spark, stored[0], "2026-03-10", stored[1]).inputFiles()
+    assert sorted(after) == sorted(name.replace(DAY, "2026-03-10") for name in before)
+    assert sorted(r.ds for r in pa.partition_values(spark, stored[0]).collect()) == [OTHER, "2026-03-10"]
+
+
+def test_move_of_a_missing_partition_empties_the_destination(spark, stored):
+    pa.copy_partition(spark, stored[0], "2020-01-01", OTHER, drop_source=True, fmt=stored[1])
+    assert counts(spark, stored) == {DAY: 3}
 
 
 def test_copy_of_an_empty_partition_empties_the_destination(spark, stored):
