@@ -72,8 +72,14 @@ def clean_partition(
     fmt: str = DEFAULT_FORMAT,
     col: str = PARTITION_COLUMN,
 ) -> None:
-    """Rewrite one partition without the rows for which the predicate is true."""
+    """Rewrite one partition without the rows for which the predicate is true.
+
+    Without such a row nothing is written. The check reads only the predicate's columns and stops at
+    the first hit.
+    """
     rows = read_partition(spark, target, ds, fmt, col)
+    if rows.where(drop_predicate).isEmpty():
+        return
     overwrite_partition(keep_clean(rows, drop_predicate), target, ds, fmt, col)
 
 

@@ -67,6 +67,13 @@ def test_clean(spark, stored):
     assert counts(spark, stored) == {DAY: 2, OTHER: 2}
 
 
+def test_clean_without_a_hit_writes_nothing(spark, stored):
+    before = pa.read_partition(spark, stored[0], DAY, stored[1]).inputFiles()
+    for predicate in (F.col("status") == "nowhere", F.lit(None).cast("boolean")):
+        pa.clean_partition(spark, stored[0], DAY, predicate, stored[1])
+    assert pa.read_partition(spark, stored[0], DAY, stored[1]).inputFiles() == before
+
+
 def test_clean_that_removes_everything(spark, stored):
     pa.clean_partition(spark, stored[0], DAY, F.col("id").isNotNull(), stored[1])
     assert counts(spark, stored) == {OTHER: 2}
