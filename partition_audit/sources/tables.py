@@ -51,9 +51,9 @@ def read_partition(
     """One partition; a missing one has no rows.
 
     From the catalog, other partitions are pruned before their files are listed. By path, only the
-    partition's own directory is listed, not the whole table.
+    partition's own directory is listed, not the whole table (unless its name has escaped characters).
     """
-    if is_path(target):
+    if is_path(target) and is_safe(ds):
         fs, path = file_system(spark, table_path(spark, target, ds, col))
         if fs.exists(path) and fs.listStatus(path):
             reader = spark.read.format(fmt)
@@ -84,9 +84,13 @@ def table_path(spark: SparkSession, target: str, ds: str | None = None, col: str
     return rows[0]["data_type"]
 
 
+def is_safe(ds: str) -> bool:
+    """Whether a partition value can stand in DDL and directory names as it is."""
+    return re.fullmatch(r"[\w.+ -]+", ds) is not None
+
+
 def safe_value(ds: str) -> str:
-    """A partition value fit for DDL and directory names."""
-    if not re.fullmatch(r"[\w.+ -]+", ds):
+    if not is_safe(ds):
         raise ValueError(f"unsupported characters in partition value {ds!r}")
     return ds
 

@@ -203,3 +203,11 @@ def test_values_unfit_for_ddl_are_refused(spark, stored):
     for change in (pa.remove_partition, pa.add_partition):
         with pytest.raises(ValueError, match="unsupported"):
             change(spark, stored[0], "x') --")
+
+
+def test_values_with_escaped_characters_can_be_read(spark, sample, tmp_path):
+    target, hour = str(tmp_path / "hours"), "2026-03-08 01:00"
+    sample["src"].withColumn("ds", F.lit(hour)).write.format("orc").partitionBy("ds").save(target)
+    assert pa.read_partition(spark, target, hour).count() == 3
+    assert [r.ds for r in pa.partition_values(spark, target).collect()] == [hour]
+    assert pa.resolve_partition(pa.partition_values(spark, target), "2026030801:00") == hour
