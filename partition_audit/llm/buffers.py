@@ -12,6 +12,9 @@ SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Between words of letters and digits.
+NOT_WORD = np.ones(256, bool)
+NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,9 +51,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every run of bytes that are not ASCII white space."""
-    inside = ~_SPACE[data]
+def word_spans(
+    data: np.ndarray, places: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every run of bytes that are not ASCII white space (or `between`)."""
+    inside = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[places] = True
     starts, ends = inside.copy(), inside.copy()
