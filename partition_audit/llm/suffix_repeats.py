@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.buffers import bounded_slices, mixed, prefix_sums, span_hashes, text_buffer
+from partition_audit.llm.buffers import SLICE_BYTES, bounded_slices, mixed, prefix_sums, span_hashes, text_buffer
 from partition_audit.llm.shared import text_bytes
 
-GRAM = 12
-BUCKET_BYTES = 2 << 20
+GRAM = 8
+BUCKET_BYTES = 1 << 20
+# Text whose runs are combined and packed together inside a task.
+PACK_BYTES = 16 << 20
 SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -45,7 +47,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
     eight = four[:-4] | four[4:] << np.uint64(32)
-    return mixed(eight[:n] * SPREAD + four[8 : 8 + n])
+    return mixed(eight * SPREAD)
 
 
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -113,60 +115,68 @@ def _unpacked(blob: bytes, size: int, n: int) -> tuple[np.ndarray, ...]:
 PARCEL = "bucket bigint, blob binary, size bigint, n bigint, doc bigint, low int, high int"
 
 
+def _parcel(parts: list[tuple], buckets: int) -> pa.RecordBatch:
+    data, first, size, left, h, bucket, doc, start = (np.concatenate([p[i] for p in parts]) for i in range(8))
+    # The smallest document of each run's text travels, with all its places.
+    order = np.lexsort((doc, h))
+    new = np.ones(len(order), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    leader = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+    repeat = np.zeros(len(order), bool)
+    repeat[order] = doc[order] > doc[leader]
+    known = _by_doc(doc[repeat], start[repeat], (start + size)[repeat])
+    keep = np.flatnonzero(~repeat)
+    keep = keep[np.lexsort((start[keep], doc[keep], bucket[keep]))]
+    cuts = np.flatnonzero(np.diff(bucket[keep])) + 1
+    packed: list[tuple] = []
+    for a, b in zip([0, *cuts], [*cuts, len(keep)]):
+        if b > a:
+            mine = keep[a:b]
+            columns = [
+                data[_ragged(first[mine], size[mine])],
+                left[mine],
+                size[mine].astype(np.uint8),
+                np.diff(doc[mine], prepend=0),
+                start[mine].astype(np.int32),
+            ]
+            packed.append((int(bucket[mine[0]]), _packed(columns), int(size[mine].sum()), b - a))
+    n, m = len(packed), len(known[0])
+
+    def column(i: int, kind: pa.DataType) -> pa.Array:
+        return pa.array([p[i] for p in packed] + [None] * m, kind)
+
+    def stretch(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(n, np.int64), x]), kind, mask=np.arange(n + m) < n)
+
+    # Known stretches are dealt to groups of their own, below zero.
+    dealt = pa.array([p[0] for p in packed] + [-1 - i % buckets for i in range(m)], pa.int64())
+    parcels = [dealt, column(1, pa.binary()), column(2, pa.int64()), column(3, pa.int64())]
+    stretches = [stretch(x, kind) for x, kind in zip(known, (pa.int64(), pa.int32(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([*parcels, *stretches], ["bucket", "blob", "size", "n", "doc", "low", "high"])
+
+
 def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
     """Parcels of runs by bucket, and the stretches (doc, low, high) already known to be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        size = 0
         for batch in bounded_slices(batches):
             data, places = text_buffer(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             first, count, text, low = runs_of(data, places, least)
             end = first + count + least - 1
+            left = np.where(first > places[text], data[first - 1] if len(first) else first, 256).astype(np.uint16)
             h = span_hashes(prefix_sums(data), first, end)
-            # The smallest document of each run's text travels, with all its places.
-            order = np.lexsort((ids[text], h))
-            new = np.ones(len(order), bool)
-            new[1:] = h[order][1:] != h[order][:-1]
-            leader = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-            repeat = np.zeros(len(order), bool)
-            repeat[order] = ids[text[order]] > ids[text[leader]]
-            doc, begin, stop = _merged(text[repeat], (first - places[text])[repeat], (end - places[text])[repeat])
-            parts: list[tuple] = []
-            keep = np.flatnonzero(~repeat)
-            bucket = (mixed(low[keep] + SPREAD) % np.uint64(buckets)).astype(np.int64)
-            by_bucket = np.lexsort((keep, ids[text[keep]], bucket))
-            keep, bucket = keep[by_bucket], bucket[by_bucket]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            left = np.where(first > places[text], data[first - 1] if len(first) else first, 256)
-            for a, b in zip([0, *cuts], [*cuts, len(keep)]):
-                if b > a:
-                    mine = keep[a:b]
-                    size = end[mine] - first[mine]
-                    blob = _packed(
-                        [
-                            data[_ragged(first[mine], size)],
-                            left[mine].astype(np.uint16),
-                            size.astype(np.uint8),
-                            np.diff(ids[text[mine]], prepend=0),
-                            (first[mine] - places[text[mine]]).astype(np.int32),
-                        ]
-                    )
-                    parts.append((int(bucket[a]), blob, int(size.sum()), b - a))
-            n, m = len(parts), len(doc)
-            column = lambda i, kind: pa.array([p[i] for p in parts] + [None] * m, kind)
-            known = lambda x, kind: pa.array(np.concatenate([np.zeros(n, x.dtype), x]), kind, mask=np.arange(n + m) < n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0] for p in parts] + [-1 - i % buckets for i in range(m)], pa.int64()),
-                    column(1, pa.binary()),
-                    column(2, pa.int64()),
-                    column(3, pa.int64()),
-                    known(ids[doc], pa.int64()),
-                    known(begin, pa.int32()),
-                    known(stop, pa.int32()),
-                ],
-                ["bucket", "blob", "size", "n", "doc", "low", "high"],
-            )
+            bucket = (mixed(low + SPREAD) % np.uint64(buckets)).astype(np.int64)
+            start = first - places[text]
+            parts.append((data.copy(), first + size, end - first, left, h, bucket, ids[text], start))
+            size += len(data)
+            if size >= PACK_BYTES:
+                yield _parcel(parts, buckets)
+                parts, size = [], 0
+        if parts:
+            yield _parcel(parts, buckets)
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     return rows.mapInArrow(run, PARCEL)
@@ -189,21 +199,28 @@ def _merged(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 def suffix_array(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes, and each one's common prefix with the one before it (0 for the first)."""
-    rows = np.zeros((len(begin), width + 1), np.uint8)
-    place = begin[:, None] + np.arange(width)
-    inside = place < end[:, None]
-    rows[:, :width][inside] = data[place[inside]]
-    # The bytes as big-endian numbers order as the bytes do; the length settles ties with filled-up ends.
-    words = np.zeros((len(begin), -(-width // 8) * 8), np.uint8)
-    words[:, :width] = rows[:, :width]
-    columns = words.view(">u8").astype(np.uint64)
-    order = np.lexsort(((end - begin), *columns.T[::-1]))
-    rows, size = rows[order], (end - begin)[order]
-    common = np.zeros(len(begin), np.int64)
-    if len(begin) > 1:
-        differ = rows[1:, :width] != rows[:-1, :width]
-        first = np.where(differ.any(1), differ.argmax(1), width)
-        common[1:] = np.minimum(first, np.minimum(size[1:], size[:-1]))
+    size = end - begin
+    columns = []
+    for at in range(0, width, 8):
+        # Eight bytes as a big-endian number order as the bytes do; past the end they are zero.
+        word = np.zeros(len(begin), np.uint64)
+        for step in range(at, at + 8):
+            inside = step < size
+            byte = data[np.where(inside, begin + step, 0)].astype(np.uint64)
+            word = word << np.uint64(8) | np.where(inside, byte, np.uint64(0))
+        columns.append(word)
+    order = np.lexsort((size, *columns[::-1]))
+    size, common = size[order], np.zeros(len(begin), np.int64)
+    equal = np.ones(max(len(begin) - 1, 0), bool)
+    for word in columns:
+        word = word[order]
+        gap = word[1:] ^ word[:-1]
+        alike = np.full(len(gap), 8)
+        for byte in range(8):
+            alike -= gap >= np.uint64(1 << 8 * byte)
+        common[1:] += np.where(equal, alike, 0)
+        equal &= gap == 0
+    common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
     return order, common
 
 
@@ -224,15 +241,34 @@ def prefix_intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int
     return found
 
 
+def _stretch_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int | None) -> np.ndarray:
+    """Hash of every run, or of each of its strings of `least` bytes; some runs at a time."""
+    found = [np.zeros(0, np.uint64)]
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE_BYTES, "right")))
+        n = size[low:high]
+        text = data[_ragged(begin[low:high], n)]
+        at = np.cumsum(n) - n
+        sums = prefix_sums(text)
+        if least is None:
+            found.append(span_hashes(sums, at, at + n))
+        else:
+            place = _ragged(at, n - least + 1)
+            found.append(span_hashes(sums, place, place + least))
+        low = high
+    return np.concatenate(found)
+
+
 def _bucket_repeats(table: pa.Table, least: int) -> tuple[np.ndarray, ...]:
     """(group, length, doc, start, smallest doc) of every occurrence of the bucket's maximal repeats."""
     parts = [_unpacked(*x) for x in zip(table["blob"].to_pylist(), table["size"].to_pylist(), table["n"].to_pylist())]
     data, left, size, doc, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
     size = size.astype(np.int64)
     begin = np.cumsum(size) - size
-    sums = prefix_sums(data)
     # Equal runs are one run with several occurrences.
-    _, shown, run = np.unique(span_hashes(sums, begin, begin + size), return_index=True, return_inverse=True)
+    _, shown, run = np.unique(_stretch_hashes(data, begin, size, None), return_index=True, return_inverse=True)
     by_run = np.argsort(run, kind="stable")
     at_run = np.concatenate([[0], np.cumsum(np.bincount(run, minlength=len(shown)))])
     smallest = np.minimum.reduceat(doc[by_run], at_run[:-1])
@@ -243,7 +279,7 @@ def _bucket_repeats(table: pa.Table, least: int) -> tuple[np.ndarray, ...]:
     strings = size[shown] - least + 1
     owner = np.repeat(np.arange(len(shown)), strings)
     place = _ragged(begin[shown], strings)
-    h = span_hashes(sums, place, place + least)
+    h = _stretch_hashes(data, begin[shown], size[shown], least)
     order = np.argsort(h)
     same = np.zeros(len(h), bool)
     equal = h[order][1:] == h[order][:-1]
