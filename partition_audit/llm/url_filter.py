@@ -98,8 +98,8 @@ def _counts(labelled: DataFrame) -> np.ndarray:
         .agg(F.sum("n").alias("n"))
     )
     table = np.zeros((2, 2 * SLOTS))
-    found = rows.toPandas()
-    table[found["model"], found["slot"]] = found["n"]
+    found = rows.toArrow()
+    table[found["model"].to_numpy(), found["slot"].to_numpy()] = found["n"].to_numpy()
     return table
 
 
