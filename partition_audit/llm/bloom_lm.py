@@ -22,7 +22,7 @@ counts are 0. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ BITS_PER_TOKEN = 8
 PROBES = 5
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 256 << 20
+PIECE_BLOCKS = 16
 FREQUENT = 1 << 18
 PRIOR = 50.0
 # A count of up to 2**47.
@@ -86,6 +87,19 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """At most `most` tokens: all with at least a count that a histogram by powers of two to the 1/16 gives."""
+    place = F.floor(16 * F.log2("c")).cast("int")
+    bins = {r["place"]: r["count"] for r in counts.groupBy(place.alias("place")).count().collect()}
+    held, least = 0, None
+    for at in sorted(bins, reverse=True):
+        held += bins[at]
+        if held > most:
+            break
+        least = at
+    return counts.where(F.lit(False) if least is None else place >= least).toArrow()
+
+
 class Layout:
     """How many shards and blocks hold a corpus of so many tokens."""
 
@@ -195,23 +209,42 @@ def build_filter(training: DataFrame, counts: DataFrame, layout: Layout) -> Data
     return parcels.groupBy("shard", "block").applyInArrow(fill, "shard int, block bigint, bits binary")
 
 
-def estimated_counts(bits: np.ndarray, layout: Layout, h: np.ndarray) -> np.ndarray:
-    """Counts by repeated probes: the middle of the highest level that is held, 0 without level 1."""
+def estimated_counts(bits: Sequence[np.ndarray], layout: Layout, h: np.ndarray) -> np.ndarray:
+    """Counts by repeated probes: the middle of the highest level that is held, 0 without level 1.
+
+    `bits` are the shard's pieces of `PIECE_BLOCKS` blocks each.
+    """
     count = np.zeros(len(h))
-    open_rows, rest = np.arange(len(h)), _rest(h)
-    base = layout.block(h).astype(np.int64) * (8 * BLOCK_BYTES)
-    for level in range(1, LEVELS + 1):
-        held = np.ones(len(open_rows), bool)
-        for place in _bit_places(rest, level):
-            at = place.astype(np.int64) + base
-            held &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        open_rows, rest, base = open_rows[held], rest[held], base[held]
-        if not len(open_rows):
-            break
-        count[open_rows] = 1.0 if level == 1 else 1.5 * 2 ** (level - 1)
+    block = layout.block(h).astype(np.int64)
+    for number, piece in enumerate(bits):
+        rows = np.flatnonzero(block // PIECE_BLOCKS == number)
+        rest, base = _rest(h[rows]), block[rows] % PIECE_BLOCKS * (8 * BLOCK_BYTES)
+        for level in range(1, LEVELS + 1):
+            held = np.ones(len(rows), bool)
+            for place in _bit_places(rest, level):
+                at = place.astype(np.int64) + base
+                held &= (piece[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            rows, rest, base = rows[held], rest[held], base[held]
+            if not len(rows):
+                break
+            count[rows] = 1.0 if level == 1 else 1.5 * 2 ** (level - 1)
     return count
 
 
+def _broadcast_pieces(blocks: DataFrame, layout: Layout, shard: int) -> list:
+    """The shard in broadcasts of PIECE_BLOCKS blocks, so that the driver holds one piece at a time."""
+    pieces = []
+    for first in range(0, layout.blocks, PIECE_BLOCKS):
+        last = min(first + PIECE_BLOCKS, layout.blocks)
+        bits = np.zeros((last - first) * BLOCK_BYTES, np.uint8)
+        mine = blocks.where((F.col("shard") == shard) & F.col("block").between(first, last - 1))
+        for row in mine.select("block", "bits").collect():
+            at = (row["block"] - first) * BLOCK_BYTES
+            bits[at : at + BLOCK_BYTES] = np.frombuffer(row["bits"], np.uint8)
+        pieces.append(blocks.sparkSession.sparkContext.broadcast(bits))
+    return pieces
+
+
 def _known_counts(frequent: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
     """Exact counts of frequent tokens, -1 for others."""
     hashes, counts = frequent
@@ -234,10 +267,10 @@ def score_documents(docs: DataFrame, trains: Column, shard_bytes: int = SHARD_BY
     counts = written(token_counts(training))
     facts = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     n_all, n_words = facts["n"] or 0, facts["v"]
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas()
-    top_hash = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = _most_frequent(counts, frequent)
+    top_hash = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(top_hash)
-    common = spark.sparkContext.broadcast((top_hash[order], top["c"].to_numpy(np.int64)[order]))
+    common = spark.sparkContext.broadcast((top_hash[order], top["c"].to_numpy()[order]))
 
     layout = Layout(n_all, n_words, shard_bytes)
     blocks = written(build_filter(training, counts, layout))
@@ -271,11 +304,8 @@ def score_documents(docs: DataFrame, trains: Column, shard_bytes: int = SHARD_BY
 
     scored = None
     for s in range(layout.shards):
-        bits = np.zeros(layout.blocks * BLOCK_BYTES, np.uint8)
-        for row in blocks.where(F.col("shard") == s).select("block", "bits").toLocalIterator():
-            bits[row["block"] * BLOCK_BYTES : (row["block"] + 1) * BLOCK_BYTES] = np.frombuffer(row["bits"], np.uint8)
         part = rows.mapInArrow(
-            _scorer(spark.sparkContext.broadcast(bits), common, layout, s, space),
+            _scorer(_broadcast_pieces(blocks, layout, s), common, layout, s, space),
             "doc_id bigint, trains boolean, ref bigint, n_tokens bigint, known bigint, base double, score double",
         )
         scored = part if scored is None else scored.union(part)
@@ -301,7 +331,7 @@ def score_documents(docs: DataFrame, trains: Column, shard_bytes: int = SHARD_BY
 
 def _scorer(shared, common, layout: Layout, shard: int, space: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = [piece.value for piece in shared]
         for batch in bounded_slices(batches):
             tokens, ends = token_hashes(batch.column("text"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
