@@ -44,7 +44,7 @@ from partition_audit.llm.buffers import (
 from partition_audit.llm.components import connected_components
 from partition_audit.llm.shared import some_text, written
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 # Cost of a posting of a heavy set against one of a light set: its list is less selective.
 HEAVY_POSTING = 4
 SPARE_PARTS = 1
@@ -242,7 +242,12 @@ def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataF
 
 def _links(texts: pa.Array, nodes: np.ndarray, width: int, percent: int) -> np.ndarray:
     """Links that form a spanning forest of the sets' link graph."""
-    h, ends = shingle_sets(texts, width)
+    parts = [
+        shingle_sets(batch.column(0), width)
+        for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])])
+    ]
+    h = np.concatenate([part[0] for part in parts])
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part[1]) for part in parts]))])
     token = np.unique(h, return_inverse=True)[1]
     size = np.diff(ends)
     owner = np.repeat(np.arange(len(size)), size)
