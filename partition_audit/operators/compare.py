@@ -81,6 +81,8 @@ def align(
     if pairing not in PAIRINGS:
         raise ValueError(f"pairing must be one of {PAIRINGS}")
     listed = compare_columns(src, tgt) if compare is None else list(compare)
+    own_case = {name.lower(): name for name in src.columns}
+    tgt = tgt.toDF(*[own_case.get(name.lower(), name) for name in tgt.columns])
     keys, cols = list(keys), [c for c in listed if c not in set(keys)]
     for side, df in (("source", src), ("target", tgt)):
         if missing := [c for c in [*keys, *cols] if c not in df.columns]:

@@ -80,9 +80,16 @@ def compare_columns(
     tgt: DataFrame | T.StructType,
     exclude: Iterable[str] = (PARTITION_COLUMN,),
 ) -> list[str]:
-    """Columns both sides have, in source order, without the partition column."""
-    skipped, there = set(exclude), set(_names(tgt))
-    return [name for name in _names(src) if name in there and name not in skipped]
+    """Columns of both sides, in source order, without the partition column.
+
+    Names are told apart as Spark does, without regard to case. A column that only one side has is an
+    error: left out, rows that differ in it would count as the same.
+    """
+    skipped = {name.lower() for name in exclude}
+    here, there = ({n.lower(): n for n in _names(side) if n.lower() not in skipped} for side in (src, tgt))
+    if alone := sorted(here.keys() ^ there.keys()):
+        raise ValueError(f"columns on one side only: {alone}; name the columns to compare")
+    return list(here.values())
 
 
 def check_same_types(src: DataFrame, tgt: DataFrame, columns: Sequence[str]) -> None:

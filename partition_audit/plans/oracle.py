@@ -8,7 +8,7 @@ from __future__ import annotations
 
 ORACLE_SQL: dict[str, str] = {
     "data_num": """
-WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT COUNT(1) AS total_count FROM ev WHERE ds = '2024-01-08'
 """,
     "batch_data_num": """
@@ -17,7 +17,7 @@ UNION ALL SELECT 'customer', COUNT(1) FROM customer
 UNION ALL SELECT 'lineitem', COUNT(1) FROM lineitem
 """,
     "field_dist": """
-WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT event_type, COUNT(1) AS cnt FROM ev WHERE ds = '2024-01-08' GROUP BY event_type ORDER BY cnt DESC, event_type
 """,
     "null_checks": """
@@ -43,16 +43,16 @@ SELECT doc_id, CAST(length(cast(text as string)) AS BIGINT) AS field_len
 FROM documents ORDER BY field_len DESC, doc_id LIMIT 5
 """,
     "group_top_n": """
-SELECT o_custkey, o_orderkey, o_orderdate, rn FROM (
+SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS rn
   FROM orders) t WHERE rn <= 3
 """,
     "anti_join": """
-SELECT t1.doc_id, t1.lang FROM documents t1
+SELECT t1.* FROM documents t1
 LEFT JOIN labels t2 ON t1.doc_id = t2.doc_id WHERE t2.doc_id IS NULL
 """,
     "anti_join_multi": """
-SELECT t1.l_orderkey, t1.l_linenumber, t1.l_partkey FROM lineitem t1
+SELECT t1.* FROM lineitem t1
 LEFT JOIN lineitem t2 ON t1.l_orderkey = t2.l_orderkey AND t1.l_linenumber = t2.l_linenumber
   AND t2.l_returnflag = 'R'
 WHERE t2.l_orderkey IS NULL
@@ -171,20 +171,20 @@ UNION ALL SELECT 'changed', COUNT(CASE WHEN diff_type = 'changed' THEN 1 END) FR
 UNION ALL SELECT 'same', COUNT(CASE WHEN diff_type = 'same' THEN 1 END) FROM typed
 """,
     "data_clean": """
-WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT * FROM ev WHERE ds <> '2024-01-08' OR NOT coalesce(event_type = 'error', false)
 """,
     "move_partition": """
-WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT * FROM ev WHERE ds <> '2024-01-08-temp'
-UNION ALL SELECT event_id, user_id, event_type, value, '2024-01-08-temp' FROM ev WHERE ds = '2024-01-08'
+UNION ALL SELECT event_id, user_id, event_type, value, props, '2024-01-08-temp' FROM ev WHERE ds = '2024-01-08'
 """,
     "drop_partition": """
-WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT * FROM ev WHERE ds <> '2024-01-08'
 """,
     "create_temp_partition": """
-WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT ds, COUNT(1) AS row_count FROM ev GROUP BY ds
 UNION ALL SELECT '2024-01-08-temp', CAST(0 AS BIGINT)
 """,
@@ -230,7 +230,7 @@ UNION ALL SELECT 'duplicate_keys', 'doc_id', COUNT(1) FROM (SELECT doc_id FROM t
 UNION ALL SELECT 'duplicate_keys', 'text', COUNT(1) FROM (SELECT text FROM t GROUP BY text HAVING COUNT(1) > 1) x
 """,
     "partition_inventory": """
-WITH ev AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT ds, COUNT(1) AS row_count FROM ev GROUP BY ds
 """,
     "partition_size": """

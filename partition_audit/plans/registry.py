@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", "ts")
 
 
 def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +110,13 @@ def _check_field_len(spark, sf_dir):
 
 
 def _group_top_n(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    rows = table(spark, sf_dir, "orders")
     latest = [F.desc_nulls_last("o_orderdate")]
     return op.group_top_n(rows, ["o_custkey"], latest, 3, tie_break=["o_orderkey"])
 
 
 def _anti_join(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    documents = table(spark, sf_dir, "documents")
     return op.anti_join(documents, table(spark, sf_dir, "labels"), ["doc_id"])
 
 
@@ -124,7 +124,7 @@ def _anti_join_multi(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     returned = op.partition_filter(lines, "R", col="l_returnflag")
     keys = ["l_orderkey", "l_linenumber"]
-    return op.anti_join(lines.select(*keys, "l_partkey"), returned, keys)
+    return op.anti_join(lines, returned, keys)
 
 
 def _union_merge(spark, sf_dir):

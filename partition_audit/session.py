@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Without it every column expression costs extra driver round trips to record its call site.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Skewed joins stay split where the result is grouped by the same key.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rank limits reach the map side for any number of rows per group.
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     # Partition values such as '2026-03-08' stay text; '2026-03-08-temp' is not a date.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

@@ -6,6 +6,7 @@ Connection options (`url`, `user`, `password`, `driver`, ...) come from the call
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,15 @@ def read_options(
 ) -> dict[str, str]:
     """Reader options. A SELECT is wrapped so that it can be split like a table.
 
-    MySQL gets the row limit in the statement, so that it does not send more.
+    MySQL gets the row limit in the statement, so that it does not send more; not in a split read,
+    where each task would cut a result of its own.
     """
     text = table_or_query.strip().rstrip(";")
     if not text:
         raise ValueError("no table or query given")
-    is_query = text.lower().split(None, 1)[0] in ("select", "with")
+    is_query = re.match(r"(?is)(\s|\(|--[^\n]*\n|/\*.*?\*/)*(select|with)\b", text) is not None
     source = f"({text}) q" if is_query else text
-    if limit not in (None, "") and is_mysql(opts):
+    if limit not in (None, "") and is_mysql(opts) and partition_column is None:
         source = f"(SELECT * FROM {source} LIMIT {int(limit)}) q_limit"
     bounds = {
         "partitionColumn": partition_column,

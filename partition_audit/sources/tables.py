@@ -55,7 +55,8 @@ def read_partition(
     """
     if is_path(target) and is_safe(ds):
         fs, path = file_system(spark, table_path(spark, target, ds, col))
-        if fs.exists(path) and fs.listStatus(path):
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        if any(not name.startswith(("_", ".")) for name in names):
             reader = spark.read.format(fmt)
             if schema is not None:
                 reader = reader.schema(T.StructType([f for f in schema if f.name != col]))
@@ -67,7 +68,9 @@ def partition_values(spark: SparkSession, target: str, col: str = PARTITION_COLU
     """Known partition values, empty partitions included. No data file is opened for it."""
     if not is_path(target):
         spec = F.regexp_extract("partition", f"(?:^|/){re.escape(col)}=([^/]*)", 1)
-        return spark.sql(f"SHOW PARTITIONS {target}").select(spec.alias(col))
+        # Names come escaped as in directory names, where '+' stands for itself.
+        value = F.coalesce(F.try_url_decode(F.replace(spec, F.lit("+"), F.lit("%2B"))), spec)
+        return spark.sql(f"SHOW PARTITIONS {target}").select(value.alias(col))
     fs, path = file_system(spark, target)
     names = [str(status.getPath().getName()) for status in fs.listStatus(path)]
     values = [(unquote(n.split("=", 1)[1]),) for n in names if n.startswith(f"{col}=")]

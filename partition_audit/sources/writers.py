@@ -95,12 +95,15 @@ def copy_partition(
     """Replace the destination's content by the source's.
 
     With `drop_source` the partition is renamed: no row is read or written. The destination's old
-    content goes first, so a failure in between leaves the source as it was. Without it, or if there
-    is no such source partition (then the destination ends up empty), rows are copied.
+    content goes first, so a failure in between leaves the source as it was. Without it, rows are
+    copied. A source partition that does not exist is an error; an existing empty one empties the
+    destination.
     """
     if src_ds == dst_ds:
         raise ValueError("source and destination partition are the same")
-    if drop_source and _has_partition(spark, target, src_ds, col):
+    if not _has_partition(spark, target, src_ds, col):
+        raise LookupError(f"{target} has no partition {col}={src_ds}")
+    if drop_source:
         remove_partition(spark, target, dst_ds, col)
         _rename_partition(spark, target, src_ds, dst_ds, col)
         return
@@ -175,6 +178,8 @@ def change_schema(
         raise ValueError("schema changes by path: write evolve_schema(...) to a new path")
     current = spark.table(target)
     evolved = evolve_schema(current, add, rename, cast, (col,))
+    if not (add or rename or cast):
+        return
     if not rename and not cast:
         columns = ", ".join(f"`{name}` {kind}" for name, kind in (add or {}).items())
         spark.sql(f"ALTER TABLE {target} ADD COLUMNS ({columns})")

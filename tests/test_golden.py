@@ -95,9 +95,11 @@ def test_compare_columns(sample):
     assert pa.compare_columns(sample["src"], sample["tgt"]) == COLUMNS
     shuffled = sample["tgt"].select(*reversed(sample["tgt"].columns))
     assert pa.compare_columns(sample["src"], shuffled) == COLUMNS
-    assert pa.compare_columns(sample["src"].schema, sample["tgt"].drop("email").schema) == [
-        c for c in COLUMNS if c != "email"
-    ]
+    upper = sample["tgt"].withColumnRenamed("amount", "AMOUNT")
+    assert pa.compare_columns(sample["src"], upper) == COLUMNS
+    assert pa.data_diff(sample["src"], upper, ["id"]).count() == 2
+    with pytest.raises(ValueError, match="email"):
+        pa.compare_columns(sample["src"].schema, sample["tgt"].drop("email").schema)
 
 
 def test_union_merge(sample):

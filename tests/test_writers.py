@@ -100,9 +100,12 @@ def test_move_renames_files(spark, stored):
     assert sorted(r.ds for r in pa.partition_values(spark, stored[0]).collect()) == [OTHER, "2026-03-10"]
 
 
-def test_move_of_a_missing_partition_empties_the_destination(spark, stored):
-    pa.copy_partition(spark, stored[0], "2020-01-01", OTHER, drop_source=True, fmt=stored[1])
-    assert counts(spark, stored) == {DAY: 3}
+@pytest.mark.parametrize("drop_source", [True, False])
+def test_copy_of_a_missing_partition_is_refused(spark, stored, drop_source):
+    before = counts(spark, stored)
+    with pytest.raises(LookupError):
+        pa.copy_partition(spark, stored[0], "2020-01-01", OTHER, drop_source=drop_source, fmt=stored[1])
+    assert counts(spark, stored) == before
 
 
 def test_copy_of_an_empty_partition_empties_the_destination(spark, stored):
