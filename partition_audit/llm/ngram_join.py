@@ -6,9 +6,11 @@ shingle. Two sets link when 100 * |A n B| >= `percent` * |A u B|.
 1. Equal sets collapse to one node, so copies are never paired.
 2. Linked sets differ in a bounded number of elements, which gives keys that both must share:
    light sets (up to a boundary) list all subsets of the smallest overlap sizes that a partner can have;
-   heavy sets are cut into one part more than elements can differ, so that some part is whole in
-   both, and the inverted list of a part holds the sets that have it. Sets just below the boundary do
-   both. The boundary is the one of least cost for the table's set sizes.
+   heavy sets are put in the inverted lists of their rarest elements, one more than can be missing from a
+   partner. As all sets order elements alike, linked ones have one of these in common. Sets just below
+   the boundary do both. The boundary is the one of least cost for the table's set sizes.
+   Elements are ordered by how often those with the same `BUCKETS`-valued hash occur in all sets, then by
+   hash: lines and passages that many documents share come last, so they do not bring sets together.
 3. Inverted lists are scanned for stars (each set and the list's smallest node), first inside every
    task, so a list of a third of all sets costs one row per slice of text. Stars give candidate groups.
 4. Candidate groups are verified with the texts: inside a group an unvisited set is compared with one
@@ -47,7 +49,11 @@ from partition_audit.llm.shared import some_text, written
 BLOCK_BYTES = 8 << 20
 # Cost of a posting of a heavy set against one of a light set: its list is less selective.
 HEAVY_POSTING = 4
-SPARE_PARTS = 1
+# Shingles are counted by hash bucket; the levels that come of it are a byte each.
+BUCKETS = 1 << 24
+COUNT_BLOCK = 1 << 12
+COUNT_TASKS = 64
+LEVELS_PER_DOUBLING = 6
 DIGEST = ["n_shingles", "d1", "d2"]
 
 C1, C2, C3, C4 = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -121,31 +127,17 @@ def subset_sizes(n: int, percent: int) -> list[int]:
     return sorted({least_overlap(n, b, percent) for b in partner_sizes(n, percent)})
 
 
-def size_classes(largest: int, percent: int) -> list[int]:
-    """Lower ends of classes; a set's partners are in its own class and the ones beside it."""
-    ends = [1]
-    while ends[-1] <= 100 * largest // percent + 1:
-        ends.append(100 * ends[-1] // percent + 1)
-    return ends
-
-
-def class_parts(ends: list[int], k: int, percent: int) -> int:
-    """One part more than the elements in which a set of class k and a smaller partner can differ."""
-    most = 2 * (ends[k + 1] - 1)
-    return most * (100 - percent) // (100 + percent) + 1 + SPARE_PARTS
+def rarest(n, percent: int):
+    """Elements of a set of n (number or array) of which every partner has at least one."""
+    return n + -percent * n // 100 + 1
 
 
 def light_boundary(sizes: dict[int, int], percent: int) -> int:
     """Largest size whose sets list subsets: the cheapest boundary for {set size: sets}."""
     if not sizes:
         return 0
-    ends = size_classes(max(sizes), percent)
     order = sorted(sizes)
-    k, heavy = 0, {}
-    for n in order:
-        while ends[k + 1] <= n:
-            k += 1
-        heavy[n] = HEAVY_POSTING * sizes[n] * (class_parts(ends, k, percent) + class_parts(ends, k + 1, percent))
+    heavy = {n: HEAVY_POSTING * sizes[n] * rarest(n, percent) for n in order}
     cost = least = sum(heavy.values())
     boundary = 0
     for n in order:
@@ -167,58 +159,74 @@ def _light_keys(values: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _heavy_keys(h: np.ndarray, owner: np.ndarray, k: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of each part; k, parts: of the class that each element's set is cut for."""
-    part = ((mixed(h ^ C4) >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
-    group = owner.astype(np.int64) << 32 | part.astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    at = np.flatnonzero(np.diff(group, prepend=-1))
-    sums = np.add.reduceat(mixed(h[order] ^ C1), at) if len(at) else np.zeros(0, np.uint64)
-    own = group[at] >> 32
-    place = (group[at] & 0xFFFFFFFF).astype(np.uint64)
-    level = k[order][at].astype(np.uint64)
-    keys = mixed(sums + place * C2 + level * C3)
-    # Parts without elements say nothing; a set with more of them than spare parts says so.
-    filled = np.bincount(own, minlength=int(own.max()) + 1 if len(own) else 0)
-    sets = np.unique(own)
-    first = np.searchsorted(own, sets)
-    hollow = parts[order][at][first] - filled[sets] > SPARE_PARTS
-    extra = mixed(level[first][hollow] * C3 + C4)
-    return np.concatenate([own, sets[hollow]]), np.concatenate([keys, extra])
-
-
-def _keys(h: np.ndarray, ends: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (mixed(h ^ C4) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def bucket_levels(docs: DataFrame, width: int) -> np.ndarray:
+    """For each hash bucket the logarithm of how often its shingles occur, as a byte.
+
+    The array's size does not depend on the table. Every task counts its texts; counts are added up per block
+    of buckets, so a frequent shingle is one number of each task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.uint32)
+        for batch in bounded_slices(batches):
+            np.add.at(seen, _bucket(shingle_sets(batch.column(0), width)[0]), 1)
+        blocks = seen.reshape(-1, COUNT_BLOCK)
+        held = np.flatnonzero(blocks.any(1))
+        blobs = [pa.compress(blocks[i].tobytes(), "zstd", asbytes=True) for i in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(blobs, pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(pa.decompress(blob, 4 * COUNT_BLOCK, "zstd", asbytes=True), np.uint32)
+                total[block] = total.get(block, np.zeros(COUNT_BLOCK, np.uint64)) + counts
+        levels = [np.minimum(LEVELS_PER_DOUBLING * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(levels, pa.binary())], ["block", "levels"])
+
+    counted = docs.select(some_text().alias("text")).mapInArrow(count, "block bigint, counts binary")
+    summed = counted.repartition(COUNT_TASKS, "block").mapInArrow(add, "block bigint, levels binary")
+    levels = np.zeros((BUCKETS // COUNT_BLOCK, COUNT_BLOCK), np.uint8)
+    for row in summed.collect():
+        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.ravel()
+
+
+def _keys(
+    h: np.ndarray, ends: np.ndarray, boundary: int, percent: int, levels: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of every key."""
     size = np.diff(ends)
     owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for i in np.flatnonzero((size > 0) & (size <= boundary)):
         found = _light_keys(mixed(h[ends[i] : ends[i + 1]] ^ C2), percent)
         owners.append(np.full(len(found), i))
         keys.append(found)
-    classes = np.array(size_classes(int(size.max(initial=1)), percent))
-    parts = np.array([class_parts(classes.tolist(), k, percent) for k in range(len(classes) - 1)] + [1])
-    level = np.searchsorted(classes, size, "right") - 1
     heavy = size >= max(1, -(-percent * (boundary + 1) // 100))
     owner = np.repeat(np.arange(len(size)), size)
-    for up in (0, 1):
-        # Into the next class only sets whose partners reach it.
-        chosen = heavy if not up else heavy & (100 * size // percent >= classes[np.minimum(level + 1, len(classes) - 1)])
-        mine = chosen[owner]
-        k = level[owner[mine]] + up
-        own, found = _heavy_keys(h[mine], owner[mine], k, parts[k])
-        owners.append(own)
-        keys.append(found)
-    return np.concatenate(owners), np.concatenate(keys)
+    mine = heavy[owner]
+    h, owner = h[mine], owner[mine]
+    # Hashes of a set are sorted, and both sorts are stable.
+    order = np.lexsort((levels[_bucket(h)], owner))
+    size = size * heavy
+    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    first = order[place < np.repeat(rarest(size, percent), size)]
+    return np.concatenate([*owners, owner[first]]), np.concatenate([*keys, mixed(h[first] ^ C3)])
 
 
 def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataFrame:
     """(key, node, hub): hub is a node of the same slice that has the key too, or NULL for the slice's first."""
+    levels = docs.sparkSession.sparkContext.broadcast(bucket_levels(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_slices(batches):
             h, ends = shingle_sets(batch.column(0), width)
             node = _digests(h, ends)[0]
-            owner, key = _keys(h, ends, boundary, percent)
+            owner, key = _keys(h, ends, boundary, percent, levels.value)
             order = np.lexsort((node[owner], key))
             key, own = key[order].view(np.int64), node[owner[order]]
             new = np.ones(len(key), bool)

@@ -13,6 +13,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,19 +193,35 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert ngj.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_light_boundary_and_parts_cover_all_linked_pairs():
+def test_linked_sets_share_one_of_their_rarest_elements():
+    rng = random.Random(3)
     for percent in (80, 90):
-        ends = ngj.size_classes(500, percent)
         for a in range(1, 400, 7):
             for b in ngj.partner_sizes(a, percent):
-                if b >= a:
-                    k = max(i for i, e in enumerate(ends) if e <= b)
-                    own = max(i for i, e in enumerate(ends) if e <= a)
-                    assert k - own in (0, 1)
-                    most = a + b - 2 * ngj.least_overlap(a, b, percent)
-                    assert ngj.class_parts(ends, k, percent) > most + ngj.SPARE_PARTS - 1
+                # Neither may miss more of the other than its rarest elements are, less one.
+                assert ngj.rarest(a, percent) > a - ngj.least_overlap(a, b, percent)
+                assert ngj.rarest(b, percent) > b - ngj.least_overlap(a, b, percent)
+        for _ in range(300):
+            a = rng.randrange(1, 120)
+            b = rng.choice(list(ngj.partner_sizes(a, percent)))
+            common = ngj.least_overlap(a, b, percent)
+            order = rng.sample(range(a + b - common), a + b - common)
+            first, second = sorted(order[:a]), sorted(order[a - common :])
+            assert set(first[: ngj.rarest(a, percent)]) & set(second[: ngj.rarest(b, percent)])
     assert ngj.light_boundary({}, 90) == 0
-    assert ngj.light_boundary({12: 1000, 500: 1}, 90) >= 12
+    # One subset of nine elements costs less than a posting; of twelve there are thirteen.
+    assert ngj.light_boundary({9: 1000, 500: 1}, 90) == 9
+    assert ngj.light_boundary({12: 1000, 500: 1}, 90) == 0
+
+
+def test_shared_passages_do_not_bring_sets_together(spark):
+    passage = " ".join(f"p{i}" for i in range(80))
+    texts = [" ".join([*(f"d{n}w{i}" for i in range(150)), passage, f"end{n}"]) for n in range(40)]
+    levels = ngj.bucket_levels(docs(spark, list(enumerate(texts))).repartition(5), 5)
+    assert len(levels) == ngj.BUCKETS and levels.max() == int(6 * np.log2(41))
+    h, ends = ngj.shingle_sets(pa.array(texts), 5)
+    _, keys = ngj._keys(h, ends, 0, 80, levels)
+    assert len(set(keys.tolist())) == len(keys) == 40 * ngj.rarest(231, 80)
 
 
 def _without_repeats(rows, least=50):
