@@ -221,7 +221,7 @@ def test_shared_passages_do_not_bring_sets_together(spark):
     assert len(levels) == ngj.BUCKETS and levels.max() == int(6 * np.log2(41))
     h, ends = ngj.shingle_sets(pa.array(texts), 5)
     _, keys = ngj._keys(h, ends, 0, 80, levels)
-    assert len(set(keys.tolist())) == len(keys) == 40 * ngj.rarest(231, 80)
+    assert len(set(keys.tolist())) == len(keys) == 40 * ngj.rarest(len(h) // 40, 80)
 
 
 def _without_repeats(rows, least=50):
