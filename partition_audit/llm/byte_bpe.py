@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from partition_audit.llm.shared import some_text
 
 LONG_WORD = 256
-# Words of a slice; with their ids they take some tens of megabytes.
-SLICE_WORDS = 1_000_000
+# Words of a slice, and places of words merged side by side; both take some tens of megabytes.
+SLICE_WORDS = 1 << 18
+MERGED_PLACES = 1 << 19
 NO_RANK = np.int32(2**31 - 1)
 
 # The pattern's \s is Unicode white space, Java's is not.
@@ -161,7 +162,7 @@ def encode_words(ranks: Ranks, words: pa.Array) -> pa.ListArray:
     for width in (4, 8, 12, 16, 24, 32, 64, 128, LONG_WORD):
         group = open_words[(sizes[open_words] > low) & (sizes[open_words] <= width)]
         low = width
-        for part in np.array_split(group, max(1, len(group) * width // 2_000_000)):
+        for part in np.array_split(group, max(1, len(group) * width // MERGED_PLACES)):
             if len(part):
                 place = offsets[part][:, None] + np.arange(width)
                 inside = np.arange(width) < sizes[part][:, None]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.buffers import SLICE_BYTES, lowered, mixed, prefix_sums, span_hashes, text_buffer, word_spans
+from partition_audit.llm.buffers import lowered, mixed, prefix_sums, span_hashes, text_buffer, word_spans
 from partition_audit.llm.shared import some_text
 
 BUCKETS = 1 << 18
@@ -29,6 +29,8 @@ SAMPLE_PER_LANGUAGE = 500
 SAMPLE_CHARS = 2000
 CHAIN_WORDS = 64  # a text is labelled in chains of at most so many words
 BATCH_CHAINS = 128
+# Bytes of text labelled at a time; features and marginals take some hundred times as much.
+LABEL_BYTES = 1 << 19
 EPOCHS = 4
 RATE = 0.3
 UNKNOWN = "und"
@@ -184,7 +186,7 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, all_places = text_buffer(texts)
     low = 0
     while low < len(texts):
-        high = int(np.searchsorted(all_places, all_places[low] + SLICE_BYTES, "right")) - 1
+        high = int(np.searchsorted(all_places, all_places[low] + LABEL_BYTES, "right")) - 1
         high = min(max(high, low + 1), len(texts))
         data, places = text_buffer(texts.slice(low, high - low))
         data = lowered(data)
