@@ -171,9 +171,11 @@ def bucket_levels(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.uint32)
+        # A task's count stops at 65,535: any order that all sets share gives the same links.
+        seen = np.zeros(BUCKETS, np.uint16)
         for batch in bounded_slices(batches):
-            np.add.at(seen, _bucket(shingle_sets(batch.column(0), width)[0]), 1)
+            at, n = np.unique(_bucket(shingle_sets(batch.column(0), width)[0]), return_counts=True)
+            seen[at] = np.minimum(seen[at] + n, 65535)
         blocks = seen.reshape(-1, COUNT_BLOCK)
         held = np.flatnonzero(blocks.any(1))
         blobs = [pa.compress(blocks[i].tobytes(), "zstd", asbytes=True) for i in held]
@@ -183,7 +185,7 @@ def bucket_levels(docs: DataFrame, width: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(pa.decompress(blob, 4 * COUNT_BLOCK, "zstd", asbytes=True), np.uint32)
+                counts = np.frombuffer(pa.decompress(blob, 2 * COUNT_BLOCK, "zstd", asbytes=True), np.uint16)
                 total[block] = total.get(block, np.zeros(COUNT_BLOCK, np.uint64)) + counts
         levels = [np.minimum(LEVELS_PER_DOUBLING * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(levels, pa.binary())], ["block", "levels"])
