@@ -38,7 +38,7 @@ from partition_audit.llm.buffers import (
     text_buffer,
     word_spans,
 )
-from partition_audit.llm.shared import some_text, written
+from partition_audit.llm.shared import bounded_batches, some_text, written
 
 BITS_PER_TOKEN = 8
 PROBES = 5
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, trains: Column, shard_bytes: int = SHARD_BY
 
     `docs` has doc_id and text; `trains` says which rows the model learns from.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     rows = docs.select(
         "doc_id", some_text().alias("text"), F.coalesce(trains, F.lit(False)).alias("trains")
     ).withColumn("ref", F.xxhash64("doc_id", "text"))

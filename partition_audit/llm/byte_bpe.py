@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.shared import some_text
+from partition_audit.llm.shared import bounded_batches, some_text
 
 LONG_WORD = 256
 # Words of a slice, and places of words merged side by side; both take some tens of megabytes.
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """`docs` with the column `ids`: the token ids as little-endian unsigned 32-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     kept = [f"`{c}`" for c in docs.columns]
-    split = docs.select(*kept, pattern_words(some_text(), pattern).alias("__words"))
+    split = bounded_batches(docs).select(*kept, pattern_words(some_text(), pattern).alias("__words"))
     schema = docs.select(*kept, F.lit(b"").alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,4 +241,4 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
             fields = [*list(batch.schema), pa.field("decoded", pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, out], schema=pa.schema(fields))
 
-    return coded.select(*others, "ids").mapInArrow(run, schema)
+    return bounded_batches(coded).select(*others, "ids").mapInArrow(run, schema)

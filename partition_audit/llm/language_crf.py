@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partition_audit.llm.buffers import lowered, mixed, prefix_sums, span_hashes, text_buffer, word_spans
-from partition_audit.llm.shared import some_text
+from partition_audit.llm.shared import bounded_batches, some_text
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LANGUAGE = 500
@@ -234,7 +234,7 @@ def fit_language_model(labelled: DataFrame) -> Model:
 
 def language_of(docs: DataFrame, model: Model) -> Column:
     """A struct (lang_pred, score) predicted from the column text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def label(texts: pa.Array) -> pa.Array:

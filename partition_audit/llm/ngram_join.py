@@ -44,9 +44,9 @@ from partition_audit.llm.buffers import (
     word_spans,
 )
 from partition_audit.llm.components import connected_components
-from partition_audit.llm.shared import some_text, written
+from partition_audit.llm.shared import bounded_batches, some_text, written
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 # Cost of a posting of a heavy set against one of a light set: its list is less selective.
 HEAVY_POSTING = 4
 # Shingles are counted by hash bucket; the levels that come of it are a byte each.
@@ -109,7 +109,7 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
         return pa.StructArray.from_arrays(columns, DIGEST)
 
     kept = [f"`{c}`" for c in docs.columns]
-    found = docs.select(*kept, digest(some_text()).alias("__set"))
+    found = bounded_batches(docs).select(*kept, digest(some_text()).alias("__set"))
     return found.select(*kept, *[F.col(f"__set.{c}").alias(c) for c in DIGEST])
 
 

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+# A batch goes a row beyond the limit; below a power of two, its buffer is not doubled for that.
+BATCH_BYTES = 7 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`. Only where it is unset (local runs, tests) a folder is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +33,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, with Arrow batches in its session held to BATCH_BYTES unless the session has its own limit.
+
+    Spark counts rows alone by default: 10,000 long texts would fill a worker.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of text in all rows: what partition and bucket counts are sized by."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
