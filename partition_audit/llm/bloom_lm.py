@@ -356,8 +356,9 @@ def _scorer(shared, common, layout: Layout, shard: int, space: float):
                     batch.column("ref"),
                     size,
                     pa.array(known, pa.int64()),
-                    pa.array(base),
-                    pa.array(score),
+                    # Sums over no tokens come as whole numbers.
+                    pa.array(base, pa.float64()),
+                    pa.array(score, pa.float64()),
                 ],
                 ["doc_id", "trains", "ref", "n_tokens", "known", "base", "score"],
             )
