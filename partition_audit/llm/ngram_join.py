@@ -310,7 +310,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     nodes = written(
         sized.where("n_shingles > 0")
         .groupBy(*DIGEST)
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.count(F.lit(1)).alias("copies"),
+            F.max(F.octet_length("text")).alias("bytes"),
+        )
     )
     sizes = {r["n_shingles"]: r["count"] for r in nodes.groupBy("n_shingles").count().collect()}
     boundary = light_boundary(sizes, percent)
@@ -319,14 +323,17 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     stars = postings.withColumn("least", F.min("node").over(lists))
     edges = stars.select(F.col("node").alias("a"), F.coalesce("hub", "least").alias("b")).where("a <> b").distinct()
     groups = connected_components(edges)
-    members = nodes.join(groups, nodes["d1"] == groups["node"]).select("node", "rep", F.col("component").alias("grp"))
-    texts = docs.select(F.col("doc_id").alias("rep"), some_text().alias("text")).join(members, "rep")
-    texts = written(texts.dropDuplicates(["node"]).select("grp", "node", "text"))
-    weight = texts.groupBy("grp").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    weight = weight.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
-    blocks = texts.join(weight.select("grp", "blocks"), "grp").withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = written(
+        nodes.join(groups, nodes["d1"] == groups["node"]).select(
+            "node", "rep", "bytes", F.col("component").alias("grp")
+        )
     )
+    # Groups are cut into blocks by their sizes alone; a text travels to its document's set, then to its blocks.
+    weight = members.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    dealt = members.join(weight, "grp").select("rep", "node", "grp", "blocks", own)
+    texts = docs.select(F.col("doc_id").alias("rep"), some_text().alias("text"))
+    blocks = texts.join(dealt, "rep").dropDuplicates(["rep", "node"])
     other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
     paired = blocks.select("grp", "node", "text", "own", other).select(
         "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text"
