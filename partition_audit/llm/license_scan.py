@@ -1,20 +1,29 @@
 """License scan by patience alignment.
 
-A text is compared with every template whose words it has enough of. The template's rarest word in the
-text proposes windows; in each, the words that are unique both there and in the template are anchors,
-the longest increasing run of anchors is kept, and the gaps between them are aligned the same way.
-Coverage is the share of the template's words that are aligned. The best template of at least
-`least` coverage is reported; ties go to the longer template, then to the first.
-
-NULL and empty texts, and texts without a license, have NULL as license and coverage 0. Repeated rows
-get equal results. A text that holds a license several times reports the first best place.
+A text is compared with every template whose words it has enough of. An occurrence that covers `least` of
+a template aligns one of its n - ceil(least * n) + 1 rarest words in the text, whichever these are, so
+the windows around all places of these words are looked at. In each, the words that are unique both there and
+in the template are anchors, the longest increasing run of anchors is kept, and the gaps between them are
+aligned the same way. Coverage is the share of the template's words that are aligned.
+
+Where occurrences share words (a two-clause license in a three-clause one) the one with more aligned words
+has them; another counts if it still covers `least` of its template without them. All licenses that count
+are listed, in the order of the text. The best has the highest coverage; ties go to the longer template,
+then to the first place, then to the first template.
+
+Windows of two sizes (1.5 and 3 template lengths) begin at every eighth of a template's length, at every
+word for templates of less than 16 words.
+
+NULL and empty texts, and texts without a license, have NULL as license, coverage 0 and an empty list.
+Repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +42,16 @@ from partition_audit.llm.buffers import (
 from partition_audit.llm.shared import some_text
 
 LEAST = 0.7
+FOUND = ["license", "coverage", "at", "licenses"]
 
 # Notices of public licenses.
-TEMPLATES: list[tuple[str, str]] = [
+NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
 ]
+TEMPLATES = NOTICES
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,54 +102,103 @@ def patience_pairs(text: Sequence[int], template: Sequence[int]) -> list[tuple[i
     return sorted(pairs)
 
 
-def best_window(text: np.ndarray, template: np.ndarray) -> tuple[int, int]:
-    """(aligned words, first aligned word of the text) of the best window."""
-    words, counts = np.unique(text, return_counts=True)
-    count = dict(zip(words.tolist(), counts.tolist()))
-    rare = min((w for w in template.tolist() if w in count), key=lambda w: count[w], default=None)
-    if rare is None:
-        return 0, 0
-    size, at = len(template), template.tolist().index(rare)
-    best = (0, 0)
-    for place in np.flatnonzero(text == rare):
-        low = max(0, int(place) - at - size)
-        pairs = patience_pairs(text[low : int(place) - at + 2 * size].tolist(), template.tolist())
-        if pairs and len(pairs) > best[0]:
-            best = (len(pairs), low + pairs[0][0])
-    return best
+Places = list[int]  # of the aligned words in the text
+
+
+def needed(size: int, least: float) -> int:
+    """Aligned words that cover `least` of a template."""
+    return max(1, math.ceil(least * size - 1e-9))
+
+
+def windows(size: int) -> tuple[int, tuple[int, int]]:
+    """Distance of the places where windows of a template of `size` words begin, and their lengths."""
+    step = max(1, size // 8)
+    return step, (size + size // 2 + step, 3 * size + step)
+
+
+def seeded_windows(text: np.ndarray, template: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the windows that can cover `least`; words are numbers, -1 for those of no template."""
+    count = np.bincount(text + 1, minlength=int(template.max()) + 2)[1:]
+    rare = np.argsort(count[template], kind="stable")[: len(template) - needed(len(template), least) + 1]
+    seed = np.zeros(len(count) + 1, bool)
+    seed[template[rare]] = True  # the last place is that of -1
+    places = np.flatnonzero(seed[text])
+    of_template = np.bincount(template, minlength=len(count))
+    step, lengths = windows(len(template))
+    for length in lengths:
+        back = np.arange(-(-length // step))
+        begins = np.unique(places // step - back[:, None]) * step
+        for begin in begins[begins >= 0].tolist():
+            held = text[begin : begin + length]
+            held = held[held >= 0]
+            if len(held) >= needed(len(template), least):
+                own = np.unique(held)
+                common = np.minimum(np.bincount(held, minlength=len(count))[own], of_template[own]).sum()
+                if common >= needed(len(template), least):
+                    yield begin, min(begin + length, len(text))
+
+
+def occurrences(text: np.ndarray, template: np.ndarray, least: float) -> list[Places]:
+    """Aligned places of all windows that cover `least` of the template, without repetitions."""
+    words, found = template.tolist(), set()
+    for begin, end in seeded_windows(text, template, least):
+        pairs = patience_pairs(text[begin:end].tolist(), words)
+        if len(pairs) >= needed(len(words), least):
+            found.add(tuple(begin + at for at, _ in pairs))
+    return [list(places) for places in sorted(found)]
+
+
+def settled(found: list[tuple[int, Places]], sizes: Sequence[int], least: float) -> list[tuple[int, Places]]:
+    """Of (template, places) those that cover `least` without the words of others that have more of them."""
+    kept, taken = [], set()
+    for i, places in sorted(found, key=lambda x: (-len(x[1]), sizes[x[0]], x[1][0], x[0])):
+        if len(taken.intersection(places)) <= len(places) - needed(sizes[i], least):
+            kept.append((i, places))
+            taken.update(places)
+    return kept
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """`docs` with license, coverage and at (number of the first aligned word, NULL without a license)."""
+    """`docs` with license, coverage, at (number of the first aligned word, NULL without a license) and licenses."""
     names = [name for name, _ in templates]
     hashes, owner = _word_hashes(pa.array([text for _, text in templates], pa.string()))
-    wanted = [hashes[owner == i] for i in range(len(names))]
-    vocabulary = np.unique(hashes)
+    vocabulary, numbers = np.unique(hashes, return_inverse=True)
+    wanted = [numbers[owner == i] for i in range(len(names))]
+    sizes = [len(template) for template in wanted]
+    used = [i for i, size in enumerate(sizes) if size]
+    times = [np.bincount(template, minlength=len(vocabulary)) for template in wanted]
 
-    @F.arrow_udf("struct<license:string,coverage:double,at:bigint>")
+    @F.arrow_udf("struct<license:string,coverage:double,at:bigint,licenses:array<string>>")
     def scan(texts: pa.Array) -> pa.Array:
-        found: list[tuple] = []
+        results: list[tuple] = []
         for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
             h, text = _word_hashes(batch.column(0))
             word = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            held = vocabulary[word] == h
-            has = np.zeros((batch.num_rows, len(vocabulary)), bool)
-            has[text[held], word[held]] = True
+            word[vocabulary[word] != h] = -1
+            held = np.unique(text[word >= 0] * len(vocabulary) + word[word >= 0])
+            row_of, word_of = held // len(vocabulary), held % len(vocabulary)
             begin = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            best: list[tuple] = [(0.0, 0, None, None)] * batch.num_rows
-            for i, template in enumerate(wanted):
-                enough = has[:, np.searchsorted(vocabulary, template)].sum(1) >= least * len(template)
-                for row in np.flatnonzero(enough):
-                    n, at = best_window(h[begin[row] : begin[row + 1]], template)
-                    if n >= least * len(template) and (n / len(template), n) > best[row][:2]:
-                        best[row] = (n / len(template), n, names[i], at)
-            found.extend(best)
-        columns = [pa.array([x[2] for x in found], pa.string()), pa.array([x[0] for x in found], pa.float64()), pa.array([x[3] for x in found], pa.int64())]
-        return pa.StructArray.from_arrays(columns, ["license", "coverage", "at"])
-
-    kept = [f"`{c}`" for c in docs.columns if c not in ("license", "coverage", "at")]
+            found: dict[int, list[tuple[int, Places]]] = {}
+            for i in used:
+                has = np.bincount(row_of, times[i][word_of], batch.num_rows)
+                for row in np.flatnonzero(has >= needed(sizes[i], least)).tolist():
+                    own = occurrences(word[begin[row] : begin[row + 1]], wanted[i], least)
+                    found.setdefault(row, []).extend((i, places) for places in own)
+            for row in range(batch.num_rows):
+                kept = settled(found.get(row, []), sizes, least)
+                if not kept:
+                    results.append((None, 0.0, None, []))
+                    continue
+                i, places = min(kept, key=lambda x: (-len(x[1]) / sizes[x[0]], -sizes[x[0]], x[1][0], x[0]))
+                listed = dict.fromkeys(names[j] for j, _ in sorted(kept, key=lambda x: (x[1][0], x[0])))
+                results.append((names[i], len(places) / sizes[i], places[0], list(listed)))
+        types = [pa.string(), pa.float64(), pa.int64(), pa.list_(pa.string())]
+        columns = [pa.array([x[k] for x in results], kind) for k, kind in enumerate(types)]
+        return pa.StructArray.from_arrays(columns, FOUND)
+
+    kept = [f"`{c}`" for c in docs.columns if c not in FOUND]
     if not len(vocabulary):
-        none = [F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("coverage"), F.lit(None).cast("bigint").alias("at")]
-        return docs.select(*kept, *none)
+        none = [F.lit(None).cast("string"), F.lit(0.0), F.lit(None).cast("bigint"), F.array().cast("array<string>")]
+        return docs.select(*kept, *[column.alias(name) for column, name in zip(none, FOUND)])
     scanned = docs.select(*kept, scan(some_text()).alias("__found"))
-    return scanned.select(*kept, "__found.license", "__found.coverage", "__found.at")
+    return scanned.select(*kept, *[f"__found.{name}" for name in FOUND])
