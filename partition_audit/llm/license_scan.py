@@ -24,6 +24,7 @@ import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,30 @@ NOTICES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    *[
+        (name, f"This work is licensed under the GNU {kind} Public License, version {version}.")
+        for name, kind, version in (
+            ("GPL-2.0", "General", "2"),
+            ("LGPL-2.1", "Lesser General", "2.1"),
+            ("LGPL-3.0", "Lesser General", "3"),
+            ("AGPL-3.0", "Affero General", "3"),
+        )
+    ],
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
-TEMPLATES = NOTICES
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """Full texts (NAME.txt) and standard headers (NAME.header.txt) in `license_texts`."""
+    files = sorted((resources.files(__package__) / "license_texts").iterdir(), key=lambda f: f.name)
+    return [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text()) for f in files if f.name.endswith(".txt")]
+
+
+TEMPLATES: list[tuple[str, str]] = [*NOTICES, *license_texts()]
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""License scan: seeds against all windows, several licenses in one text."""
+"""License scan: full texts, seeds against all windows, several licenses in one text."""
 
 from __future__ import annotations
 
@@ -15,6 +15,22 @@ def scanned(spark, rows):
     return {r.doc_id: r for r in lic.scan_licenses(table).collect()}
 
 
+def edited(text, seed):
+    """The text with every thirtieth word changed, and others around it."""
+    words = text.split()
+    for i in range(seed, len(words), 30):
+        words[i] = f"edit{i}"
+    return f"Copyright 2020 some author\n{' '.join(words)}\nint main() {{ return 0; }}"
+
+
+def test_edited_full_texts_and_headers(spark):
+    texts = lic.license_texts()
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "ISC"} <= {n for n, _ in texts}
+    found = scanned(spark, [(i, edited(text, 7)) for i, (_, text) in enumerate(texts)])
+    assert {i: found[i].license for i in found} == {i: name for i, (name, _) in enumerate(texts)}
+    assert all(0.9 < r.coverage < 1 and r.licenses == [r.license] for r in found.values())
+
+
 def test_notices_are_told_apart(spark):
     found = scanned(spark, list(enumerate(text for _, text in lic.NOTICES)))
     for i, (name, _) in enumerate(lic.NOTICES):
