@@ -20,7 +20,8 @@ shingle. Two sets link when 100 * |A n B| >= `percent` * |A u B|.
 
 NULL and blank texts have an empty set and link with nothing, not with each other. Rows repeated in
 whole are copies of each other. Of rows without an id, `component_id` is the smallest id of the class,
-or NULL if it has none.
+or NULL if it has none. Sets find their texts by a hash of id and text, so neither rows without an id nor
+different texts under one id are taken for one another.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partition_audit.llm.buffers import (
@@ -304,17 +305,29 @@ def _verified(groups: DataFrame, width: int, percent: int) -> DataFrame:
     return groups.groupBy("grp", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
+def row_key() -> Column:
+    """Of a row's id and text, with 64 bits."""
+    return F.xxhash64("doc_id", some_text())
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """`docs` with n_shingles, d1, d2; and (n_shingles, d1, d2, component_id) of every linked set."""
+    """`docs` with n_shingles, d1, d2; and (n_shingles, d1, d2, component_id, pick, repeats) of every linked set.
+
+    `pick` is the row_key of the class's first row (by id, rows without one last, then by row_key), `repeats`
+    the number of rows that have it.
+    """
     sized = set_sizes(docs, width)
-    nodes = written(
+    rows = (
         sized.where("n_shingles > 0")
-        .groupBy(*DIGEST)
-        .agg(
-            F.min("doc_id").alias("rep"),
-            F.count(F.lit(1)).alias("copies"),
-            F.max(F.octet_length("text")).alias("bytes"),
-        )
+        .select(*DIGEST, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row_key().alias("pick")).alias("row"), F.octet_length("text").alias("bytes"))
+        .groupBy(*DIGEST, "row")
+        .agg(F.count(F.lit(1)).alias("repeats"), F.max("bytes").alias("bytes"))
+    )
+    first = F.struct("row.none", "row.doc_id", "row.pick", "repeats")
+    nodes = written(
+        rows.groupBy(*DIGEST)
+        .agg(F.min(first).alias("first"), F.sum("repeats").alias("copies"), F.max("bytes").alias("bytes"))
+        .withColumn("pick", F.col("first.pick"))
     )
     sizes = {r["n_shingles"]: r["count"] for r in nodes.groupBy("n_shingles").count().collect()}
     boundary = light_boundary(sizes, percent)
@@ -325,15 +338,15 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     groups = connected_components(edges)
     members = written(
         nodes.join(groups, nodes["d1"] == groups["node"]).select(
-            "node", "rep", "bytes", F.col("component").alias("grp")
+            "node", "pick", "bytes", F.col("component").alias("grp")
         )
     )
-    # Groups are cut into blocks by their sizes alone; a text travels to its document's set, then to its blocks.
+    # Groups are cut into blocks by their sizes alone; a text travels to its set, then to its blocks.
     weight = members.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    dealt = members.join(weight, "grp").select("rep", "node", "grp", "blocks", own)
-    texts = docs.select(F.col("doc_id").alias("rep"), some_text().alias("text"))
-    blocks = texts.join(dealt, "rep").dropDuplicates(["rep", "node"])
+    dealt = members.join(weight, "grp").select("pick", "node", "grp", "blocks", own)
+    texts = docs.select(row_key().alias("pick"), some_text().alias("text"))
+    blocks = texts.join(dealt, "pick").dropDuplicates(["pick", "node"])
     other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
     paired = blocks.select("grp", "node", "text", "own", other).select(
         "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text"
@@ -341,24 +354,36 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     links = _verified(paired, width, percent)
     linked = connected_components(links)
     member = nodes.join(linked, nodes["d1"] == linked["node"])
-    least = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked_sets = member.join(least, "component").select(*DIGEST, "component_id")
+    least = member.groupBy("component").agg(F.min("first").alias("least"))
+    linked_sets = member.join(least, "component").select(*DIGEST, "least")
     single = nodes.join(linked, nodes["d1"] == linked["node"], "left_anti")
-    classes = linked_sets.union(single.where("copies > 1").select(*DIGEST, F.col("rep").alias("component_id")))
-    return sized, written(classes)
+    classes = linked_sets.union(single.where("copies > 1").select(*DIGEST, "first"))
+    return sized, written(
+        classes.select(*DIGEST, F.col("least.doc_id").alias("component_id"), "least.pick", "least.repeats")
+    )
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its class)."""
     sized, classes = jaccard_classes(docs.select("doc_id", "text"), width, percent)
-    found = sized.select("doc_id", *DIGEST).join(classes, DIGEST, "left")
+    found = sized.select("doc_id", *DIGEST).join(classes.select(*DIGEST, "component_id"), DIGEST, "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Of each class the rows with its smallest doc_id, with all columns; others are not touched."""
+    """Of each class one row with its smallest doc_id, with all columns; others are not touched.
+
+    Among different texts under that id, and in classes without an id, the smallest row_key is kept.
+    """
     _, classes = jaccard_classes(docs.select("doc_id", "text"), width, percent)
     prefixed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     sized = set_sizes(prefixed, width)
-    kept = sized.join(classes, DIGEST, "left").where("component_id is null or doc_id = component_id")
+    found = sized.join(classes.select(*DIGEST, "pick", "repeats"), DIGEST, "left")
+    found = found.where(F.col("pick").isNull() | (row_key() == F.col("pick")))
+    if classes.where("repeats > 1").isEmpty():
+        kept = found.select("row")
+    else:
+        # Only rows with id and text of the class's first row are left, so a group is those alone.
+        again = found.where("repeats > 1").groupBy("pick").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = found.where("repeats is null or repeats = 1").select("row").union(again.select("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
