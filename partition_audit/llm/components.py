@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.shared import written
+from partition_audit.llm.shared import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: each node's neighbours are hung on the smallest node around it,
     until every edge leads to the root of its star. The number of rounds grows with the logarithm of a
-    component's size. Nothing is collected, and each round is written to the shared folder.
+    component's size. Nothing is collected; each round is written to the shared folder, the one before it deleted.
+    The caller may `discard` the result when it is no longer read.
     """
     current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    marks = _marks(current)
     while True:
         large = _hung(current.union(current.select("b", "a")).toDF("u", "v"), larger=True)
         following = written(_hung(large.toDF("u", "v"), larger=False))
-        if _marks(following) == _marks(current):
-            break
+        following_marks = _marks(following)
+        discard(current)
         current = following
+        if following_marks == marks:
+            break
+        marks = following_marks
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    found = current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    found.written_path = current.written_path
+    return found
 
 
 def _hung(edges: DataFrame, larger: bool) -> DataFrame:

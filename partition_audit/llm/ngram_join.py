@@ -13,10 +13,13 @@ shingle. Two sets link when 100 * |A n B| >= `percent` * |A u B|.
    hash: lines and passages that many documents share come last, so they do not bring sets together.
 3. Inverted lists are scanned for stars (each set and the list's smallest node), first inside every
    task, so a list of a third of all sets costs one row per slice of text. Stars give candidate groups.
-4. Candidate groups are verified with the texts: inside a group an unvisited set is compared with one
-   that is linked already, by scanning the inverted lists of its elements, until none is left. Links
-   that form a spanning forest come out, not all pairs. Groups of more than `BLOCK_BYTES` of text are cut
-   into blocks, and each pair of blocks is verified on its own.
+4. Inside a candidate group, sets are compared by sketches: bit maps that differ in no more bits than the
+   sets in elements, so no link is lost. What they tie together is a group of a few sets that are nearly all
+   linked; only the texts of these travel on.
+5. These groups are verified with the texts, by scanning the inverted lists of their elements. Links that
+   form a spanning forest come out, and on demand every set's number of links, all of them counted.
+   Groups of more than `BLOCK_BYTES` are cut by set size into blocks, and pairs of blocks whose sizes can
+   link are verified on their own.
 
 NULL and blank texts have an empty set and link with nothing, not with each other. Rows repeated in
 whole are copies of each other. Of rows without an id, `component_id` is the smallest id of the class,
@@ -27,7 +30,7 @@ different texts under one id are taken for one another.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -45,7 +48,7 @@ from partition_audit.llm.buffers import (
     word_spans,
 )
 from partition_audit.llm.components import connected_components
-from partition_audit.llm.shared import bounded_batches, some_text, written
+from partition_audit.llm.shared import bounded_batches, discard, some_text, written
 
 BLOCK_BYTES = 4 << 20
 # Cost of a posting of a heavy set against one of a light set: its list is less selective.
@@ -97,21 +100,24 @@ def _digests(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _sums(mixed(h ^ C2), ends).view(np.int64), _sums(mixed(h ^ C3), ends).view(np.int64)
 
 
-def set_sizes(docs: DataFrame, width: int) -> DataFrame:
-    """`docs` with n_shingles and two digests of the set."""
+def set_sizes(docs: DataFrame, width: int, sketched: bool = False) -> DataFrame:
+    """`docs` with n_shingles and two digests of the set, on demand with its sketch."""
+    names = [*DIGEST, "sketch"] if sketched else DIGEST
 
-    @F.arrow_udf("struct<n_shingles:bigint,d1:bigint,d2:bigint>")
+    @F.arrow_udf("struct<n_shingles:bigint,d1:bigint,d2:bigint" + (",sketch:binary>" if sketched else ">"))
     def digest(texts: pa.Array) -> pa.Array:
-        parts = []
+        parts, maps = [], []
         for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
             h, ends = shingle_sets(batch.column(0), width)
             parts.append((np.diff(ends), *_digests(h, ends)))
+            if sketched:
+                maps.extend(sketches(h, ends))
         columns = [pa.array(np.concatenate(x)) for x in zip(*parts)] or [pa.array([], pa.int64())] * 3
-        return pa.StructArray.from_arrays(columns, DIGEST)
+        return pa.StructArray.from_arrays([*columns, *([pa.array(maps, pa.binary())] if sketched else [])], names)
 
     kept = [f"`{c}`" for c in docs.columns]
     found = bounded_batches(docs).select(*kept, digest(some_text()).alias("__set"))
-    return found.select(*kept, *[F.col(f"__set.{c}").alias(c) for c in DIGEST])
+    return found.select(*kept, *[F.col(f"__set.{c}").alias(c) for c in names])
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -251,82 +257,212 @@ def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataF
     return docs.select(some_text().alias("text")).mapInArrow(run, "key bigint, node bigint, hub bigint")
 
 
-def _links(texts: pa.Array, nodes: np.ndarray, width: int, percent: int) -> np.ndarray:
-    """Links that form a spanning forest of the sets' link graph."""
+def sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Of each set a bit map of 2 to 4 bits an element: element i flips bit hash(i) modulo the map's length.
+
+    Two maps of one length differ in at most as many bits as the sets differ in elements. Lengths are 64 times a
+    power of two, so a longer map is folded to a shorter one by the exclusive or of its halves.
+    """
+    size = np.diff(ends)
+    bits = 64 << np.ceil(np.log2(np.maximum(2 * size, 64) / 64)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(size)), size)
+    at = first[owner] + (mixed(h ^ C1) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=int(first[-1])).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+class _Forest:
+    """Labels of items that are linked step by step."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def join(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Of `others` those that bring `one` to items it was not linked with, one for each such label."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[one]
+        labels, first = labels[new], first[new]
+        if len(labels):
+            self.label[np.isin(self.label, labels)] = self.label[one]
+        return others[first]
+
+
+def _sketch_edges(rows: pa.Table, percent: int) -> np.ndarray:
+    """Places (a, b) that tie together all rows whose sketches allow a link."""
+    size = rows.column("n_shingles").to_numpy()
+    side = rows.column("side").to_numpy()
+    maps = rows.column("payload").to_pylist()
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    width = np.array([len(maps[i]) for i in order])
+    folded: dict[int, np.ndarray] = {}
+    for w in sorted(set(width.tolist()), reverse=True):
+        # Rows of width w and all wider ones, folded; rows are in order of size, so these are the last rows.
+        wider = np.flatnonzero(width > w)
+        own = np.frombuffer(b"".join(maps[i] for i in order[width == w]), np.uint64).reshape(-1, w // 8)
+        if len(wider):
+            up = folded[int(width[wider[0]])]
+            while up.shape[1] > w // 8:
+                up = up[:, : up.shape[1] // 2] ^ up[:, up.shape[1] // 2 :]
+            own = np.concatenate([own, up])
+        folded[w] = own
+    cross = side[0] > 0
+    forest, edges, n = _Forest(len(size)), [], len(size)
+    for p in range(n):
+        last = int(np.searchsorted(size, 100 * size[p] // percent, "right"))
+        q = np.arange(p + 1, last)
+        q = q[(forest.label[q] != forest.label[p]) & (not cross or side[q] != side[p])]
+        if not len(q):
+            continue
+        maps_here = folded[int(width[p])]
+        shift = n - len(maps_here)
+        apart = np.bitwise_count(maps_here[q - shift] ^ maps_here[p - shift]).sum(1, dtype=np.int64)
+        most = size[q] + size[p] - 2 * (-(-percent * (size[q] + size[p]) // (100 + percent)))
+        near = forest.join(p, q[apart <= most])
+        edges.append(np.stack([np.full(len(near), p), near], 1))
+    found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+    return order[found]
+
+
+def _text_links(rows: pa.Table, width: int, percent: int, count: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that form a spanning forest of all links; and, on demand, how many rows each links with.
+
+    Every set scans the inverted lists of its shingles. Without counts, sets that are linked already are left out.
+    """
+    texts = rows.column("payload").cast(pa.string()).combine_chunks()
+    side = rows.column("side").to_numpy()
+    copies = rows.column("copies").to_numpy()
     parts = [
         shingle_sets(batch.column(0), width)
         for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])])
     ]
     h = np.concatenate([part[0] for part in parts])
-    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part[1]) for part in parts]))])
+    size = np.concatenate([np.diff(part[1]) for part in parts])
+    ends = np.concatenate([[0], np.cumsum(size)])
     token = np.unique(h, return_inverse=True)[1]
-    size = np.diff(ends)
     owner = np.repeat(np.arange(len(size)), size)
-    waiting, indexed, links = np.ones(len(size), bool), 0, []
-    queue: list[int] = []
-    seeds = iter(np.argsort(size, kind="stable"))
-    while True:
-        if not queue:
-            seed = next((int(s) for s in seeds if waiting[s]), None)
-            if seed is None:
-                break
-            waiting[seed] = False
-            queue.append(seed)
+    cross, held = side[0] > 0, np.zeros(len(size), np.int64)
+    forest, links = _Forest(len(size)), []
+    # Across two blocks the first block's sets look for those of the second.
+    seekers = np.flatnonzero(side == 1) if cross else np.argsort(size, kind="stable")
+    waiting = side == 2 if cross else np.ones(len(size), bool)
+    indexed = None
+    for p in seekers.tolist():
+        if not cross:
+            waiting[p] = False
         left = int(waiting.sum())
-        if left * 2 < indexed or not indexed:
-            if not left:
-                break
+        if not left:
+            break
+        if indexed is None or left * 2 < indexed:
             mine = waiting[owner]
             order = np.argsort(token[mine], kind="stable")
             listed = owner[mine][order]
             at = np.concatenate([[0], np.cumsum(np.bincount(token[mine], minlength=int(token.max()) + 1))])
             indexed = left
-        p = queue.pop()
         own = token[ends[p] : ends[p + 1]]
-        count = at[own + 1] - at[own]
-        place = np.repeat(at[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        length = at[own + 1] - at[own]
+        place = np.repeat(at[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
         common = np.bincount(listed[place], minlength=len(size))
         near = np.flatnonzero(waiting & (100 * common >= percent * (size + size[p] - common)))
-        waiting[near] = False
-        queue.extend(near.tolist())
-        links.append(np.stack([np.full(len(near), p), near], 1))
+        if count:
+            held[p] += copies[near].sum()
+            held[near] += copies[p]
+        joined = forest.join(p, near)
+        links.append(np.stack([np.full(len(joined), p), joined], 1))
     found = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
-    return nodes[found]
+    return found, held
+
 
+def _dealt(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """`members` (node, n_shingles, grp, payload, copies) with the `bundle` and `pair` they are worked on in, and a `side`:
+    0 where all are compared with one another, 1 and 2 where those of one block are compared with those of another.
 
-def _verified(groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) links among the texts of each (grp, i, j)."""
+    Small groups share bundles of about `limit` bytes. A larger one is cut into bands of set sizes, so that linked
+    sets are in one band or in neighbouring ones, and each band into blocks of `limit` bytes. Every pair of blocks
+    that can hold a link is a bundle; only there is a row repeated, once for each block it meets.
+    """
+    base = math.log(1.001 * 100 / percent)
+    banded = members.withColumn("band", F.floor(F.log("n_shingles") / base).cast("int"))
+    sized = banded.groupBy("grp", "band").agg(F.sum(F.octet_length("payload")).alias("bytes"))
+    groups = sized.groupBy("grp").agg(
+        F.sum("bytes").alias("total"),
+        F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("bytes") / limit).cast("int")))).alias("blocks"),
+    )
+    groups = written(groups)
+    total = groups.agg(F.sum("total")).first()[0] or 0
+    bundles = max(1, -(-total // limit))
+    rows = banded.join(groups, "grp")
+    spread = F.pmod(F.xxhash64("grp"), F.lit(bundles))
+    kept = ["grp", "node", "n_shingles", "copies", "payload"]
+    small = rows.where(F.col("total") <= limit).select(*kept, spread.alias("bundle"), F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("side"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")[F.col("band")]).cast("int")
+    meet = """flatten(array(
+        transform(sequence(0, blocks[band] - 1), q -> struct(band as lb, least(own, q) as lp, band as hb, greatest(own, q) as hp, case when q = own then 0 when q > own then 1 else 2 end as side)),
+        if(blocks[band + 1] is null, array(), transform(sequence(0, blocks[band + 1] - 1), q -> struct(band as lb, own as lp, band + 1 as hb, q as hp, 1 as side))),
+        if(blocks[band - 1] is null, array(), transform(sequence(0, blocks[band - 1] - 1), q -> struct(band - 1 as lb, q as lp, band as hb, own as hp, 2 as side)))))"""
+    large = rows.where(F.col("total") > limit).withColumn("own", own).withColumn("met", F.explode(F.expr(meet)))
+    pair = F.xxhash64("grp", "met.lb", "met.lp", "met.hb", "met.hp")
+    large = large.select(*kept, (-1 - F.pmod(pair, F.lit(1 << 60))).alias("bundle"), pair.alias("pair"), F.col("met.side").alias("side"))
+    return small.unionByName(large)
+
+
+def _tied(dealt: DataFrame, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """(a, b, n): linked nodes, and for nodes with b NULL how many rows they link with."""
 
     def run(table: pa.Table) -> pa.Table:
-        texts = table.column("text").combine_chunks()
-        found = _links(texts, table.column("node").to_numpy(), width, percent)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+        table = table.sort_by([("grp", "ascending"), ("pair", "ascending")])
+        grp, pair = table.column("grp").to_numpy(), table.column("pair").to_numpy()
+        node = table.column("node").to_numpy()
+        cut = np.flatnonzero((grp[1:] != grp[:-1]) | (pair[1:] != pair[:-1])) + 1
+        a, b, nodes, counts = [], [], [], []
+        for first, last in zip([0, *cut.tolist()], [*cut.tolist(), len(grp)]):
+            found, held = find(table.slice(first, last - first))
+            a.append(node[first + found[:, 0]])
+            b.append(node[first + found[:, 1]])
+            if held is not None:
+                some = np.flatnonzero(held)
+                nodes.append(node[first + some])
+                counts.append(held[some])
+        a, b, nodes, counts = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b, nodes, counts))
+        empty = [pa.nulls(len(nodes), pa.int64()), pa.nulls(len(a), pa.int64())]
+        return pa.table(
+            {
+                "a": pa.concat_arrays([pa.array(a, pa.int64()), pa.array(nodes, pa.int64())]),
+                "b": pa.concat_arrays([pa.array(b, pa.int64()), empty[0]]),
+                "n": pa.concat_arrays([empty[1], pa.array(counts, pa.int64())]),
+            }
+        )
 
-    return groups.groupBy("grp", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return dealt.groupBy("bundle").applyInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def row_key() -> Column:
-    """Of a row's id and text, with 64 bits."""
-    return F.xxhash64("doc_id", some_text())
+    """Of a row's id and text, with 128 bits."""
+    text = some_text()
+    return F.struct(F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, "doc_id", F.lit(1)).alias("k2"))
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """`docs` with n_shingles, d1, d2; and (n_shingles, d1, d2, component_id, pick, repeats) of every linked set.
+def jaccard_classes(
+    docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """`docs` with n_shingles, d1, d2; and (n_shingles, d1, d2, component_id, pick, repeats, n_links) of every linked set.
 
     `pick` is the row_key of the class's first row (by id, rows without one last, then by row_key), `repeats`
-    the number of rows that have it.
+    the number of rows that have it. `n_links` is the number of other rows that a row of the set links with, its
+    copies included, or NULL without `count_links`.
     """
     sized = set_sizes(docs, width)
     rows = (
-        sized.where("n_shingles > 0")
-        .select(*DIGEST, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row_key().alias("pick")).alias("row"), F.octet_length("text").alias("bytes"))
+        set_sizes(docs, width, sketched=True).where("n_shingles > 0")
+        .select(*DIGEST, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row_key().alias("pick")).alias("row"), F.octet_length("text").alias("bytes"), "sketch")
         .groupBy(*DIGEST, "row")
-        .agg(F.count(F.lit(1)).alias("repeats"), F.max("bytes").alias("bytes"))
+        .agg(F.count(F.lit(1)).alias("repeats"), F.max("bytes").alias("bytes"), F.max("sketch").alias("sketch"))
     )
     first = F.struct("row.none", "row.doc_id", "row.pick", "repeats")
     nodes = written(
         rows.groupBy(*DIGEST)
-        .agg(F.min(first).alias("first"), F.sum("repeats").alias("copies"), F.max("bytes").alias("bytes"))
+        .agg(F.min(first).alias("first"), F.sum("repeats").alias("copies"), F.max("bytes").alias("bytes"), F.max("sketch").alias("sketch"))
         .withColumn("pick", F.col("first.pick"))
     )
     sizes = {r["n_shingles"]: r["count"] for r in nodes.groupBy("n_shingles").count().collect()}
@@ -335,39 +471,57 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     postings = _postings(docs, width, percent, boundary)
     stars = postings.withColumn("least", F.min("node").over(lists))
     edges = stars.select(F.col("node").alias("a"), F.coalesce("hub", "least").alias("b")).where("a <> b").distinct()
-    groups = connected_components(edges)
-    members = written(
-        nodes.join(groups, nodes["d1"] == groups["node"]).select(
-            "node", "pick", "bytes", F.col("component").alias("grp")
-        )
-    )
-    # Groups are cut into blocks by their sizes alone; a text travels to its set, then to its blocks.
-    weight = members.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    dealt = members.join(weight, "grp").select("pick", "node", "grp", "blocks", own)
-    texts = docs.select(row_key().alias("pick"), some_text().alias("text"))
-    blocks = texts.join(dealt, "pick").dropDuplicates(["pick", "node"])
-    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    paired = blocks.select("grp", "node", "text", "own", other).select(
-        "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text"
+    # Sets that share a key, then those of them whose sketches allow a link, then links by the texts.
+    chained = connected_components(edges)
+    members = nodes.join(chained.withColumnRenamed("component", "grp"), nodes["d1"] == chained["node"])
+    sketched = members.select("grp", "node", "n_shingles", "copies", F.col("sketch").alias("payload"))
+    alike = connected_components(
+        _tied(_dealt(sketched, percent, BLOCK_BYTES), lambda rows: (_sketch_edges(rows, percent), None)).select("a", "b")
     )
-    links = _verified(paired, width, percent)
-    linked = connected_components(links)
+    members = nodes.join(alike.withColumnRenamed("component", "grp"), nodes["d1"] == alike["node"])
+    texts = docs.select(row_key().alias("pick"), some_text().alias("payload"))
+    of_sets = members.select("pick", "node", "n_shingles", "copies", "grp").join(texts, "pick").dropDuplicates(["pick", "node"])
+    held = written(of_sets.select("grp", "node", "n_shingles", "copies", F.col("payload").cast("binary").alias("payload")))
+    found = written(_tied(_dealt(held, percent, BLOCK_BYTES), _finder(width, percent, count_links)))
+    linked = connected_components(found.where("b is not null").select("a", "b"))
+    discard(held)
     member = nodes.join(linked, nodes["d1"] == linked["node"])
     least = member.groupBy("component").agg(F.min("first").alias("least"))
-    linked_sets = member.join(least, "component").select(*DIGEST, "least")
+    classes = member.join(least, "component").select(*DIGEST, "copies", "least")
     single = nodes.join(linked, nodes["d1"] == linked["node"], "left_anti")
-    classes = linked_sets.union(single.where("copies > 1").select(*DIGEST, "first"))
-    return sized, written(
-        classes.select(*DIGEST, F.col("least.doc_id").alias("component_id"), "least.pick", "least.repeats")
+    classes = classes.union(single.where("copies > 1").select(*DIGEST, "copies", "first"))
+    n_links = F.lit(None).cast("bigint")
+    if count_links:
+        counts = found.where("b is null").groupBy(F.col("a").alias("d1")).agg(F.sum("n").alias("n"))
+        classes = classes.join(counts, "d1", "left")
+        n_links = F.col("copies") - 1 + F.coalesce("n", F.lit(0))
+    result = written(
+        classes.select(
+            *DIGEST, F.col("least.doc_id").alias("component_id"), "least.pick", "least.repeats", n_links.alias("n_links")
+        )
     )
+    for done in (nodes, found, linked, chained, alike):
+        discard(done)
+    return sized, result
+
 
+def _finder(width: int, percent: int, count: bool) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]]:
+    def find(rows: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
+        found, held = _text_links(rows, width, percent, count)
+        return found, held if count else None
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its class)."""
-    sized, classes = jaccard_classes(docs.select("doc_id", "text"), width, percent)
-    found = sized.select("doc_id", *DIGEST).join(classes.select(*DIGEST, "component_id"), DIGEST, "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return find
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its class).
+
+    With `count_links` also n_links: the number of other documents that it links with, copies included.
+    """
+    sized, classes = jaccard_classes(docs.select("doc_id", "text"), width, percent, count_links)
+    found = sized.select("doc_id", *DIGEST).join(classes.select(*DIGEST, "component_id", "n_links"), DIGEST, "left")
+    counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *counts)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -81,7 +81,7 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=90)
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=90, count_links=True)
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

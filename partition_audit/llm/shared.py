@@ -30,7 +30,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a `written` table that nothing reads any more; for other DataFrames nothing happens."""
+    path = getattr(table, "written_path", None)
+    if path is not None:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
