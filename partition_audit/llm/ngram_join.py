@@ -11,11 +11,11 @@ shingle. Two sets link when 100 * |A n B| >= `percent` * |A u B|.
    the boundary do both. The boundary is the one of least cost for the table's set sizes.
    Elements are ordered by how often those with the same `BUCKETS`-valued hash occur in all sets, then by
    hash: lines and passages that many documents share come last, so they do not bring sets together.
-3. Inverted lists are scanned for stars (each set and the list's smallest node), first inside every
-   task, so a list of a third of all sets costs one row per slice of text. Stars give candidate groups.
-4. Inside a candidate group, sets are compared by sketches: bit maps that differ in no more bits than the
-   sets in elements, so no link is lost. What they tie together is a group of a few sets that are nearly all
-   linked; only the texts of these travel on.
+   Heavy lists are kept apart by bands of set sizes, as sets of very different sizes do not link.
+3. Lists of at least two sets are scanned; of lists that hold the same sets, one.
+4. Inside a list, sets are compared by sketches: bit maps that differ in no more bits than the sets in
+   elements, so no link is lost. What passes ties sets to groups that are nearly all linked; only the texts of
+   these travel on. Lists too long for one task are cut like the groups of step 5.
 5. These groups are verified with the texts, by scanning the inverted lists of their elements. Links that
    form a spanning forest come out, and on demand every set's number of links, all of them counted.
    Groups of more than `BLOCK_BYTES` are cut by set size into blocks, and pairs of blocks whose sizes can
@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partition_audit.llm.buffers import (
@@ -166,6 +166,11 @@ def _light_keys(values: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def band_width(percent: int) -> float:
+    """Of the logarithm of set sizes: linked sets are in one band or in neighbouring ones."""
+    return math.log(1.001 * 100 / percent)
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (mixed(h ^ C4) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -224,37 +229,39 @@ def _keys(
     size = size * heavy
     place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
     first = order[place < np.repeat(rarest(size, percent), size)]
-    return np.concatenate([*owners, owner[first]]), np.concatenate([*keys, mixed(h[first] ^ C3)])
+    h, owner = mixed(h[first] ^ C3), owner[first]
+    # A list holds sets of two neighbouring bands of sizes; linked sets are in one band or in such two.
+    band = (np.log(np.maximum(size, 1)) / band_width(percent)).astype(np.uint64)[owner]
+    return np.concatenate([*owners, owner, owner]), np.concatenate([*keys, mixed(h ^ band), mixed(h ^ (band + np.uint64(1)))])
 
 
 def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataFrame:
-    """(key, node, hub): hub is a node of the same slice that has the key too, or NULL for the slice's first."""
+    """(key, node) of every key of every set, once for each slice of text that holds the set."""
     levels = docs.sparkSession.sparkContext.broadcast(bucket_levels(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_slices(batches):
             h, ends = shingle_sets(batch.column(0), width)
-            node = _digests(h, ends)[0]
             owner, key = _keys(h, ends, boundary, percent, levels.value)
-            order = np.lexsort((node[owner], key))
-            key, own = key[order].view(np.int64), node[owner[order]]
+            node = _digests(h, ends)[0][owner]
+            order = np.lexsort((node, key))
+            key, node = key[order].view(np.int64), node[order]
             new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            first = own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else own
-            # Of a slice's list only the hub goes on; the others are hung on it here.
-            again = ~new & (own != first)
-            edge = np.unique(np.stack([own[again], first[again]], 1), axis=0) if again.any() else np.zeros((0, 2), np.int64)
-            n = int(new.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key[new], edge[:, 0]])),
-                    pa.array(np.concatenate([own[new], edge[:, 0]])),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), edge[:, 1]]), mask=np.arange(n + len(edge)) < n),
-                ],
-                ["key", "node", "hub"],
-            )
-
-    return docs.select(some_text().alias("text")).mapInArrow(run, "key bigint, node bigint, hub bigint")
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new])], ["key", "node"])
+
+    return docs.select(some_text().alias("text")).mapInArrow(run, "key bigint, node bigint")
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """(grp, node): the inverted lists of at least two sets, one of those that hold the same sets."""
+    several = (
+        postings.groupBy("key")
+        .agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sum"))
+        .where("lo < hi")
+    )
+    chosen = several.groupBy("lo", "hi", "n", "sum").agg(F.min("key").alias("key"))
+    return postings.join(chosen.select("key"), "key").select(F.col("key").alias("grp"), "node").distinct()
 
 
 def sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -382,8 +389,7 @@ def _dealt(members: DataFrame, percent: int, limit: int) -> DataFrame:
     sets are in one band or in neighbouring ones, and each band into blocks of `limit` bytes. Every pair of blocks
     that can hold a link is a bundle; only there is a row repeated, once for each block it meets.
     """
-    base = math.log(1.001 * 100 / percent)
-    banded = members.withColumn("band", F.floor(F.log("n_shingles") / base).cast("int"))
+    banded = members.withColumn("band", F.floor(F.log("n_shingles") / band_width(percent)).cast("int"))
     sized = banded.groupBy("grp", "band").agg(F.sum(F.octet_length("payload")).alias("bytes"))
     groups = sized.groupBy("grp").agg(
         F.sum("bytes").alias("total"),
@@ -467,17 +473,16 @@ def jaccard_classes(
     )
     sizes = {r["n_shingles"]: r["count"] for r in nodes.groupBy("n_shingles").count().collect()}
     boundary = light_boundary(sizes, percent)
-    lists = Window.partitionBy("key")
-    postings = _postings(docs, width, percent, boundary)
-    stars = postings.withColumn("least", F.min("node").over(lists))
-    edges = stars.select(F.col("node").alias("a"), F.coalesce("hub", "least").alias("b")).where("a <> b").distinct()
+    postings = written(_postings(docs, width, percent, boundary))
     # Sets that share a key, then those of them whose sketches allow a link, then links by the texts.
-    chained = connected_components(edges)
-    members = nodes.join(chained.withColumnRenamed("component", "grp"), nodes["d1"] == chained["node"])
-    sketched = members.select("grp", "node", "n_shingles", "copies", F.col("sketch").alias("payload"))
+    lists = _lists(postings)
+    members = nodes.join(lists, nodes["d1"] == lists["node"])
+    sketched = written(members.select("grp", "node", "n_shingles", "copies", F.col("sketch").alias("payload")))
+    discard(postings)
     alike = connected_components(
         _tied(_dealt(sketched, percent, BLOCK_BYTES), lambda rows: (_sketch_edges(rows, percent), None)).select("a", "b")
     )
+    discard(sketched)
     members = nodes.join(alike.withColumnRenamed("component", "grp"), nodes["d1"] == alike["node"])
     texts = docs.select(row_key().alias("pick"), some_text().alias("payload"))
     of_sets = members.select("pick", "node", "n_shingles", "copies", "grp").join(texts, "pick").dropDuplicates(["pick", "node"])
@@ -500,7 +505,7 @@ def jaccard_classes(
             *DIGEST, F.col("least.doc_id").alias("component_id"), "least.pick", "least.repeats", n_links.alias("n_links")
         )
     )
-    for done in (nodes, found, linked, chained, alike):
+    for done in (nodes, found, linked, alike):
         discard(done)
     return sized, result
 
