@@ -32,15 +32,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[places[0] : places[-1]], places - places[0]
 
 
-def bounded_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches of whole rows with about SLICE_BYTES of text each."""
+def bounded_slices(
+    batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Batches of whole rows with about `limit` bytes of text each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, places = text_buffer(batch.column(column))
         first = 0
         while first < batch.num_rows:
-            last = int(np.searchsorted(places, places[first] + SLICE_BYTES, "right")) - 1
+            last = int(np.searchsorted(places, places[first] + limit, "right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partition_audit.llm.best_fit_packing import Capacity, pack_documents
 from partition_audit.llm.bloom_lm import score_documents
 from partition_audit.llm.byte_bpe import decode, encode
 from partition_audit.llm.decontaminate import contamination
@@ -15,6 +16,7 @@ from partition_audit.llm.language_crf import fit_language_model, with_language
 from partition_audit.llm.license_scan import scan_licenses
 from partition_audit.llm.ngram_join import near_duplicates
 from partition_audit.llm.suffix_repeats import without_repeats
+from partition_audit.llm.token_alignment import align_tokenizers
 from partition_audit.llm.url_filter import Rule, url_verdicts
 from partition_audit.llm.warc import as_record, derivatives, derived_id
 
@@ -110,6 +112,24 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), Capacity(tokens=2048))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -123,5 +143,7 @@ QUERIES: dict[str, Query] = {
         op8_warc_derivatives,
         op9_language_crf,
         op10_suffix_repeats,
+        op12_best_fit_packing,
+        op13_token_alignment,
     )
 }
