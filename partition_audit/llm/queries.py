@@ -12,6 +12,7 @@ from partition_audit.llm.bloom_lm import score_documents
 from partition_audit.llm.byte_bpe import decode, encode
 from partition_audit.llm.decontaminate import contamination
 from partition_audit.llm.exact_dedup import exact_groups
+from partition_audit.llm.hard_negatives import hard_negatives
 from partition_audit.llm.language_crf import fit_language_model, with_language
 from partition_audit.llm.license_scan import scan_licenses
 from partition_audit.llm.ngram_join import near_duplicates
@@ -112,6 +113,13 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    named = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives(named, F.col("id") % 50 == 0)
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -143,6 +151,7 @@ QUERIES: dict[str, Query] = {
         op8_warc_derivatives,
         op9_language_crf,
         op10_suffix_repeats,
+        op11_hard_negatives,
         op12_best_fit_packing,
         op13_token_alignment,
     )
