@@ -12,8 +12,9 @@ pieces of a whole sequence; the last piece may be shorter. Pieces that fill a se
 dealt by turns into parcels of about `PARCEL_TOKENS` tokens and at most `PARCEL_PIECES` pieces, each packed by one
 task that sees lengths only, never texts. Parcels share no sequences, so each leaves at most a few unfilled.
 
-Words between ASCII white space are encoded once per worker (as long as it remembers them): the tokenizer drops
-white space, and none of its steps looks beyond it. NULL and empty texts are the closing id alone. Repeated rows and rows without
+Words between ASCII white space, in lower case and without the marks behind them, are encoded once per worker (as
+long as it remembers them): the tokenizer lowers case, drops white space, parts letters from marks, and none of its
+steps looks beyond these places. Where a slice holds the string of a special token, words are encoded as they are. NULL and empty texts are the closing id alone. Repeated rows and rows without
 an id are documents of their own; columns besides `doc_id` and `text` are not looked at. A need above a capacity
 (a piece whose attention cost alone is too great) gets a sequence of its own.
 """
@@ -30,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.buffers import bounded_slices, prefix_sums, span_hashes, text_buffer, word_spans
+from partition_audit.llm.buffers import bounded_slices, lowered, prefix_sums, span_hashes, text_buffer, word_spans
 from partition_audit.llm.shared import bounded_batches, some_text, written
 
 PARCEL_TOKENS = 16 << 20
 PARCEL_PIECES = 100_000
 # Words that a worker remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_000_000
 RULES = ("norm", "dot")
+MOST_MARKS = 4
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
 
 
 @dataclass(frozen=True)
@@ -91,12 +96,37 @@ class _Words:
 _words = _Words()
 
 
+@lru_cache(maxsize=1)
+def _special(path: str) -> list[bytes]:
+    return [t.content.lower().encode() for t in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
+def _cut_marks(data: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words with the marks behind their last letter or digit as words of their own, as the tokenizer parts these too."""
+    last = end.copy()
+    for _ in range(MOST_MARKS):
+        last -= _MARK[data[last - 1]] & (last - 1 > begin)
+    cut = (last < end) & _ALNUM[data[last - 1]]
+    at = np.arange(len(begin)) + np.cumsum(cut) - cut
+    out = []
+    for head, mark in ((begin, last), (np.where(cut, last, end), end), (owner, owner)):
+        values = np.empty(len(begin) + int(cut.sum()), np.int64)
+        values[at] = head
+        values[at[cut] + 1] = mark[cut]
+        out.append(values)
+    return tuple(out)
+
+
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and where each text's begin; words are encoded once."""
     data, places = text_buffer(texts)
     begin, end, owner = word_spans(data, places)
     if not len(begin):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    small = lowered(data)
+    if not any(token in small.tobytes() for token in _special(path)):
+        data = small
+        begin, end, owner = _cut_marks(data, begin, end, owner)
     _, first, word = np.unique(span_hashes(prefix_sums(data), begin, end), return_index=True, return_inverse=True)
     size = end - begin
     # Words with one hash must be one word, byte by byte.

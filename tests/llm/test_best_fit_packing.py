@@ -17,6 +17,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 EDGES = [
     (1, None), (2, ""), (3, " \n"), (4, "Word"), (None, "no id"), (6, "tie"), (7, "tie"), (7, "tie"), (8, "x " * 9000),
     (9, "a<|endoftext|>b <|startoftext|> don't\x1cstop  ́x Σ ΑΣ. ΣΑΣ İ"), (10, "y" * 5000), (11, "z " * 63), (12, "z " * 127),
+    (13, "Ends. Now, then;: no... e.g. x!!!!!! A1. _. ??? ÀB. \u0130. It's. \"Q.\" a.b. (c). d.\u0301 K. \u212a."),
 ]
 
 
