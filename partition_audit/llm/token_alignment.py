@@ -163,7 +163,7 @@ def aligned(text: str, one: Tokens, two: Tokens) -> tuple[np.ndarray, np.ndarray
         return None
     a, b = one.encode(text), two.encode(text)
     whole = b" " + text.encode()
-    if b"".join([one.pieces[i] for i in a]) != whole or b"".join([two.pieces[i] for i in b]) != whole:
+    if b"".join(map(one.pieces.__getitem__, a)) != whole or b"".join(map(two.pieces.__getitem__, b)) != whole:
         return None
     a, b = np.array(a, np.int64), np.array(b, np.int64)
     runs = np.array(common_ends(np.cumsum(one.lengths[a]).tolist(), np.cumsum(two.lengths[b]).tolist()), np.int64)
