@@ -78,7 +78,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Of a polynomial hash: what `span_hashes` takes differences of."""
     global _powers
     if len(_powers[0]) <= len(data):
-        n = max(len(data) + 1, SLICE_BYTES + 1)
+        n = (len(data) // (1 << 18) + 1 << 18) + 1
         _powers = tuple(
             np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
             for base in (_BASE, _BASE_INVERSE)

@@ -51,6 +51,8 @@ from partition_audit.llm.components import connected_components
 from partition_audit.llm.shared import bounded_batches, discard, some_text, written
 
 BLOCK_BYTES = 4 << 20
+# Text shingled at a time: about 50 times as much memory is used for it.
+TEXT_BYTES = 1 << 20
 # Cost of a posting of a heavy set against one of a light set: its list is less selective.
 HEAVY_POSTING = 4
 # Shingles are counted by hash bucket; the levels that come of it are a byte each.
@@ -107,7 +109,7 @@ def set_sizes(docs: DataFrame, width: int, sketched: bool = False) -> DataFrame:
     @F.arrow_udf("struct<n_shingles:bigint,d1:bigint,d2:bigint" + (",sketch:binary>" if sketched else ">"))
     def digest(texts: pa.Array) -> pa.Array:
         parts, maps = [], []
-        for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])], limit=TEXT_BYTES):
             h, ends = shingle_sets(batch.column(0), width)
             parts.append((np.diff(ends), *_digests(h, ends)))
             if sketched:
@@ -185,7 +187,7 @@ def bucket_levels(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's count stops at 65,535: any order that all sets share gives the same links.
         seen = np.zeros(BUCKETS, np.uint16)
-        for batch in bounded_slices(batches):
+        for batch in bounded_slices(batches, limit=TEXT_BYTES):
             at, n = np.unique(_bucket(shingle_sets(batch.column(0), width)[0]), return_counts=True)
             seen[at] = np.minimum(seen[at] + n, 65535)
         blocks = seen.reshape(-1, COUNT_BLOCK)
@@ -240,7 +242,7 @@ def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataF
     levels = docs.sparkSession.sparkContext.broadcast(bucket_levels(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_slices(batches):
+        for batch in bounded_slices(batches, limit=TEXT_BYTES):
             h, ends = shingle_sets(batch.column(0), width)
             owner, key = _keys(h, ends, boundary, percent, levels.value)
             node = _digests(h, ends)[0][owner]
@@ -342,7 +344,7 @@ def _text_links(rows: pa.Table, width: int, percent: int, count: bool) -> tuple[
     copies = rows.column("copies").to_numpy()
     parts = [
         shingle_sets(batch.column(0), width)
-        for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])])
+        for batch in bounded_slices([pa.RecordBatch.from_arrays([texts], ["text"])], limit=TEXT_BYTES)
     ]
     h = np.concatenate([part[0] for part in parts])
     size = np.concatenate([np.diff(part[1]) for part in parts])
@@ -385,7 +387,7 @@ def _dealt(members: DataFrame, percent: int, limit: int) -> DataFrame:
     """`members` (node, n_shingles, grp, payload, copies) with the `bundle` and `pair` they are worked on in, and a `side`:
     0 where all are compared with one another, 1 and 2 where those of one block are compared with those of another.
 
-    Small groups share bundles of about `limit` bytes. A larger one is cut into bands of set sizes, so that linked
+    Small groups share bundles of about a quarter of `limit` bytes. A larger one is cut into bands of set sizes, so that linked
     sets are in one band or in neighbouring ones, and each band into blocks of `limit` bytes. Every pair of blocks
     that can hold a link is a bundle; only there is a row repeated, once for each block it meets.
     """
@@ -397,7 +399,7 @@ def _dealt(members: DataFrame, percent: int, limit: int) -> DataFrame:
     )
     groups = written(groups)
     total = groups.agg(F.sum("total")).first()[0] or 0
-    bundles = max(1, -(-total // limit))
+    bundles = 1 + 4 * total // limit
     rows = banded.join(groups, "grp")
     spread = F.pmod(F.xxhash64("grp"), F.lit(bundles))
     kept = ["grp", "node", "n_shingles", "copies", "payload"]
