@@ -5,6 +5,7 @@ from partition_audit.functions.columns import (
     human_bytes,
     metric_rows,
     mock_value,
+    named,
     null_count,
     text_length,
 )
@@ -16,6 +17,7 @@ __all__ = [
     "human_bytes",
     "metric_rows",
     "mock_value",
+    "named",
     "null_count",
     "text_length",
 ]

@@ -20,10 +20,16 @@ def differs(left: Column, right: Column) -> Column:
     return ~left.eqNullSafe(right)
 
 
-def changed_list(columns: Sequence[str], left: str, right: str) -> Column:
-    """Comma-joined names of the fields in which the structs `left` and `right` differ."""
+def named(name: str) -> Column:
+    """The column of that very name, dots and backticks in it included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def changed_list(columns: Sequence[str], left: str, right: str, names: Sequence[str] | None = None) -> Column:
+    """Comma-joined `names` of the fields in which the structs `left` and `right` differ."""
     return F.concat_ws(
-        ",", *[F.when(differs(F.col(left)[c], F.col(right)[c]), F.lit(c)) for c in columns]
+        ",",
+        *[F.when(differs(F.col(left)[c], F.col(right)[c]), F.lit(n)) for c, n in zip(columns, names or columns)],
     )
 
 

@@ -1,19 +1,23 @@
 """Key-based comparison of two tables.
 
-How repeated keys are treated (`pairing`):
+Rows are told apart by what is known of their key:
 
-* ``"one_to_one"`` (default): identical rows of the two sides cancel copy by copy. If a key then has
-  exactly one row left on each side, those two rows are one ``changed`` row; otherwise each row left
-  is listed on its own as ``only_source`` or ``only_target``. For a key that is unique on both sides
-  this is the full outer join; for a repeated key the result stays linear in the input.
-* ``"sql"``: the literal full outer join, m x n rows for a key held m and n times.
+* ``same``: equal rows of the two sides. Under ``"one_to_one"`` they cancel copy by copy.
+* ``changed``: the key's only rows left on each side, which differ.
+* ``only_source``, ``only_target``: the other side does not have the key.
+* ``extra_source``, ``extra_target``: both sides have the key, but it repeats, so that no row on the other side
+  answers to this one. Inserting such a row would make a second row of its key.
+
+How repeated keys are treated (`pairing`): ``"one_to_one"`` (default) as above, linear in the input;
+``"sql"``: the literal full outer join, m x n rows for a key held m and n times, without ``extra_*``.
 
 Rows with a NULL in the key never match anything, as under ``=``.
 
 How the default runs: both sides go through one hash aggregation over key and compared values, so
-equal rows collapse and hot copies are combined before the shuffle. Only differing rows travel
-further. They are paired in two steps, first inside (key, salt), then per key, so that a key holding
-a large share of all rows is spread over all reducers.
+equal rows collapse and hot copies are combined before the shuffle. A second one counts per key, in rows of a
+few numbers. Only differing rows travel further: they learn from their key's counts what they are (a join
+that adaptive execution broadcasts where few keys differ and splits where one key has many rows), and the two
+rows of a changed key are put together.
 """
 
 from __future__ import annotations
@@ -21,21 +25,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partition_audit.functions import any_null, changed_list, differs, metric_rows
-from partition_audit.operators.frames import check_same_types, compare_columns
-from partition_audit.session import shuffle_width
+from partition_audit.functions import any_null, changed_list, differs, metric_rows, named
+from partition_audit.operators.frames import common_types, compare_columns
 
-DIFF_TYPES = ("same", "changed", "only_source", "only_target")
+DIFF_TYPES = ("same", "changed", "only_source", "only_target", "extra_source", "extra_target")
 PAIRINGS = ("one_to_one", "sql")
 
 # Copies of one row that a single task writes out before the rest is spread over other tasks.
 COPIES_PER_CHUNK = 10_000
-# Salts per reducer: several, so that hashing the parts of a hot key fills the reducers evenly.
-SALTS_PER_REDUCER = 8
 # Parts of the target's key set during its first de-duplication.
 KEY_PARTS = 16
 
@@ -50,23 +51,34 @@ def anti_join(
     key; a plain ``distinct`` would share the join's shuffle and block the split. With
     `target_keys_unique` the step is skipped (also right for tables bucketed by the key).
     """
-    wanted = tgt.select(*keys)
+    wanted = tgt.select(*[named(k) for k in keys])
     if not target_keys_unique:
         part = F.spark_partition_id() % F.lit(KEY_PARTS)
         wanted = wanted.withColumn("__part", part).distinct().drop("__part")
-    return src.join(wanted, list(keys), "left_anti").select(*src.columns)
+    return src.join(wanted, list(keys), "left_anti").select(*[named(c) for c in src.columns])
 
 
 @dataclass(frozen=True)
 class Sides:
-    """Both tables cut down to key and compared columns; maps are held as sorted entry lists."""
+    """Both tables cut down to key and compared columns, under names of their own (`keys`, `cols`).
+
+    Types are those that hold both sides' values without loss; maps are held as sorted entry lists.
+    """
 
     src: DataFrame
     tgt: DataFrame
-    keys: list[str]
-    cols: list[str]
+    key_names: list[str]
+    col_names: list[str]
     maps: frozenset[str]
 
+    @property
+    def keys(self) -> list[str]:
+        return [f"__k{i}" for i in range(len(self.key_names))]
+
+    @property
+    def cols(self) -> list[str]:
+        return [f"__c{i}" for i in range(len(self.col_names))]
+
 
 def align(
     src: DataFrame,
@@ -87,15 +99,19 @@ def align(
     for side, df in (("source", src), ("target", tgt)):
         if missing := [c for c in [*keys, *cols] if c not in df.columns]:
             raise ValueError(f"columns missing in the {side}: {missing}")
-    check_same_types(src, tgt, [*keys, *cols])
+    types = common_types(src, tgt, [*keys, *cols])
     names = [*keys, "diff_type", "changed_columns", *_side_names(cols)]
     if len(set(names)) != len(names):
         raise ValueError(f"report columns clash: {names}")
-    maps = frozenset(c for c in cols if isinstance(src.schema[c].dataType, T.MapType))
+    maps = frozenset(f"__c{i}" for i, c in enumerate(cols) if isinstance(types[c], T.MapType))
 
     def cut(df: DataFrame) -> DataFrame:
+        def held(name: str, alias: str) -> Column:
+            value = named(name) if df.schema[name].dataType == types[name] else named(name).cast(types[name])
+            return (F.array_sort(F.map_entries(value)) if alias in maps else value).alias(alias)
+
         return df.select(
-            *keys, *[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in cols]
+            *[held(c, f"__k{i}") for i, c in enumerate(keys)], *[held(c, f"__c{i}") for i, c in enumerate(cols)]
         )
 
     return Sides(cut(src), cut(tgt), keys, cols, maps)
@@ -133,7 +149,7 @@ def data_diff_summary(
 ) -> DataFrame:
     """Row count per `diff_type` (types that do not occur are left out). Pairs are never built."""
     sides = align(src, tgt, keys, compare, pairing)
-    totals = key_tally(sides, settle_same=pairing == "one_to_one").agg(*diff_totals(pairing))
+    totals = key_tally(sides).agg(*diff_totals(pairing))
     rows = [((name,), F.col(name)) for name in DIFF_TYPES]
     return metric_rows(totals, ["diff_type"], rows, "cnt").where("cnt > 0")
 
@@ -152,34 +168,25 @@ def data_diff_columns(
             for i, c in enumerate(sides.cols)
         ]
     )
-    rows = [((c,), F.col(f"m{i}")) for i, c in enumerate(sides.cols)]
+    rows = [((c,), F.col(f"m{i}")) for i, c in enumerate(sides.col_names)]
     return metric_rows(counts, ["column_name"], rows, "mismatch_count")
 
 
-def key_tally(sides: Sides, settle_same: bool = False) -> DataFrame:
-    """Per key: copies in source (`s`) and target (`t`), matching copies (`m`) and pairs (`mp`).
-
-    With `settle_same`, rows that fully match are not kept apart by key. They leave the map side of
-    the second shuffle as one row per task, so that shuffle carries only differing keys.
-    """
-    groups = [F.col(name) for name in [*sides.keys, "__lone"]]
-    if settle_same:
-        open_row = F.col("__s") != F.col("__t")
-        groups = [F.when(open_row, g).alias(f"__g{i}") for i, g in enumerate(groups)]
-        groups.append(open_row.alias("__open"))
+def key_tally(sides: Sides) -> DataFrame:
+    """Per key: rows in source (`s`) and target (`t`), matching copies (`m`) and pairs (`mp`)."""
     wide = T.DecimalType(19, 0)
-    tally = _versions(sides).groupBy(*groups).agg(
+    return _versions(sides).groupBy(*sides.keys, "__lone").agg(
         F.sum("__s").alias("s"),
         F.sum("__t").alias("t"),
         F.sum(F.least("__s", "__t")).alias("m"),
         F.sum(F.col("__s").cast(wide) * F.col("__t").cast(wide)).alias("mp"),
-    )
-    return tally.select("s", "t", "m", "mp")
+    ).select("s", "t", "m", "mp")
 
 
 def diff_totals(pairing: str = "one_to_one") -> list[Column]:
     """Aggregates over `key_tally`, one per diff type."""
     s, t, m = F.col("s"), F.col("t"), F.col("m")
+    extra_source = extra_target = F.lit(0)
     if pairing == "sql":
         wide = T.DecimalType(19, 0)
         matched = (s > 0) & (t > 0)
@@ -189,10 +196,10 @@ def diff_totals(pairing: str = "one_to_one") -> list[Column]:
     else:
         pair = (s - m == 1) & (t - m == 1)
         same, changed = F.sum("m"), F.count(F.when(pair, 1))
-        only_source, only_target = (F.sum(F.when(~pair, side - m)) for side in (s, t))
-    return [
-        value.alias(name) for name, value in zip(DIFF_TYPES, (same, changed, only_source, only_target))
-    ]
+        only_source, only_target = F.sum(F.when(t == 0, s)), F.sum(F.when(s == 0, t))
+        extra_source, extra_target = (F.sum(F.when(~pair & (s > 0) & (t > 0), side - m)) for side in (s, t))
+    totals = (same, changed, only_source, only_target, extra_source, extra_target)
+    return [value.alias(name) for name, value in zip(DIFF_TYPES, totals)]
 
 
 def _side_names(cols: Sequence[str]) -> list[str]:
@@ -228,52 +235,42 @@ def _versions(sides: Sides) -> DataFrame:
 
 def _paired_rest(versions: DataFrame, sides: Sides) -> DataFrame:
     """Differing rows as (keys, __type, __src struct, __tgt struct)."""
-    keys, salts = sides.keys, SALTS_PER_REDUCER * shuffle_width(versions.sparkSession)
-    in_src, copies, values = F.col("__in_src"), F.col("__copies"), F.col("__values")
+    keys = sides.keys
+    s, t, m = F.sum("__s"), F.sum("__t"), F.sum(F.least("__s", "__t"))
+    # The key as one value: a filter on its columns would reach one reader of the first shuffle only, and keep the
+    # other from sharing it. NULL keys have a side (`__lone`), so they have nothing in common.
+    whole_key = F.struct(*keys, "__lone")
+    known = (
+        versions.groupBy(*keys, "__lone")
+        .agg(((s - m == 1) & (t - m == 1)).alias("__pair"), ((s > 0) & (t > 0)).alias("__shared"), ((s > m) | (t > m)).alias("__open"))
+        .where("__open and __shared")
+        .select(whole_key.alias("__key"), "__pair", "__shared")
+    )
     left_over = _chunked(
         versions.where(F.col("__s") != F.col("__t")).select(
             *keys,
+            whole_key.alias("__key"),
             _values(sides.cols).alias("__values"),
             (F.col("__s") > F.col("__t")).alias("__in_src"),
             F.abs(F.col("__s") - F.col("__t")).alias("__copies"),
         )
-    ).withColumn(
-        "__salt", F.pmod(F.xxhash64("__values", "__chunk"), F.lit(salts)).cast("int")
     )
-
-    # At most two rows per (key, side, salt) go on to the key's own group: two already show that
-    # the key has no single row left, so all others are settled as unmatched where they are.
-    nth = F.row_number().over(Window.partitionBy(*keys, "__in_src", "__salt").orderBy("__chunk"))
-    settled = any_null(keys) | (nth > 2)
-    lanes = left_over.select(
-        *keys,
-        values,
-        in_src,
-        copies,
-        F.when(settled, F.col("__salt")).otherwise(-1).alias("__lane"),
-    )
-    group = Window.partitionBy(*keys, "__lane")
-    pair = (F.col("__lane") == -1) & (F.col("__n_src") == 1) & (F.col("__n_tgt") == 1)
-    judged = (
-        lanes.withColumns(
-            {
-                "__n_src": F.sum(F.when(in_src, copies).otherwise(0)).over(group),
-                "__n_tgt": F.sum(F.when(in_src, 0).otherwise(copies)).over(group),
-                "__partner": F.first(F.when(~in_src, values), ignorenulls=True).over(group),
-            }
-        )
-        .withColumn("__pair", pair)
-        .where(in_src | ~F.col("__pair"))
+    pair, shared = (F.coalesce(c, F.lit(False)) for c in ("__pair", "__shared"))
+    values, in_src = F.col("__values"), F.col("__in_src")
+    # The two rows of a pair meet in one group; every other row is a group of its own.
+    apart = F.when(~pair, F.struct("__values", "__in_src", "__chunk")).alias("__apart")
+    met = left_over.join(known, "__key", "left").groupBy(*keys, apart).agg(
+        F.first(F.when(in_src, values), ignorenulls=True).alias("__src"),
+        F.first(F.when(~in_src, values), ignorenulls=True).alias("__tgt"),
+        F.max("__copies").alias("__copies"),
+        F.max(shared).alias("__shared"),
     )
-    kind = F.when(F.col("__pair"), "changed").when(in_src, "only_source").otherwise("only_target")
-    typed = judged.select(
-        *keys,
-        kind.alias("__type"),
-        F.when(in_src, values).alias("__src"),
-        F.when(F.col("__pair"), F.col("__partner")).when(~in_src, values).alias("__tgt"),
-        copies,
+    kind = (
+        F.when(F.col("__apart").isNull(), "changed")
+        .when(F.col("__shared"), F.when(F.col("__tgt").isNull(), "extra_source").otherwise("extra_target"))
+        .otherwise(F.when(F.col("__tgt").isNull(), "only_source").otherwise("only_target"))
     )
-    return _repeated(typed)
+    return _repeated(met.select(*keys, kind.alias("__type"), "__src", "__tgt", "__copies"))
 
 
 def _matched(versions: DataFrame, sides: Sides) -> DataFrame:
@@ -333,14 +330,14 @@ def _outer_join(sides: Sides) -> DataFrame:
 def _report(typed: DataFrame, sides: Sides) -> DataFrame:
     both = F.col("__src").isNotNull() & F.col("__tgt").isNotNull()
     values = []
-    for c in sides.cols:
+    for c, name in zip(sides.cols, sides.col_names):
         for end in ("src", "tgt"):
             value = F.col(f"__{end}")[c]
             value = F.map_from_entries(value) if c in sides.maps else value
-            values.append(value.alias(f"{c}_{end}"))
+            values.append(value.alias(f"{name}_{end}"))
     return typed.select(
-        *sides.keys,
+        *[F.col(k).alias(name) for k, name in zip(sides.keys, sides.key_names)],
         F.col("__type").alias("diff_type"),
-        F.when(both, changed_list(sides.cols, "__src", "__tgt")).alias("changed_columns"),
+        F.when(both, changed_list(sides.cols, "__src", "__tgt", sides.col_names)).alias("changed_columns"),
         *values,
     )

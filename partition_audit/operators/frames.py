@@ -100,5 +100,53 @@ def check_same_types(src: DataFrame, tgt: DataFrame, columns: Sequence[str]) ->
             raise TypeError(f"column {name!r} is {left} on one side and {right} on the other")
 
 
+_WHOLE = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def wider_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
+    """The narrowest type that holds every value of both without loss; None where there is none.
+
+    Whole numbers widen to longer ones and to decimals, floats to doubles, decimals to decimals with room for both,
+    text of a bounded length to text; arrays, maps and structs with the same field names by their parts. Exact
+    numbers are not compared with binary fractions, numbers not with text, nor times of different kinds.
+    """
+    if left == right:
+        return left
+    kinds = (type(left), type(right))
+    if all(k in _WHOLE for k in kinds):
+        return max(left, right, key=lambda t: _WHOLE[type(t)])
+    if all(isinstance(t, (T.StringType, T.CharType, T.VarcharType)) for t in (left, right)):
+        return T.StringType()
+    if set(kinds) == {T.FloatType, T.DoubleType}:
+        return T.DoubleType()
+    if T.DecimalType in kinds and all(k in _WHOLE or k is T.DecimalType for k in kinds):
+        parts = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (_WHOLE[type(t)], 0) for t in (left, right)]
+        whole, scale = (max(x) for x in zip(*parts))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+    if kinds == (T.ArrayType, T.ArrayType):
+        item = wider_type(left.elementType, right.elementType)
+        return item and T.ArrayType(item, left.containsNull or right.containsNull)
+    if kinds == (T.MapType, T.MapType):
+        key, value = wider_type(left.keyType, right.keyType), wider_type(left.valueType, right.valueType)
+        return key and value and T.MapType(key, value, left.valueContainsNull or right.valueContainsNull)
+    if kinds == (T.StructType, T.StructType) and left.fieldNames() == right.fieldNames():
+        fields = [(a.name, wider_type(a.dataType, b.dataType), a.nullable or b.nullable) for a, b in zip(left, right)]
+        return None if any(f[1] is None for f in fields) else T.StructType([T.StructField(*f) for f in fields])
+    return None
+
+
+def common_types(src: DataFrame, tgt: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
+    """Per column the type both sides are compared in; refused where a value could be lost or hidden by a cast."""
+    found = {}
+    for name in columns:
+        left, right = src.schema[name].dataType, tgt.schema[name].dataType
+        found[name] = wider_type(left, right)
+        if found[name] is None:
+            raise TypeError(
+                f"column {name!r} is {left.simpleString()} on one side and {right.simpleString()} on the other"
+            )
+    return found
+
+
 def _names(side: DataFrame | T.StructType) -> list[str]:
     return side.fieldNames() if isinstance(side, T.StructType) else side.columns

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from partition_audit.session import shuffle_width
 
+# Spark's own limit on rank filters that reach the map side, unless the session lifts it.
+DIRECT_LIMIT = 1_000
+
 
 def group_top_n(
     df: DataFrame,
@@ -21,15 +24,15 @@ def group_top_n(
 ) -> DataFrame:
     """First `n` rows per group by `order_cols`, then `tie_break`, with their rank in `rn`.
 
-    For every `n` a group is first cut to `n` rows in each of `salts` parts, then finally, so no task
-    receives more than `salts * n` rows of a hot group. Spark cuts to `n` rows per task before each
-    shuffle as well (`session.SETTINGS` lifts its limit on `n` for that).
+    Up to `DIRECT_LIMIT` rows a group, one shuffle does: Spark cuts every group to `n` rows per task before it.
+    For a larger `n` a group is first cut to `n` rows in each of `salts` parts, so no task receives more than
+    `salts * n` rows of a hot group. The result is the same; `salts` chooses the way for any `n`.
     """
     if "rn" in df.columns:
         raise ValueError("the input already has a column 'rn'")
     order = [*order_cols, *tie_break]
     if salts is None:
-        salts = shuffle_width(df.sparkSession)
+        salts = 1 if n <= DIRECT_LIMIT else shuffle_width(df.sparkSession)
     if salts > 1:
         # The part is the input task: it stays the same when a task is run again.
         salted = df.withColumn("__part", F.spark_partition_id() % F.lit(salts))

@@ -39,6 +39,7 @@ def data_compare(
         "target_duplicate_keys",
         "only_source",
         "only_target",
+        *(["extra_source", "extra_target"] if pairing == "one_to_one" else []),
         "changed",
         "same",
     ]

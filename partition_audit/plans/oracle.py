@@ -6,6 +6,92 @@
 
 from __future__ import annotations
 
+ORDER_VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+LINE_KEYS = ["l_orderkey", "l_linenumber"]
+LINE_VALUES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+ORDERS_V2 = """orders_v2 AS (
+  SELECT * REPLACE (
+    CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderkey % 31 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS o_orderdate)
+  FROM orders WHERE o_orderkey % 17 <> 0
+  UNION ALL BY NAME SELECT * REPLACE (-1 - o_orderkey AS o_orderkey) FROM orders WHERE o_orderkey < 20
+)"""
+LINES_V2 = """src AS (SELECT * FROM lineitem), tgt AS (
+  SELECT * REPLACE (
+    CASE WHEN l_partkey % 11 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag,
+    CASE WHEN l_partkey % 19 = 0 THEN l_shipdate + INTERVAL 1 DAY ELSE l_shipdate END AS l_shipdate)
+  FROM src WHERE l_partkey % 17 <> 0
+  UNION ALL BY NAME SELECT * FROM src WHERE l_partkey % 23 = 0
+)"""
+PART_V2 = """part_v2 AS (
+  SELECT * REPLACE (CASE WHEN p_partkey % 10 = 0 THEN p_size + 5000000000 ELSE CAST(p_size AS BIGINT) END AS p_size)
+  FROM part WHERE p_partkey % 7 <> 0
+)"""
+PART_VALUES = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+def _differs(columns, a="t1", b="t2"):
+    return " OR ".join(f"{a}.{c} IS DISTINCT FROM {b}.{c}" for c in columns)
+
+
+def _changed(columns, a="t1", b="t2"):
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {a}.{c} IS DISTINCT FROM {b}.{c} THEN '{c}' END" for c in columns) + ")"
+
+
+def _sides(columns, a="t1", b="t2"):
+    """Both sides' values; a side that is None gives NULLs."""
+    return ", ".join(f"{f'{side}.{c}' if side else 'NULL'} AS {c}_{end}" for c in columns for side, end in ((a, "src"), (b, "tgt")))
+
+
+def _joined(src, tgt, keys, columns):
+    """The full outer join, with its type."""
+    on = " AND ".join(f"t1.{k} = t2.{k}" for k in keys)
+    named = ", ".join(f"coalesce(t1.{k}, t2.{k}) AS {k}" for k in keys)
+    return f"""SELECT {named},
+  CASE WHEN t2.in_tgt IS NULL THEN 'only_source' WHEN t1.in_src IS NULL THEN 'only_target'
+    WHEN {_differs(columns)} THEN 'changed' ELSE 'same' END AS diff_type,
+  CASE WHEN t1.in_src AND t2.in_tgt THEN {_changed(columns)} END AS changed_columns,
+  {_sides(columns)}
+FROM (SELECT *, true AS in_src FROM {src}) t1 FULL OUTER JOIN (SELECT *, true AS in_tgt FROM {tgt}) t2 ON {on}"""
+
+
+def _metrics(src, tgt, keys, extra):
+    """The rows of a comparison of two tables, from `typed`, which has their diff types."""
+    repeated = "SELECT COUNT(1) FROM (SELECT 1 FROM {} GROUP BY {} HAVING COUNT(1) > 1) x"
+    rows = [f"SELECT 'source_count' AS metric, COUNT(1) AS value FROM {src}", f"SELECT 'target_count', COUNT(1) FROM {tgt}"]
+    for side, name in (("source", src), ("target", tgt)):
+        rows.append(repeated.format(name, ", ".join(keys)).replace("COUNT(1) FROM (", f"'{side}_duplicate_keys', COUNT(1) FROM (", 1))
+    kinds = ["only_source", "only_target", *(["extra_source", "extra_target"] if extra else []), "changed", "same"]
+    rows += [f"SELECT '{k}', COUNT(CASE WHEN diff_type = '{k}' THEN 1 END) FROM typed" for k in kinds]
+    return "\nUNION ALL ".join(rows)
+
+
+def _one_to_one(src, tgt, keys, columns):
+    """Rows that differ where keys repeat. Equal rows cancel copy by copy; a key's only rows left are a pair; of the
+    others, `extra_*` have a key that the other side has too."""
+    key = ", ".join(keys)
+    where = "coalesce(in_src, 0) = 1 AND coalesce(in_tgt, 0) = 1"
+
+    def lone(side, other, name):
+        values = _sides(columns, *((side, None) if name == "source" else (None, side)))
+        return f"""SELECT {key}, CASE WHEN EXISTS (SELECT 1 FROM {other} o WHERE {" AND ".join(f"o.{k} = {side}.{k}" for k in keys)})
+    THEN 'extra_{name}' ELSE 'only_{name}' END AS diff_type, NULL AS changed_columns, {values}
+  FROM {side} JOIN n USING ({key}) WHERE NOT ({where})"""
+
+    return f"""s AS (SELECT * FROM {src} EXCEPT ALL SELECT * FROM {tgt}),
+t AS (SELECT * FROM {tgt} EXCEPT ALL SELECT * FROM {src}),
+n AS (
+  SELECT {key}, SUM(a) AS in_src, SUM(b) AS in_tgt
+  FROM (SELECT {key}, 1 AS a, 0 AS b FROM s UNION ALL SELECT {key}, 0, 1 FROM t) u GROUP BY {key}
+)
+SELECT {key}, 'changed' AS diff_type, {_changed(columns, "s", "t")} AS changed_columns, {_sides(columns, "s", "t")}
+  FROM n JOIN s USING ({key}) JOIN t USING ({key}) WHERE {where}
+UNION ALL {lone("s", tgt, "source")}
+UNION ALL {lone("t", src, "target")}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "data_num": """
 WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
@@ -61,115 +147,19 @@ WHERE t2.l_orderkey IS NULL
 SELECT c_custkey AS party_key, c_name AS name, c_acctbal AS acctbal FROM customer
 UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier
 """,
-    "data_diff": """
-WITH orders_v2 AS (
-  SELECT o_orderkey, o_custkey,
-    CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-    CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
-    o_orderpriority
-  FROM orders WHERE o_orderkey % 17 <> 0
-  UNION ALL
-  SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-  FROM orders WHERE o_orderkey < 20
-)
-SELECT * FROM (
-SELECT coalesce(t1.o_orderkey, t2.o_orderkey) AS o_orderkey,
-  CASE WHEN t2.in_tgt IS NULL THEN 'only_source' WHEN t1.in_src IS NULL THEN 'only_target'
-    WHEN t1.o_custkey IS DISTINCT FROM t2.o_custkey OR t1.o_orderstatus IS DISTINCT FROM t2.o_orderstatus OR t1.o_totalprice IS DISTINCT FROM t2.o_totalprice OR t1.o_orderpriority IS DISTINCT FROM t2.o_orderpriority THEN 'changed' ELSE 'same' END AS diff_type,
-  CASE WHEN t1.in_src AND t2.in_tgt THEN concat_ws(',', CASE WHEN t1.o_custkey IS DISTINCT FROM t2.o_custkey THEN 'o_custkey' END, CASE WHEN t1.o_orderstatus IS DISTINCT FROM t2.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN t1.o_totalprice IS DISTINCT FROM t2.o_totalprice THEN 'o_totalprice' END, CASE WHEN t1.o_orderpriority IS DISTINCT FROM t2.o_orderpriority THEN 'o_orderpriority' END) END AS changed_columns,
-  t1.o_custkey AS o_custkey_src, t2.o_custkey AS o_custkey_tgt,
-  t1.o_orderstatus AS o_orderstatus_src, t2.o_orderstatus AS o_orderstatus_tgt,
-  t1.o_totalprice AS o_totalprice_src, t2.o_totalprice AS o_totalprice_tgt,
-  t1.o_orderpriority AS o_orderpriority_src, t2.o_orderpriority AS o_orderpriority_tgt
-FROM (SELECT *, true AS in_src FROM orders) t1
-FULL OUTER JOIN (SELECT *, true AS in_tgt FROM orders_v2) t2 ON t1.o_orderkey = t2.o_orderkey) d
-WHERE diff_type <> 'same'
-""",
-    "data_diff_summary": """
-WITH orders_v2 AS (
-  SELECT o_orderkey, o_custkey,
-    CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-    CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
-    o_orderpriority
-  FROM orders WHERE o_orderkey % 17 <> 0
-  UNION ALL
-  SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-  FROM orders WHERE o_orderkey < 20
-), typed AS (
-SELECT CASE WHEN t2.in_tgt IS NULL THEN 'only_source' WHEN t1.in_src IS NULL THEN 'only_target'
-    WHEN t1.o_custkey IS DISTINCT FROM t2.o_custkey OR t1.o_orderstatus IS DISTINCT FROM t2.o_orderstatus OR t1.o_totalprice IS DISTINCT FROM t2.o_totalprice OR t1.o_orderpriority IS DISTINCT FROM t2.o_orderpriority THEN 'changed' ELSE 'same' END AS diff_type
-FROM (SELECT *, true AS in_src FROM orders) t1
-FULL OUTER JOIN (SELECT *, true AS in_tgt FROM orders_v2) t2 ON t1.o_orderkey = t2.o_orderkey)
-SELECT diff_type, COUNT(1) AS cnt FROM typed GROUP BY diff_type
-""",
-    "data_diff_columns": """
-WITH orders_v2 AS (
-  SELECT o_orderkey, o_custkey,
-    CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-    CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
-    o_orderpriority
-  FROM orders WHERE o_orderkey % 17 <> 0
-  UNION ALL
-  SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-  FROM orders WHERE o_orderkey < 20
-)
-SELECT 'o_custkey' AS column_name, COUNT(CASE WHEN t1.o_custkey IS DISTINCT FROM t2.o_custkey THEN 1 END) AS mismatch_count FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey
-UNION ALL SELECT 'o_orderstatus' AS column_name, COUNT(CASE WHEN t1.o_orderstatus IS DISTINCT FROM t2.o_orderstatus THEN 1 END) AS mismatch_count FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey
-UNION ALL SELECT 'o_totalprice' AS column_name, COUNT(CASE WHEN t1.o_totalprice IS DISTINCT FROM t2.o_totalprice THEN 1 END) AS mismatch_count FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey
-UNION ALL SELECT 'o_orderpriority' AS column_name, COUNT(CASE WHEN t1.o_orderpriority IS DISTINCT FROM t2.o_orderpriority THEN 1 END) AS mismatch_count FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey
-""",
-    "data_diff_repeated_keys": """
-WITH src AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
-), tgt AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
-    CASE WHEN l_partkey % 11 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag
-  FROM src WHERE l_partkey % 17 <> 0
-  UNION ALL SELECT * FROM src WHERE l_partkey % 23 = 0
-), s AS (SELECT * FROM src EXCEPT ALL SELECT * FROM tgt),
-t AS (SELECT * FROM tgt EXCEPT ALL SELECT * FROM src),
-n AS (
-  SELECT l_orderkey, l_linenumber, SUM(a) AS in_src, SUM(b) AS in_tgt
-  FROM (SELECT l_orderkey, l_linenumber, 1 AS a, 0 AS b FROM s
-    UNION ALL SELECT l_orderkey, l_linenumber, 0, 1 FROM t) u
-  GROUP BY l_orderkey, l_linenumber
-)
-SELECT l_orderkey, l_linenumber, 'changed' AS diff_type,
-  concat_ws(',', CASE WHEN s.l_partkey IS DISTINCT FROM t.l_partkey THEN 'l_partkey' END, CASE WHEN s.l_quantity IS DISTINCT FROM t.l_quantity THEN 'l_quantity' END, CASE WHEN s.l_returnflag IS DISTINCT FROM t.l_returnflag THEN 'l_returnflag' END) AS changed_columns,
-  s.l_partkey AS l_partkey_src, t.l_partkey AS l_partkey_tgt, s.l_quantity AS l_quantity_src, t.l_quantity AS l_quantity_tgt, s.l_returnflag AS l_returnflag_src, t.l_returnflag AS l_returnflag_tgt
-FROM n JOIN s USING (l_orderkey, l_linenumber) JOIN t USING (l_orderkey, l_linenumber)
-WHERE in_src = 1 AND in_tgt = 1
-UNION ALL SELECT l_orderkey, l_linenumber, 'only_source', NULL,
-  s.l_partkey, NULL, s.l_quantity, NULL, s.l_returnflag, NULL
-FROM n JOIN s USING (l_orderkey, l_linenumber) WHERE NOT (in_src = 1 AND in_tgt = 1)
-UNION ALL SELECT l_orderkey, l_linenumber, 'only_target', NULL,
-  NULL, t.l_partkey, NULL, t.l_quantity, NULL, t.l_returnflag
-FROM n JOIN t USING (l_orderkey, l_linenumber) WHERE NOT (in_src = 1 AND in_tgt = 1)
-""",
-    "data_compare_repeated_keys": """
-WITH src AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
-), tgt AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
-    CASE WHEN l_partkey % 11 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag
-  FROM src WHERE l_partkey % 17 <> 0
-  UNION ALL SELECT * FROM src WHERE l_partkey % 23 = 0
-), typed AS (
-  SELECT CASE WHEN t2.in_tgt IS NULL THEN 'only_source' WHEN t1.in_src IS NULL THEN 'only_target'
-    WHEN t1.l_partkey IS DISTINCT FROM t2.l_partkey OR t1.l_quantity IS DISTINCT FROM t2.l_quantity OR t1.l_returnflag IS DISTINCT FROM t2.l_returnflag THEN 'changed' ELSE 'same' END AS diff_type
-  FROM (SELECT *, true AS in_src FROM src) t1
-  FULL OUTER JOIN (SELECT *, true AS in_tgt FROM tgt) t2
-    ON t1.l_orderkey = t2.l_orderkey AND t1.l_linenumber = t2.l_linenumber
-)
-SELECT 'source_count' AS metric, COUNT(1) AS value FROM src
-UNION ALL SELECT 'target_count', COUNT(1) FROM tgt
-UNION ALL SELECT 'source_duplicate_keys', COUNT(1) FROM (SELECT l_orderkey FROM src GROUP BY l_orderkey, l_linenumber HAVING COUNT(1) > 1) x
-UNION ALL SELECT 'target_duplicate_keys', COUNT(1) FROM (SELECT l_orderkey FROM tgt GROUP BY l_orderkey, l_linenumber HAVING COUNT(1) > 1) x
-UNION ALL SELECT 'only_source', COUNT(CASE WHEN diff_type = 'only_source' THEN 1 END) FROM typed
-UNION ALL SELECT 'only_target', COUNT(CASE WHEN diff_type = 'only_target' THEN 1 END) FROM typed
-UNION ALL SELECT 'changed', COUNT(CASE WHEN diff_type = 'changed' THEN 1 END) FROM typed
-UNION ALL SELECT 'same', COUNT(CASE WHEN diff_type = 'same' THEN 1 END) FROM typed
-""",
+    "data_diff": f"WITH {ORDERS_V2} SELECT * FROM ({_joined('orders', 'orders_v2', ['o_orderkey'], ORDER_VALUES)}) d WHERE diff_type <> 'same'",
+    "data_diff_all_rows": f"WITH {ORDERS_V2} {_joined('orders', 'orders_v2', ['o_orderkey'], ORDER_VALUES)}",
+    "data_compare_changed_schema": f"WITH {PART_V2}, typed AS ({_joined('part', 'part_v2', ['p_partkey'], PART_VALUES)}) "
+    + _metrics("part", "part_v2", ["p_partkey"], True),
+    "data_diff_summary": f"WITH {ORDERS_V2} SELECT diff_type, COUNT(1) AS cnt FROM ({_joined('orders', 'orders_v2', ['o_orderkey'], ORDER_VALUES)}) d GROUP BY diff_type",
+    "data_diff_columns": f"WITH {ORDERS_V2} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(CASE WHEN t1.{c} IS DISTINCT FROM t2.{c} THEN 1 END) AS mismatch_count "
+        "FROM orders t1 JOIN orders_v2 t2 ON t1.o_orderkey = t2.o_orderkey"
+        for c in ORDER_VALUES
+    ),
+    "data_diff_repeated_keys": f"WITH {LINES_V2}, {_one_to_one('src', 'tgt', LINE_KEYS, LINE_VALUES)}",
+    "data_compare_repeated_keys": f"WITH {LINES_V2}, typed AS ({_joined('src', 'tgt', LINE_KEYS, LINE_VALUES)}) {_metrics('src', 'tgt', LINE_KEYS, False)}",
     "data_clean": """
 WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT * FROM ev WHERE ds <> '2024-01-08' OR NOT coalesce(event_type = 'error', false)
@@ -197,30 +187,8 @@ SELECT p_partkey, p_name, p_brand, p_type, p_size AS total_size, p_retailprice,
   CAST(NULL AS STRING) AS risk_level
 FROM part
 """,
-    "data_compare": """
-WITH orders_v2 AS (
-  SELECT o_orderkey, o_custkey,
-    CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-    CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
-    o_orderpriority
-  FROM orders WHERE o_orderkey % 17 <> 0
-  UNION ALL
-  SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-  FROM orders WHERE o_orderkey < 20
-), typed AS (
-SELECT CASE WHEN t2.in_tgt IS NULL THEN 'only_source' WHEN t1.in_src IS NULL THEN 'only_target'
-    WHEN t1.o_custkey IS DISTINCT FROM t2.o_custkey OR t1.o_orderstatus IS DISTINCT FROM t2.o_orderstatus OR t1.o_totalprice IS DISTINCT FROM t2.o_totalprice OR t1.o_orderpriority IS DISTINCT FROM t2.o_orderpriority THEN 'changed' ELSE 'same' END AS diff_type
-FROM (SELECT *, true AS in_src FROM orders) t1
-FULL OUTER JOIN (SELECT *, true AS in_tgt FROM orders_v2) t2 ON t1.o_orderkey = t2.o_orderkey)
-SELECT 'source_count' AS metric, COUNT(1) AS value FROM orders
-UNION ALL SELECT 'target_count', COUNT(1) FROM orders_v2
-UNION ALL SELECT 'source_duplicate_keys', COUNT(1) FROM (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING COUNT(1) > 1) x
-UNION ALL SELECT 'target_duplicate_keys', COUNT(1) FROM (SELECT o_orderkey FROM orders_v2 GROUP BY o_orderkey HAVING COUNT(1) > 1) x
-UNION ALL SELECT 'only_source', COUNT(CASE WHEN diff_type = 'only_source' THEN 1 END) FROM typed
-UNION ALL SELECT 'only_target', COUNT(CASE WHEN diff_type = 'only_target' THEN 1 END) FROM typed
-UNION ALL SELECT 'changed', COUNT(CASE WHEN diff_type = 'changed' THEN 1 END) FROM typed
-UNION ALL SELECT 'same', COUNT(CASE WHEN diff_type = 'same' THEN 1 END) FROM typed
-""",
+    "data_compare": f"WITH {ORDERS_V2}, typed AS ({_joined('orders', 'orders_v2', ['o_orderkey'], ORDER_VALUES)}) "
+    + _metrics("orders", "orders_v2", ["o_orderkey"], True),
     "data_validation": """
 WITH t AS (SELECT d.doc_id, d.text, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT 'row_count' AS check_name, '*' AS column_name, COUNT(1) AS value FROM t

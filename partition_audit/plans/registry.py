@@ -15,7 +15,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DAY = "2024-01-08"
 TEMP_DAY = f"{DAY}-temp"
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +36,13 @@ def events_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_v2(orders: DataFrame) -> DataFrame:
-    """A changed copy of `orders`: keys removed and added, a value changed, a value turned NULL."""
+    """A changed copy of `orders`: keys removed and added, values changed, a value turned NULL."""
     key = F.col("o_orderkey")
     changed = orders.where(key % 17 != 0).withColumns(
         {
             "o_orderstatus": F.when(key % 13 == 0, "X").otherwise(F.col("o_orderstatus")),
             "o_totalprice": F.when(key % 29 != 0, F.col("o_totalprice")),
+            "o_orderdate": F.when(key % 31 == 0, F.col("o_orderdate") + F.expr("interval 1 day")).otherwise(F.col("o_orderdate")),
         }
     )
     added = orders.where(key < 20).withColumn("o_orderkey", -1 - key)
@@ -50,31 +50,33 @@ def orders_v2(orders: DataFrame) -> DataFrame:
 
 
 def order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Source, target and key of the comparison queries that give columns: those their SQL lists."""
-    source = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
-    return source, orders_v2(source), ["o_orderkey"]
-
-
-def whole_order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Source, target and key of the comparison queries that give counts: all columns."""
+    """Source, target and key of the comparison queries: whole rows of `orders` and of its changed copy."""
     source = table(spark, sf_dir, "orders")
     return source, orders_v2(source), ["o_orderkey"]
 
 
 def line_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Source, target and key of the comparisons by a repeated key.
+    """Source, target and key of the comparisons by a repeated key: whole rows of `lineitem`.
 
-    The target is a changed copy of `lineitem`: rows removed, a value changed, rows doubled.
+    The target is a changed copy: rows removed, values changed, rows doubled.
     """
-    keys = ["l_orderkey", "l_linenumber"]
-    source = table(spark, sf_dir, "lineitem").select(
-        *keys, "l_partkey", "l_quantity", "l_returnflag"
-    )
+    source = table(spark, sf_dir, "lineitem")
     part = F.col("l_partkey")
-    changed = source.where(part % 17 != 0).withColumn(
-        "l_returnflag", F.when(part % 11 == 0, "X").otherwise(F.col("l_returnflag"))
+    changed = source.where(part % 17 != 0).withColumns(
+        {
+            "l_returnflag": F.when(part % 11 == 0, "X").otherwise(F.col("l_returnflag")),
+            "l_shipdate": F.when(part % 19 == 0, F.col("l_shipdate") + F.expr("interval 1 day")).otherwise(F.col("l_shipdate")),
+        }
     )
-    return source, changed.unionByName(source.where(part % 23 == 0)), keys
+    return source, changed.unionByName(source.where(part % 23 == 0)), ["l_orderkey", "l_linenumber"]
+
+
+def part_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """`part` and what it is after a change of schema that widens a column, some sizes changed."""
+    source = table(spark, sf_dir, "part")
+    wider = op.evolve_schema(source, cast={"p_size": "bigint"})
+    size = F.when(F.col("p_partkey") % 10 == 0, F.col("p_size") + 5_000_000_000).otherwise(F.col("p_size"))
+    return source, wider.where("p_partkey % 7 <> 0").withColumn("p_size", size), ["p_partkey"]
 
 
 def documents_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,13 +152,21 @@ def _data_diff(spark, sf_dir):
 
 
 def _data_diff_summary(spark, sf_dir):
-    return op.data_diff_summary(*whole_order_versions(spark, sf_dir))
+    return op.data_diff_summary(*order_versions(spark, sf_dir))
 
 
 def _data_diff_columns(spark, sf_dir):
     return op.data_diff_columns(*order_versions(spark, sf_dir))
 
 
+def _data_diff_all_rows(spark, sf_dir):
+    return op.data_diff(*order_versions(spark, sf_dir), include_same=True)
+
+
+def _data_compare_changed_schema(spark, sf_dir):
+    return data_compare(*part_versions(spark, sf_dir))
+
+
 def _data_diff_repeated_keys(spark, sf_dir):
     return op.data_diff(*line_versions(spark, sf_dir))
 
@@ -194,7 +204,7 @@ def _alter_table(spark, sf_dir):
 
 
 def _data_compare(spark, sf_dir):
-    return data_compare(*whole_order_versions(spark, sf_dir))
+    return data_compare(*order_versions(spark, sf_dir))
 
 
 def _data_validation(spark, sf_dir):
@@ -226,7 +236,9 @@ QUERIES: dict[str, Query] = {
     "data_diff": _data_diff,
     "data_diff_summary": _data_diff_summary,
     "data_diff_columns": _data_diff_columns,
+    "data_diff_all_rows": _data_diff_all_rows,
     "data_diff_repeated_keys": _data_diff_repeated_keys,
+    "data_compare_changed_schema": _data_compare_changed_schema,
     "data_compare_repeated_keys": _data_compare_repeated_keys,
     "data_clean": _data_clean,
     "move_partition": _move_partition,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ def one_to_one(src, tgt, include_same):
         if len(left) == len(right) == 1:
             out.append((key, "changed", left[0], right[0]))
         else:
-            out += [(key, "only_source", r, None) for r in left]
-            out += [(key, "only_target", None, r) for r in right]
+            both = {r[0] for r in src} & {r[0] for r in tgt}
+            kind = "extra" if key in both else "only"
+            out += [(key, f"{kind}_source", r, None) for r in left]
+            out += [(key, f"{kind}_target", None, r) for r in right]
     return sorted(out, key=repr)
 
 
@@ -52,8 +55,8 @@ def full_outer(src, tgt, include_same):
 def as_pairs(diff):
     out = []
     for r in diff.collect():
-        src = None if r.diff_type == "only_target" else (r.v_src, r.w_src)
-        tgt = None if r.diff_type == "only_source" else (r.v_tgt, r.w_tgt)
+        src = None if r.diff_type.endswith("_target") else (r.v_src, r.w_src)
+        tgt = None if r.diff_type.endswith("_source") else (r.v_tgt, r.w_tgt)
         out.append((r.k, r.diff_type, src, tgt))
         differing = None
         if src and tgt:
@@ -105,7 +108,7 @@ def test_diff_with_two_key_columns(spark):
 def test_diff_of_keys_only(spark):
     src, tgt = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     got = rows_of(pa.data_diff(src, tgt, ["k"], include_same=True))
-    assert got == [(1, "only_source", None), (2, "only_source", None), (2, "same", ""), (3, "only_target", None)]
+    assert got == [(1, "only_source", None), (2, "extra_source", None), (2, "same", ""), (3, "only_target", None)]
 
 
 def test_diff_nan_and_negative_zero(spark):
@@ -145,11 +148,39 @@ def test_many_copies_of_one_row(spark, monkeypatch):
     src = spark.createDataFrame([(1, "a", 1.0)] * 95 + [(2, "b", 1.0)], PAIRS)
     tgt = spark.createDataFrame([(1, "a", 1.0)] * 41 + [(2, "b", 2.0)], PAIRS)
     diff = pa.data_diff(src, tgt, ["k"], include_same=True)
-    expected = [("changed", 1), ("only_source", 54), ("same", 41)]
+    expected = [("changed", 1), ("extra_source", 54), ("same", 41)]
     assert rows_of(diff.groupBy("diff_type").count()) == expected
     assert rows_of(pa.data_diff_summary(src, tgt, ["k"])) == expected
 
 
+def test_only_means_that_the_key_is_absent(spark):
+    src = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z"), (3, "s"), (3, "s"), (4, "p")], "k int, v string")
+    tgt = spark.createDataFrame([(1, "c"), (3, "s"), (4, "q"), (5, "n"), (5, "n")], "k int, v string")
+    got = rows_of(pa.data_diff(src, tgt, ["k"]).select("k", "diff_type", "v_src", "v_tgt"))
+    assert got == [
+        (1, "extra_source", "a", None), (1, "extra_source", "b", None), (1, "extra_target", None, "c"),
+        (2, "only_source", "z", None), (3, "extra_source", "s", None), (4, "changed", "p", "q"),
+        (5, "only_target", None, "n"), (5, "only_target", None, "n"),
+    ]
+    want = {"only_source": 1, "only_target": 2, "extra_source": 3, "extra_target": 1, "changed": 1, "same": 1}
+    assert dict(rows_of(pa.data_diff_summary(src, tgt, ["k"]))) == want
+    compare = dict(rows_of(pa.data_compare(src, tgt, ["k"])))
+    assert {k: compare[k] for k in want} == want
+
+
+def test_diff_across_wider_types_and_odd_names(spark):
+    src = spark.createDataFrame([(1, 5, 1.5, [1]), (2, 7, 2.5, None)], "`a.k` int, `v.x` int, f float, n array<int>")
+    tgt = spark.createDataFrame([(1, Decimal(5), 1.5, [1]), (2, Decimal(7 + 2**40), 2.5, [2])], "`a.k` bigint, `v.x` decimal(20,0), f double, n array<bigint>")
+    diff = pa.data_diff(src, tgt, ["a.k"])
+    assert rows_of(diff.select("`a.k`", "diff_type", "changed_columns")) == [(2, "changed", "v.x,n")]
+    assert dict(diff.dtypes)["v.x_tgt"] == "decimal(20,0)" and dict(diff.dtypes)["f_src"] == "double"
+    assert dict(rows_of(pa.data_diff_columns(src, tgt, ["a.k"]))) == {"v.x": 1, "f": 0, "n": 1}
+    assert rows_of(pa.anti_join(src, tgt.where("`a.k` = 1"), ["a.k"]).select("`v.x`")) == [(7,)]
+    for kind in ("string", "double", "date"):
+        with pytest.raises(TypeError):
+            pa.data_diff(src, tgt.withColumn("v.x", F.lit(None).cast(kind)), ["a.k"])
+
+
 def test_diff_rejects_bad_input(spark):
     src = spark.createDataFrame([(1, "a", 1.0)], PAIRS)
     with pytest.raises(TypeError, match="'w' is double .* int"):

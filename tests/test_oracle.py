@@ -47,4 +47,4 @@ def test_same_result(spark, duck, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).count() == 263
+    assert contract.entry(spark).count() == 305

@@ -30,7 +30,7 @@ def test_compare_with_itself(spark, table):
     got = dict(rows_of(pa.compare_tables(spark, table, table, ["id"], DAY)))
     assert got == {
         "source_count": 3, "target_count": 3, "source_duplicate_keys": 0, "target_duplicate_keys": 0,
-        "only_source": 0, "only_target": 0, "changed": 0, "same": 3,
+        "only_source": 0, "only_target": 0, "extra_source": 0, "extra_target": 0, "changed": 0, "same": 3,
     }
 
 
