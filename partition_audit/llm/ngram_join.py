@@ -11,8 +11,8 @@ shingle. Two sets link when 100 * |A n B| >= `percent` * |A u B|.
    the boundary do both. The boundary is the one of least cost for the table's set sizes.
    Elements are ordered by how often those with the same `BUCKETS`-valued hash occur in all sets, then by
    hash: lines and passages that many documents share come last, so they do not bring sets together.
-   Heavy lists are kept apart by bands of set sizes, as sets of very different sizes do not link.
-3. Lists of at least two sets are scanned; of lists that hold the same sets, one.
+3. Lists of at least two sets are scanned, cut where sizes leave a gap that no link bridges; of lists that hold
+   the same sets, one.
 4. Inside a list, sets are compared by sketches: bit maps that differ in no more bits than the sets in
    elements, so no link is lost. What passes ties sets to groups that are nearly all linked; only the texts of
    these travel on. Lists too long for one task are cut like the groups of step 5.
@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partition_audit.llm.buffers import (
@@ -53,6 +53,7 @@ from partition_audit.llm.shared import bounded_batches, discard, some_text, writ
 BLOCK_BYTES = 4 << 20
 # Text shingled at a time: about 50 times as much memory is used for it.
 TEXT_BYTES = 1 << 20
+SHORT_LIST = 100_000
 # Cost of a posting of a heavy set against one of a light set: its list is less selective.
 HEAVY_POSTING = 4
 # Shingles are counted by hash bucket; the levels that come of it are a byte each.
@@ -231,10 +232,7 @@ def _keys(
     size = size * heavy
     place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
     first = order[place < np.repeat(rarest(size, percent), size)]
-    h, owner = mixed(h[first] ^ C3), owner[first]
-    # A list holds sets of two neighbouring bands of sizes; linked sets are in one band or in such two.
-    band = (np.log(np.maximum(size, 1)) / band_width(percent)).astype(np.uint64)[owner]
-    return np.concatenate([*owners, owner, owner]), np.concatenate([*keys, mixed(h ^ band), mixed(h ^ (band + np.uint64(1)))])
+    return np.concatenate([*owners, owner[first]]), np.concatenate([*keys, mixed(h[first] ^ C3)])
 
 
 def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataFrame:
@@ -255,15 +253,26 @@ def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataF
     return docs.select(some_text().alias("text")).mapInArrow(run, "key bigint, node bigint")
 
 
-def _lists(postings: DataFrame) -> DataFrame:
-    """(grp, node): the inverted lists of at least two sets, one of those that hold the same sets."""
+def _lists(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(grp, node): inverted lists of at least two sets that can link by their sizes, one of those that hold the same sets.
+
+    In the order of size, a list is cut where the next set is too large for any set before it. Lists of more than
+    `SHORT_LIST` postings are left whole, so no list has to be sorted by one task beyond that.
+    """
     several = (
         postings.groupBy("key")
         .agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sum"))
         .where("lo < hi")
     )
-    chosen = several.groupBy("lo", "hi", "n", "sum").agg(F.min("key").alias("key"))
-    return postings.join(chosen.select("key"), "key").select(F.col("key").alias("grp"), "node").distinct()
+    chosen = several.groupBy("lo", "hi", "n", "sum").agg(F.min("key").alias("key")).select("key", "n")
+    members = postings.join(chosen, "key").select("key", "n", "node").distinct()
+    sized = written(members.join(nodes.select(F.col("d1").alias("node"), "n_shingles"), "node"))
+    order = Window.partitionBy("key").orderBy("n_shingles", "node")
+    before, size = F.lag("n_shingles").over(order), F.col("n_shingles")
+    cut = sized.where(F.col("n") <= SHORT_LIST).withColumn("cut", (F.coalesce(before, F.lit(0)) * 100 < size * percent).cast("int"))
+    cut = cut.withColumns({"ends": F.coalesce(F.lead("cut").over(order), F.lit(1)), "part": F.sum("cut").over(order)})
+    short = cut.where("cut = 0 or ends = 0").select(F.xxhash64("key", "part").alias("grp"), "node")
+    return short.union(sized.where(F.col("n") > SHORT_LIST).select("key", "node"))
 
 
 def sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -477,7 +486,7 @@ def jaccard_classes(
     boundary = light_boundary(sizes, percent)
     postings = written(_postings(docs, width, percent, boundary))
     # Sets that share a key, then those of them whose sketches allow a link, then links by the texts.
-    lists = _lists(postings)
+    lists = _lists(postings, nodes, percent)
     members = nodes.join(lists, nodes["d1"] == lists["node"])
     sketched = written(members.select("grp", "node", "n_shingles", "copies", F.col("sketch").alias("payload")))
     discard(postings)

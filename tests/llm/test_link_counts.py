@@ -56,6 +56,7 @@ def near_copies(seed, groups, members, length, changes):
 @pytest.mark.parametrize("width,percent,limit", [(3, 90, 4 << 20), (2, 80, 2000), (1, 60, 700)])
 def test_counts_equal_brute_force(spark, monkeypatch, width, percent, limit):
     monkeypatch.setattr(ngj, "BLOCK_BYTES", limit)
+    monkeypatch.setattr(ngj, "SHORT_LIST", 8 if limit == 2000 else 100_000)
     rows = near_copies(width, 6, 14, (4, 120), 5)
     found = ngj.near_duplicates(table(spark, rows), width, percent, count_links=True)
     assert Counter(tuple(r) for r in found.collect()) == brute_force(rows, width, percent)
