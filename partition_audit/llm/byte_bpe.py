@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.shared import bounded_batches, some_text
+from partition_audit.llm.shared import bounded_batches, give_back_memory, some_text
 
 LONG_WORD = 256
 # Words of a slice, and places of words merged side by side; both take some tens of megabytes.
@@ -212,6 +212,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 columns = [*part.columns[:-1], out]
                 yield pa.RecordBatch.from_arrays(columns, schema=_arrow_names(part.schema, "ids"))
                 first = last
+            give_back_memory()
 
     return split.mapInArrow(run, schema)
 

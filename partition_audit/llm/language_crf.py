@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partition_audit.llm.buffers import lowered, mixed, prefix_sums, span_hashes, text_buffer, word_spans
-from partition_audit.llm.shared import bounded_batches, some_text
+from partition_audit.llm.shared import bounded_batches, give_back_memory, some_text
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LANGUAGE = 500
@@ -239,6 +239,7 @@ def language_of(docs: DataFrame, model: Model) -> Column:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def label(texts: pa.Array) -> pa.Array:
         best, score = predict(shared.value, texts)
+        give_back_memory()
         names = pa.array(shared.value.languages, pa.string()).take(pa.array(best))
         return pa.StructArray.from_arrays([names, pa.array(score)], ["lang_pred", "score"])
 

@@ -48,7 +48,7 @@ from partition_audit.llm.buffers import (
     word_spans,
 )
 from partition_audit.llm.components import connected_components
-from partition_audit.llm.shared import bounded_batches, discard, some_text, written
+from partition_audit.llm.shared import bounded_batches, discard, give_back_memory, some_text, written
 
 BLOCK_BYTES = 4 << 20
 # Text shingled at a time: about 50 times as much memory is used for it.
@@ -115,6 +115,7 @@ def set_sizes(docs: DataFrame, width: int, sketched: bool = False) -> DataFrame:
             parts.append((np.diff(ends), *_digests(h, ends)))
             if sketched:
                 maps.extend(sketches(h, ends))
+        give_back_memory()
         columns = [pa.array(np.concatenate(x)) for x in zip(*parts)] or [pa.array([], pa.int64())] * 3
         return pa.StructArray.from_arrays([*columns, *([pa.array(maps, pa.binary())] if sketched else [])], names)
 
@@ -191,6 +192,7 @@ def bucket_levels(docs: DataFrame, width: int) -> np.ndarray:
         for batch in bounded_slices(batches, limit=TEXT_BYTES):
             at, n = np.unique(_bucket(shingle_sets(batch.column(0), width)[0]), return_counts=True)
             seen[at] = np.minimum(seen[at] + n, 65535)
+        give_back_memory()
         blocks = seen.reshape(-1, COUNT_BLOCK)
         held = np.flatnonzero(blocks.any(1))
         blobs = [pa.compress(blocks[i].tobytes(), "zstd", asbytes=True) for i in held]
@@ -249,6 +251,7 @@ def _postings(docs: DataFrame, width: int, percent: int, boundary: int) -> DataF
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new])], ["key", "node"])
+        give_back_memory()
 
     return docs.select(some_text().alias("text")).mapInArrow(run, "key bigint, node bigint")
 
@@ -441,6 +444,7 @@ def _tied(dealt: DataFrame, find: Callable[[pa.Table], tuple[np.ndarray, np.ndar
                 some = np.flatnonzero(held)
                 nodes.append(node[first + some])
                 counts.append(held[some])
+        give_back_memory()
         a, b, nodes, counts = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b, nodes, counts))
         empty = [pa.nulls(len(nodes), pa.int64()), pa.nulls(len(a), pa.int64())]
         return pa.table(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back_memory() -> None:
+    """Return what a batch's arrays have freed to the system: workers wait for further tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of text in all rows: what partition and bucket counts are sized by."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
