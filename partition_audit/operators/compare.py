@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ PAIRINGS = ("one_to_one", "sql")
 COPIES_PER_CHUNK = 10_000
 # Parts of the target's key set during its first de-duplication.
 KEY_PARTS = 16
+# Parts over which source rows with a NULL in the key are spread.
+NULL_PARTS = 4096
 
 
 def anti_join(
@@ -50,12 +53,43 @@ def anti_join(
     a shuffle of its own on both sides, which is what lets adaptive execution split a hot source
     key; a plain ``distinct`` would share the join's shuffle and block the split. With
     `target_keys_unique` the step is skipped (also right for tables bucketed by the key).
+
+    Rows with a NULL in the key find no partner wherever they go, so they are dealt over all tasks by
+    what else they hold, not gathered under the NULL; the source is read once. Tables bucketed by the key
+    keep their layout: `target_keys_unique` leaves this step out too.
     """
     wanted = tgt.select(*[named(k) for k in keys])
-    if not target_keys_unique:
-        part = F.spark_partition_id() % F.lit(KEY_PARTS)
-        wanted = wanted.withColumn("__part", part).distinct().drop("__part")
-    return src.join(wanted, list(keys), "left_anti").select(*[named(c) for c in src.columns])
+    if target_keys_unique:
+        return src.join(wanted, list(keys), "left_anti").select(*[named(c) for c in src.columns])
+    part = F.spark_partition_id() % F.lit(KEY_PARTS)
+    wanted = wanted.withColumn("__part", part).distinct().drop("__part")
+    left, right = src.alias("__src"), wanted.alias("__tgt")
+    same = [F.col(f"__src.{_quoted(k)}") == F.col(f"__tgt.{_quoted(k)}") for k in keys]
+    if spread := _null_part(src, keys):
+        left = src.withColumn("__null_part", spread[0]).alias("__src")
+        right = wanted.withColumn("__null_part", spread[1]).alias("__tgt")
+        same.append(F.col("__src.__null_part") == F.col("__tgt.__null_part"))
+    return left.join(right, reduce(lambda a, b: a & b, same), "left_anti").select(*[named(c) for c in src.columns])
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _null_part(src: DataFrame, keys: Sequence[str]) -> tuple[Column, Column] | None:
+    """Part of a source row (0 unless its key holds a NULL) and of any target key (always 0).
+
+    None where no key can be NULL or nothing in a row can be hashed. The target's zero is worked out from its
+    key: a constant would be moved into the join's condition and no longer spread anything.
+    """
+    nullable = [k for k in keys if src.schema[k].nullable]
+    hashed = [named(f.name) for f in src.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    if not nullable or not hashed:
+        return None
+    missing = reduce(lambda a, b: a | b, [named(k).isNull() for k in nullable])
+    dealt = F.pmod(F.xxhash64(*hashed), F.lit(NULL_PARTS))
+    nought = F.pmod(F.xxhash64(*[named(k) for k in keys]), F.lit(1))
+    return F.when(missing, dealt).otherwise(F.lit(0).cast("bigint")), nought
 
 
 @dataclass(frozen=True)

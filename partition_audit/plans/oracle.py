@@ -144,8 +144,8 @@ LEFT JOIN lineitem t2 ON t1.l_orderkey = t2.l_orderkey AND t1.l_linenumber = t2.
 WHERE t2.l_orderkey IS NULL
 """,
     "union_merge": """
-SELECT c_custkey AS party_key, c_name AS name, c_acctbal AS acctbal FROM customer
-UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier
+SELECT c_custkey AS party_key, c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal FROM customer
+UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier
 """,
     "data_diff": f"WITH {ORDERS_V2} SELECT * FROM ({_joined('orders', 'orders_v2', ['o_orderkey'], ORDER_VALUES)}) d WHERE diff_type <> 'same'",
     "data_diff_all_rows": f"WITH {ORDERS_V2} {_joined('orders', 'orders_v2', ['o_orderkey'], ORDER_VALUES)}",

@@ -140,6 +140,7 @@ def _union_merge(spark, sf_dir):
         table(spark, sf_dir, name).select(
             F.col(f"{p}_{key}").alias("party_key"),
             F.col(f"{p}_name").alias("name"),
+            F.col(f"{p}_nationkey").alias("nationkey"),
             F.col(f"{p}_acctbal").alias("acctbal"),
         )
         for name, p, key in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"))

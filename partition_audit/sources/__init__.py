@@ -13,6 +13,7 @@ from partition_audit.sources.writers import (
     clean_partition,
     copy_partition,
     overwrite_partition,
+    recover_partition,
     remove_partition,
 )
 
@@ -30,6 +31,7 @@ __all__ = [
     "partition_values",
     "read_partition",
     "read_table",
+    "recover_partition",
     "remove_partition",
     "table_path",
     "table_size",

@@ -31,6 +31,7 @@ from partition_audit.sources.tables import (
 )
 
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+ASIDE = "__replaced"
 
 
 def overwrite_partition(
@@ -95,8 +96,9 @@ def copy_partition(
     """Replace the destination's content by the source's.
 
     With `drop_source` the partition is renamed: no row is read or written. The destination's old
-    content goes first, so a failure in between leaves the source as it was. Without it, rows are
-    copied. A source partition that does not exist is an error; an existing empty one empties the
+    content is renamed aside first and deleted last, so that both partitions can be had back whatever
+    step fails: an error puts the old content back at once, and after a crash the next move to the
+    same destination, or `recover_partition`, does. Without `drop_source`, rows are copied. A source partition that does not exist is an error; an existing empty one empties the
     destination.
     """
     if src_ds == dst_ds:
@@ -104,12 +106,37 @@ def copy_partition(
     if not _has_partition(spark, target, src_ds, col):
         raise LookupError(f"{target} has no partition {col}={src_ds}")
     if drop_source:
-        remove_partition(spark, target, dst_ds, col)
-        _rename_partition(spark, target, src_ds, dst_ds, col)
+        recover_partition(spark, target, dst_ds, col)
+        replaced = _has_partition(spark, target, dst_ds, col)
+        if replaced:
+            _rename_partition(spark, target, dst_ds, _aside(dst_ds), col)
+        try:
+            _rename_partition(spark, target, src_ds, dst_ds, col)
+        except Exception:
+            if replaced:
+                _rename_partition(spark, target, _aside(dst_ds), dst_ds, col)
+            raise
+        if replaced:
+            remove_partition(spark, target, _aside(dst_ds), col)
         return
     overwrite_partition(read_partition(spark, target, src_ds, fmt, col), target, dst_ds, fmt, col)
 
 
+def recover_partition(spark: SparkSession, target: str, ds: str, col: str = PARTITION_COLUMN) -> bool:
+    """Finish or undo a move to `ds` that a crash cut off; False where there is nothing to do.
+
+    If the destination is there, the move had happened and what it replaced is deleted. If not, the
+    replaced content comes back; the move's source was not touched yet.
+    """
+    if not _has_partition(spark, target, _aside(ds), col):
+        return False
+    if _has_partition(spark, target, ds, col):
+        remove_partition(spark, target, _aside(ds), col)
+    else:
+        _rename_partition(spark, target, _aside(ds), ds, col)
+    return True
+
+
 def remove_partition(spark: SparkSession, target: str, ds: str, col: str = PARTITION_COLUMN) -> None:
     """Drop a partition; dropping a missing one does nothing."""
     value = safe_value(ds)
@@ -172,7 +199,8 @@ def change_schema(
     Added columns are a metadata change. A rename or a new type needs the rows rewritten: they go to
     a sibling table, which takes over the name once it is complete. The rewrite keeps the input's
     layout and has no shuffle. The old table stays as `<name>__before` until the new one is found to
-    hold as many rows under its final name. Table properties and comments are not carried over.
+    hold as many rows under its final name. If the new table cannot take the name, the old one gets
+    it back. Table properties and comments are not carried over.
     """
     if is_path(target):
         raise ValueError("schema changes by path: write evolve_schema(...) to a new path")
@@ -190,7 +218,15 @@ def change_schema(
         writer = writer.partitionBy(col)
     writer.mode("errorifexists").saveAsTable(fresh)
     spark.sql(f"ALTER TABLE {target} RENAME TO {before}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {target}")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {target}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {before} RENAME TO {target}")
+        if col in evolved.columns:
+            spark.sql(f"MSCK REPAIR TABLE {target} SYNC PARTITIONS")
+        spark.catalog.refreshTable(target)
+        spark.sql(f"DROP TABLE {fresh}")
+        raise
     for table in (target, before):
         if col in evolved.columns:
             # Not every catalog moves the partitions' locations along with the table's name.
@@ -202,6 +238,11 @@ def change_schema(
     spark.sql(f"DROP TABLE {before}")
 
 
+def _aside(ds: str) -> str:
+    """Partition value under which replaced content waits for its deletion."""
+    return f"{ds}{ASIDE}"
+
+
 def _has_partition(spark: SparkSession, target: str, ds: str, col: str) -> bool:
     return not partition_values(spark, target, col).where(F.col(col) == ds).isEmpty()
 

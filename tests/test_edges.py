@@ -201,6 +201,11 @@ def test_anti_join_null_and_repeated_keys(spark):
     for unique in (False, True):
         missing = pa.anti_join(src, tgt, ["k"], target_keys_unique=unique)
         assert rows_of(missing) == [(2, 4), (2, 4), (None, 1)]
+    two = spark.createDataFrame([(1, None, {"m": 1}), (None, 2, None), (1, 2, None)], "a int, `b.c` int, m map<string,int>")
+    assert pa.anti_join(two, two, ["a", "b.c"]).select("a", "`b.c`").collect() != []
+    assert rows_of(pa.anti_join(two, two, ["a", "b.c"]).drop("m")) == rows_of(two.where("a is null or `b.c` is null").drop("m"))
+    maps = spark.createDataFrame([(None,), ({"m": 1},)], "m map<string,int>").withColumn("k", F.lit(None).cast("int"))
+    assert pa.anti_join(maps.select("k", "m"), tgt, ["k"]).count() == 2
     assert pa.anti_join(src, tgt.where("false"), ["k"]).count() == 5
     assert pa.anti_join(src.where("false"), tgt, ["k"]).count() == 0
 

@@ -102,6 +102,7 @@ def test_large_top_n_is_cut_in_parts(spark):
 
 @pytest.mark.parametrize("hot", [-1, None])
 def test_anti_join_splits_a_hot_source_key(spark, settings, hot):
+    """A hot value is split by adaptive execution; rows with a NULL key are spread before the shuffle."""
     settings(
         autoBroadcastJoinThreshold="-1",
         shuffle__partitions="32",
@@ -116,11 +117,23 @@ def test_anti_join_splits_a_hot_source_key(spark, settings, hot):
         F.when(F.col("id") % 3 == 0, -2).otherwise(F.col("id") * 2).alias("k")
     )
     missing = pa.anti_join(src, hot_target, ["k"])
-    assert "SortMergeJoin(skew=true)" in final_plan(missing)
+    assert ("SortMergeJoin(skew=true)" in final_plan(missing)) == (hot is not None)
     targets = {i * 2 for i in range(100_000) if i % 3}
     assert missing.count() == 100_000 + sum(i % 3 > 0 and i not in targets for i in range(300_000))
 
 
+def test_anti_join_spreads_null_keys_without_adaptive_execution(spark, settings):
+    settings(autoBroadcastJoinThreshold="-1", shuffle__partitions="32", adaptive__enabled="false")
+    src = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.col("id").cast("string").alias("v")
+    )
+    missing = pa.anti_join(src, spark.range(10).select(F.col("id").alias("k")), ["k"])
+    sizes = missing.where("k is null").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 32 and sum(r["count"] for r in sizes) == 20_000
+    assert max(r["count"] for r in sizes) < 1_000
+    assert missing.columns == ["k", "v"] and missing.count() == 60_000 - 6
+
+
 def test_anti_join_shares_a_small_target(spark):
     text = final_plan(registry.QUERIES["anti_join"](spark, SF_DIR))
     assert "BroadcastHashJoin" in text and "LeftAnti" in text

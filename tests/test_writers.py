@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import partition_audit as pa
+from partition_audit.sources import writers
 from tests.conftest import COLUMNS, DAY, rows_of
 
 TEMP = f"{DAY}-temp"
@@ -100,6 +101,38 @@ def test_move_renames_files(spark, stored):
     assert sorted(r.ds for r in pa.partition_values(spark, stored[0]).collect()) == [OTHER, "2026-03-10"]
 
 
+@pytest.mark.parametrize("step", [1, 2, 3])
+@pytest.mark.parametrize("crash", [False, True])
+def test_move_that_fails_loses_nothing(spark, stored, monkeypatch, step, crash):
+    """An error at any step, or a process that dies there: no rename or deletion runs after it."""
+    target, fmt = stored
+    done = []
+
+    def failing(act):
+        def run(*args):
+            done.append(act)
+            if len(done) == step or (crash and len(done) > step):
+                raise OSError("no storage")
+            return act(*args)
+
+        return run
+
+    with monkeypatch.context() as broken:
+        for name in ("_rename_partition", "remove_partition"):
+            broken.setattr(writers, name, failing(getattr(writers, name)))
+        with pytest.raises(OSError):
+            pa.copy_partition(spark, target, OTHER, DAY, drop_source=True, fmt=fmt)
+    held = counts(spark, stored)
+    assert sorted(held.values()) == ([2, 3])
+    moved = step == 3
+    assert pa.recover_partition(spark, target, DAY) == (moved or (crash and step == 2))
+    assert not pa.recover_partition(spark, target, DAY)
+    assert counts(spark, stored) == ({DAY: 2} if moved else {DAY: 3, OTHER: 2})
+    if not moved:
+        pa.copy_partition(spark, target, OTHER, DAY, drop_source=True, fmt=fmt)
+        assert counts(spark, stored) == {DAY: 2}
+
+
 @pytest.mark.parametrize("drop_source", [True, False])
 def test_copy_of_a_missing_partition_is_refused(spark, stored, drop_source):
     before = counts(spark, stored)
@@ -202,6 +235,28 @@ def test_schema_change(spark, stored):
     assert counts(spark, stored) == {DAY: 2, OTHER: 2}
 
 
+def test_schema_change_gives_the_old_table_its_name_back(spark, stored, monkeypatch):
+    target, _ = stored
+    if "/" in target:
+        pytest.skip("catalog tables only")
+    run = type(spark).sql
+
+    def failing(session, text, *args, **kwargs):
+        if text.startswith(f"ALTER TABLE {target}__after RENAME"):
+            raise OSError("no catalog")
+        return run(session, text, *args, **kwargs)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(type(spark), "sql", failing)
+        with pytest.raises(OSError):
+            pa.change_schema(spark, target, rename={"amount": "total_amount"})
+    assert spark.table(target).columns == [*COLUMNS, "ds"]
+    assert counts(spark, stored) == {DAY: 3, OTHER: 2}
+    assert not any(spark.catalog.tableExists(f"{target}{end}") for end in ("__before", "__after"))
+    pa.change_schema(spark, target, rename={"amount": "total_amount"})
+    assert counts(spark, stored) == {DAY: 3, OTHER: 2}
+
+
 def test_values_unfit_for_ddl_are_refused(spark, stored):
     for change in (pa.remove_partition, pa.add_partition):
         with pytest.raises(ValueError, match="unsupported"):
