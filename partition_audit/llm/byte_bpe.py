@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.shared import bounded_batches, give_back_memory, some_text
+from partition_audit.llm.shared import bounded_batches, free_name, give_back_memory, some_text
 
 LONG_WORD = 256
 # Words of a slice, and places of words merged side by side; both take some tens of megabytes.
@@ -184,10 +184,13 @@ def encode_words(ranks: Ranks, words: pa.Array) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """`docs` with the column `ids`: the token ids as little-endian unsigned 32-bit integers."""
+    """`docs` with the column `ids`: the token ids as little-endian unsigned 32-bit integers.
+
+    It replaces a column of that name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kept = [f"`{c}`" for c in docs.columns]
-    split = bounded_batches(docs).select(*kept, pattern_words(some_text(), pattern).alias("__words"))
+    kept = [f"`{c}`" for c in docs.columns if c.lower() != "ids"]
+    split = bounded_batches(docs).select(*kept, pattern_words(some_text(), pattern).alias(free_name(docs, "words")))
     schema = docs.select(*kept, F.lit(b"").alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +225,12 @@ def _arrow_names(schema: pa.Schema, last: str) -> pa.Schema:
 
 
 def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
-    """`coded` with the column `decoded`: the bytes that the column `ids` stands for."""
+    """`coded` with the column `decoded`: the bytes that the column `ids` stands for.
+
+    It replaces a column of that name; NULL ids stand for no bytes.
+    """
     shared = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path).tokens)
-    others = [f"`{c}`" for c in coded.columns if c != "ids"]
+    others = [f"`{c}`" for c in coded.columns if c.lower() not in ("ids", "decoded")]
     schema = coded.select(*others, "ids", F.lit(b"").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partition_audit.llm.shared import some_text
+from partition_audit.llm.shared import free_name, some_text
 
 WINDOW = 10
 BROADCAST_BYTES = 256 << 20
@@ -139,31 +139,31 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = WINDOW
 ) -> DataFrame:
     """`docs` without contaminated documents, or without the words of the hits (`remove="spans"`)."""
+    own, its, found = (free_name(docs, name) for name in ("row_key", "hit_key", "hit_spans"))
     hits = (
         window_hits(docs, benchmark, size)
         .where("n_hit > 0")
-        .select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans")
-        .withColumnRenamed("spans", "hit_spans")
+        .select(F.struct(F.col("doc_id"), F.col("text_key")).alias(its), F.col("spans").alias(found))
     )
-    same_row = F.col("__key").eqNullSafe(F.struct(F.col("hit_id"), F.col("hit_key")))
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").alias("hit_id"), _text_key().alias("hit_key")))
+    keyed = docs.withColumn(own, F.struct(F.col("doc_id"), _text_key().alias("text_key")))
+    same_row = F.col(own).eqNullSafe(F.col(its))
     if remove == "documents":
         return keyed.join(hits, same_row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if remove != "spans":
         raise ValueError("remove must be 'documents' or 'spans'")
-    cleaned = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(_without_spans())
+    cleaned = F.when(F.col(found).isNull(), F.col("text")).otherwise(_without_spans(found))
     joined = keyed.join(hits, same_row, "left")
     return joined.select(*[cleaned.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
-def _without_spans() -> Column:
+def _without_spans(spans: str) -> Column:
     """The text without hit words and without what stands between two hit words."""
     pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
     # Words and separators alternate, so a piece's place tells its word number.
     lead = F.when(F.size(words(F.element_at(pieces, 1))) == 0, 1).otherwise(0)
 
     def hit(word: Column) -> Column:
-        return F.exists("hit_spans", lambda s: (word >= s["at"]) & (word < s["at"] + s["k"]))
+        return F.exists(spans, lambda s: (word >= s["at"]) & (word < s["at"] + s["k"]))
 
     def kept(piece: Column, i: Column) -> Column:
         place = i - lead

@@ -7,8 +7,8 @@ pieces of texts in different languages follow each other, so that switches insid
 Forward-backward gives each word's marginal probabilities; a document's are the means over its words
 with letters.
 
-The model is fitted on a bounded sample: about `SAMPLE_PER_LANGUAGE` labelled documents of each
-language, a stretch of at most `SAMPLE_CHARS` characters from each. Prediction reads whole texts.
+The model is fitted on a bounded sample: `SAMPLE_PER_LANGUAGE` different labelled texts of each
+language (all, if fewer), a stretch of at most `SAMPLE_CHARS` characters from each. Prediction reads whole texts.
 NULL texts and texts without a letter are `und` with score 0. Without labelled rows all are `und`.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partition_audit.llm.buffers import lowered, mixed, prefix_sums, span_hashes, text_buffer, word_spans
@@ -207,20 +207,26 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang); rows are chosen by hash, alike in every run."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    """A bounded sample of (text, lang) for every language; rows are chosen by hash, alike in every run.
+
+    Copies of a text count once, so a text of which a third of all rows are copies takes one place.
+    """
+    hashed = F.xxhash64("text", "lang")
+    distinct = F.approx_count_distinct(hashed).alias("n")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(distinct).collect()}
     if not counts:
         return []
     spread, rate = 1 << 30, F.lit(0)
     for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * SAMPLE_PER_LANGUAGE / n) * spread)).otherwise(rate)
-    hashed = F.xxhash64("text", "lang")
+        rate = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * SAMPLE_PER_LANGUAGE / n) * spread)).otherwise(rate)
     at = F.pmod(hashed, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
     rows = (
         labelled.where(F.pmod(F.xxhash64(hashed), F.lit(spread)) < rate)
-        .select(hashed.alias("h"), F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("piece"), "lang")
+        .select("lang", hashed.alias("h"), F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("piece"))
+        .distinct()
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece")))
+        .where(F.col("place") <= SAMPLE_PER_LANGUAGE)
         .orderBy("h", "piece", "lang")
-        .limit(2 * SAMPLE_PER_LANGUAGE * len(counts))
         .collect()
     )
     return [(r["piece"], r["lang"]) for r in rows]

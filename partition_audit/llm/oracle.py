@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,22 +25,57 @@ for _pattern, _put in (
     ("<[^>]*>", "''"),
 ):
     _WARC_TEXT = f"regexp_replace({_WARC_TEXT}, '{_pattern}', {_put}, 'g')"
-for _reference, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
-    _WARC_TEXT = f"replace({_WARC_TEXT}, '&{_reference};', '{_sign}')"
-_WARC_TEXT = f"regexp_replace({_WARC_TEXT}, '[ \\t\\r]+', ' ', 'g')"
-_WARC_TEXT = f"trim(regexp_replace({_WARC_TEXT}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_SPACE = "[ \\t\\r\\n\\f]"
+_NAMES = f"MAP([{', '.join(map(_text, html5))}], [{', '.join(map(_text, html5.values()))}])"
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)|[^&]+|&"
+# References to 128-159 stand for the characters of Windows-1252.
+_WINDOWS = _text("".join(unescape(f"&#{n};") or "?" for n in range(128, 160)))
+
+
+def _character(digits: str) -> str:
+    n = f"coalesce(TRY_CAST({digits} AS BIGINT), 1114112)"
+    return f"""CASE WHEN {n} = 0 OR {n} BETWEEN 55296 AND 57343 OR {n} > 1114111 THEN chr(65533)
+        WHEN {n} BETWEEN 128 AND 159 THEN substr({_WINDOWS}, CAST({n} AS INT) - 127, 1)
+        WHEN {n} BETWEEN 1 AND 8 OR {n} IN (11, 127) OR {n} BETWEEN 14 AND 31 OR {n} BETWEEN 64976 AND 65007 OR {n} % 65536 >= 65534 THEN ''
+        ELSE chr(CAST({n} AS INT)) END"""
+
+
+def _decoded(text: str) -> str:
+    """`text` with its character references decoded; `m` holds the named ones."""
+    longest = "list_filter(range(len(x) - 2, 1, -1), lambda k: map_contains(m, substr(x, 2, k)))[1]"
+    return f"""array_to_string(list_transform(regexp_extract_all({text}, '{_REFERENCE}'), lambda x: CASE
+        WHEN x[1] <> '&' OR x = '&' THEN x
+        WHEN lower(x[1:3]) = '&#x' THEN {_character("'0x' || rtrim(substr(x, 4), ';')")}
+        WHEN x[1:2] = '&#' THEN {_character("rtrim(substr(x, 3), ';')")}
+        WHEN map_contains(m, substr(x, 2)) THEN m[substr(x, 2)]
+        ELSE coalesce(m[substr(x, 2, {longest})] || substr(x, 2 + {longest}), x) END), '')"""
+
+
+_WARC_EVEN = f"regexp_replace(replace({_decoded('bare')}, chr(160), ' '), '[ \\t\\r]+', ' ', 'g')"
+_WARC_EVEN = f"trim(regexp_replace({_WARC_EVEN}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+_WARC_LINKS = f"""list_transform(regexp_extract_all(
+    regexp_replace(p, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'),
+    '(?i)<a{_SPACE}(?:[^>]*?{_SPACE})?href{_SPACE}*={_SPACE}*("[^"]*"|''[^'']*''|[^ \\t\\r\\n\\f"''>]+)', 1),
+    lambda v: regexp_replace(v, '^["'']|["'']$', '', 'g'))"""
 _EOL = "chr(13) || chr(10)"
 
 
 def _field(name: str, value: str) -> str:
-    return f"'{name}: ' || regexp_replace({value}, '\\s+', ' ', 'g') || {_EOL}"
+    return f"'{name}: ' || trim(regexp_replace({value}, '{_SPACE}+', ' ', 'g'), ' ') || {_EOL}"
 
 
 _WARC_FIELDS = " || ".join(
     [
-        _field("title", "regexp_extract(p, '(?is)<title>(.*?)</title>', 1)"),
+        _field("title", _decoded("regexp_extract(p, '(?is)<title>(.*?)</title>', 1)")),
         _field("language", "regexp_extract(p, '(?is)<html[^>]*lang=\"([^\"]*)\"', 1)"),
-        _field("outlinks", "CAST(len(regexp_extract_all(p, '(?i)<a[^>]*href=')) AS VARCHAR)"),
+        _field("outlinks", "CAST(len(links) AS VARCHAR)"),
+        f"array_to_string(list_transform(links, lambda v: {_field('outlink', _decoded('v'))}), '')",
         _field("payload-length", "CAST(strlen(p) AS VARCHAR)"),
     ]
 )
@@ -75,7 +113,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
     "op8_warc_derivatives": f"""
-        WITH r AS (SELECT {_uuid("'response|' || CAST(page_id AS VARCHAR)")} AS rid, url, coalesce(html, '') AS p, {_WARC_TEXT} AS plain FROM pages),
+        WITH names AS MATERIALIZED (SELECT {_NAMES} AS m),
+        page AS (SELECT {_uuid("'response|' || CAST(page_id AS VARCHAR)")} AS rid, url, coalesce(html, '') AS p, {_WARC_TEXT} AS bare
+                 FROM pages WHERE page_id IS NOT NULL),
+        r AS (SELECT rid, url, p, m, {_WARC_EVEN} AS plain, {_WARC_LINKS} AS links FROM page, names),
         made AS (SELECT rid, url, p, 'metadata' AS type, 'application/warc-fields' AS content_type, {_WARC_FIELDS} AS block FROM r
                  UNION ALL SELECT rid, url, p, 'conversion', 'text/plain', plain FROM r),
         rec AS (SELECT {_uuid("rid || '|' || type")} AS record_id, type, rid AS refers_to, url AS target_uri,

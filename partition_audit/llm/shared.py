@@ -72,3 +72,11 @@ def text_bytes(docs: DataFrame) -> int:
 def some_text(column: str = "text"):
     """The text, with NULL as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with underscores before it until no column of `df` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

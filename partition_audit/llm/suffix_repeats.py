@@ -36,6 +36,8 @@ GRAM = 8
 BUCKET_BYTES = 1 << 20
 # Text whose runs are combined and packed together inside a task.
 PACK_BYTES = 16 << 20
+# A run holds up to 2 * least - GRAM bytes, and its size travels in one byte.
+LONGEST_LEAST = 131
 SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -157,6 +159,8 @@ def _parcel(parts: list[tuple], buckets: int) -> pa.RecordBatch:
 
 def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
     """Parcels of runs by bucket, and the stretches (doc, low, high) already known to be repeats."""
+    if not GRAM <= least <= LONGEST_LEAST:
+        raise ValueError(f"least must be between {GRAM} and {LONGEST_LEAST}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []

@@ -1,20 +1,29 @@
 """WARC derivative builder: metadata and plain-text conversion records of responses.
 
-Every response gives two WARC 1.1 records that point back to it: `metadata` (title, language, links and
-lengths as warc-fields) and `conversion` (the page's text). Both carry WARC-Refers-To with the
+Every response gives two WARC 1.1 records that point back to it: `metadata` (title, language, number of
+links, one `outlink` line per link as written in the page, length of the payload, as warc-fields) and `conversion` (the page's text). Both carry WARC-Refers-To with the
 response's record id, the response's target URI, date and HTTP headers' content type as
 source headers, and digests of their own block and of the source payload. Record ids are derived from
 the response's id, so a rerun gives the same records.
 
-Everything is Spark SQL functions on single rows: no shuffle, and the output is as large as the text.
+Everything works on single rows: no shuffle, and the output is as large as the text. Markup goes by Spark
+SQL functions; character references (all named, decimal and hexadecimal ones of HTML) are decoded in
+Arrow batches once the markup is gone, so that a decoded `<` is text. Non-breaking spaces become spaces.
+Links are the href values of `a` elements outside scripts, styles and comments, empty ones included.
 NULL payloads count as empty, a NULL target URI leaves its header line out, and a response without a
 record id gives no derivatives, as nothing could refer to it. Repeated rows give repeated records.
 """
 
 from __future__ import annotations
 
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from partition_audit.llm.shared import bounded_batches
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -23,25 +32,45 @@ VERSION = "WARC/1.1"
 UNSEEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!doctype[^>]*>|<head.*?</head>"
 BREAKS = r"(?i)</(p|div|li|h[1-6]|tr|title|article|section|ul|ol|table)>|<br[^>]*>"
 TAGS = r"<[^>]*>"
-# The character references of XML and the non-breaking space. '&' comes last.
-REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+UNLINKED = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+SPACE = r"[ \t\r\n\f]"
+LINK = rf"""(?i)<a{SPACE}(?:[^>]*?{SPACE})?href{SPACE}*={SPACE}*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
+
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def decoded(pieces: pa.Array) -> pa.Array:
+    """Every text with its character references replaced by what they stand for."""
+    rows = [[unescape(t) if "&" in t else t for t in row] for row in pieces.to_pylist()]
+    return pa.array(rows, pa.list_(pa.string()))
 
-def plain_text(html: Column) -> Column:
+
+def without_markup(html: Column) -> Column:
     text = F.regexp_replace(html, UNSEEN, " ")
     text = F.regexp_replace(text, BREAKS, "\n")
-    text = F.regexp_replace(text, TAGS, "")
-    for reference, sign in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(sign))
-    text = F.regexp_replace(text, r"[ \t\r]+", " ")
+    return F.regexp_replace(text, TAGS, "")
+
+
+def even_lines(text: Column) -> Column:
+    text = F.regexp_replace(F.translate(text, "\u00a0", " "), r"[ \t\r]+", " ")
     return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def one_line(value: Column) -> Column:
+    return F.btrim(F.regexp_replace(value, f"{SPACE}+", " "), F.lit(" "))
+
+
+def links(html: Column) -> Column:
+    found = F.regexp_extract_all(F.regexp_replace(html, UNLINKED, " "), F.lit(LINK), F.lit(1))
+    return F.transform(found, lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
+
+
 def derived_id(*parts: Column | str) -> Column:
-    """A urn:uuid made of the parts' MD5."""
-    h = F.md5(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+    """A urn:uuid made of the parts' MD5; NULL if one of them is."""
+    texts = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    h = F.md5(F.concat(texts[0], *[x for t in texts[1:] for x in (F.lit("|"), t)]))
     cut = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
+    dashed = [x for part in cut[1:] for x in (F.lit("-"), part)]
+    return F.concat(F.lit("<urn:uuid:"), cut[0], *dashed, F.lit(">"))
 
 
 def digest(text: Column) -> Column:
@@ -55,17 +84,27 @@ def derivatives(responses: DataFrame) -> DataFrame:
     content_type, block_digest, block; `as_record` makes the WARC text of a row.
     """
     payload = F.coalesce("payload", F.lit(""))
-    source = responses.where("record_id is not null").select(
-        "record_id", "target_uri", "date", F.col("content_type").alias("source_content_type"), payload.alias("payload")
+    title = F.regexp_extract("payload", r"(?is)<title>(.*?)</title>", 1)
+    pieces = F.concat(F.array(without_markup(F.col("payload")), title), links(F.col("payload")))
+    source = (
+        bounded_batches(responses)
+        .where("record_id is not null")
+        .select("record_id", "target_uri", "date", F.col("content_type").alias("source_content_type"), payload.alias("payload"))
+        .withColumn("pieces", decoded(pieces))
     )
-    text = plain_text(F.col("payload"))
-    fields = [
-        ("title", F.regexp_extract("payload", r"(?is)<title>(.*?)</title>", 1)),
-        ("language", F.regexp_extract("payload", r"(?is)<html[^>]*lang=\"([^\"]*)\"", 1)),
-        ("outlinks", F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a[^>]*href="), F.lit(0))).cast("string")),
-        ("payload-length", F.octet_length("payload").cast("string")),
+    text = even_lines(F.element_at("pieces", 1))
+    outlinks = F.slice("pieces", 3, F.size("pieces"))
+
+    def line(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{name}: "), one_line(value), F.lit(CRLF))
+
+    lines = [
+        line("title", F.element_at("pieces", 2)),
+        line("language", F.regexp_extract("payload", r"(?is)<html[^>]*lang=\"([^\"]*)\"", 1)),
+        line("outlinks", F.size(outlinks).cast("string")),
+        F.array_join(F.transform(outlinks, lambda v: line("outlink", v)), ""),
+        line("payload-length", F.octet_length("payload").cast("string")),
     ]
-    lines = [F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"\s+", " "), F.lit(CRLF)) for name, value in fields]
     made = source.select(
         "record_id",
         "target_uri",

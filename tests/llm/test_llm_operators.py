@@ -386,7 +386,7 @@ def test_warc_records(spark, tmp_path):
     assert text.block == "Eins\nzwei &lt;\nl"
     assert text.block_digest == "sha256:" + hashlib.sha256(text.block.encode()).hexdigest()
     assert text.source_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
-    assert "title: T &amp; t\r\nlanguage: fr\r\noutlinks: 1\r\n" in found["<urn:uuid:1>", "metadata"].block
+    assert "title: T & t\r\nlanguage: fr\r\noutlinks: 1\r\noutlink: /q\r\npayload-length: " in found["<urn:uuid:1>", "metadata"].block
     warc.write_warc(records, str(tmp_path / "out"), "none")
     whole = "".join(p.read_bytes().decode() for p in (tmp_path / "out").glob("part-*"))
     assert whole.count("WARC/1.1\r\n") == 4 and whole.count("WARC-Refers-To: <urn:uuid:1>\r\n") == 2
