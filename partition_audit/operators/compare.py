@@ -23,7 +23,7 @@ rows of a changed key are put together.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,8 @@ PAIRINGS = ("one_to_one", "sql")
 
 # Copies of one row that a single task writes out before the rest is spread over other tasks.
 COPIES_PER_CHUNK = 10_000
+# Buckets of keys that `differing_buckets` may report to the driver.
+MOST_BUCKETS = 1 << 16
 # Parts of the target's key set during its first de-duplication.
 KEY_PARTS = 16
 # Parts over which source rows with a NULL in the key are spread.
@@ -217,6 +219,55 @@ def key_tally(sides: Sides) -> DataFrame:
     ).select("s", "t", "m", "mp")
 
 
+def checked_tally(sides: Sides, buckets: int) -> DataFrame:
+    """`key_tally` of one-to-one pairing without the values of rows in buckets of keys that are equal on both sides.
+
+    Keys are dealt to `buckets` buckets, and each side's rows of a bucket are summed up as two 64-bit hashes a row,
+    whatever their order. Where the sums are the same, so are the rows (but for a collision of both hashes), and only
+    the source's keys are grouped, for keys that repeat. The rows of all other buckets, and rows with a NULL in the
+    key, are compared in full. Nested values are not told apart by hashes; with such columns everything is compared.
+    """
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for f in sides.src.schema):
+        return key_tally(sides)
+    open_buckets = differing_buckets(sides, buckets)
+    if len(open_buckets) == buckets:
+        return key_tally(sides)
+    in_full = any_null(sides.keys) | _key_bucket(sides.keys, buckets).isin(open_buckets)
+    rest = replace(sides, src=sides.src.where(in_full), tgt=sides.tgt.where(in_full))
+    copies, wide = F.count(F.lit(1)), T.DecimalType(38, 0)
+    equal = sides.src.where(~in_full).groupBy(*sides.keys).agg(copies.alias("s"))
+    # Pairs (`mp`) are those of the literal join, which this way has no use for.
+    equal = equal.select("s", F.col("s").alias("t"), F.col("s").alias("m"), F.lit(None).cast(wide).alias("mp"))
+    return key_tally(rest).unionByName(equal)
+
+
+def differing_buckets(sides: Sides, buckets: int) -> list[int]:
+    """Buckets of keys whose rows differ between the sides; at most `buckets` numbers, whatever the tables' size."""
+    if not 1 <= buckets <= MOST_BUCKETS:
+        raise ValueError(f"between 1 and {MOST_BUCKETS} buckets of keys are possible")
+    # A hash skips NULLs, so each value is hashed on its own first: its place counts then.
+    values = [F.xxhash64(c) for c in [*sides.keys, *sides.cols]]
+    hashes = [F.xxhash64(F.lit(seed), *values) for seed in (1, 2)]
+    # Sums of halves: they stay in range up to two billion rows a bucket.
+    halves = [half for h in hashes for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.where(~any_null(sides.keys)).select(
+            _key_bucket(sides.keys, buckets).alias("bucket"),
+            F.lit(sign).cast("bigint").alias("n"),
+            *[(F.lit(sign) * half).alias(f"h{i}") for i, half in enumerate(halves)],
+        )
+
+    names = ["n", *[f"h{i}" for i in range(len(halves))]]
+    sums = side(sides.src, 1).unionByName(side(sides.tgt, -1)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+    differing = sums.where(reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names]))
+    return sorted(row["bucket"] for row in differing.select("bucket").collect())
+
+
+def _key_bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
 def diff_totals(pairing: str = "one_to_one") -> list[Column]:
     """Aggregates over `key_tally`, one per diff type."""
     s, t, m = F.col("s"), F.col("t"), F.col("m")

@@ -29,6 +29,11 @@ PART_V2 = """part_v2 AS (
   SELECT * REPLACE (CASE WHEN p_partkey % 10 = 0 THEN p_size + 5000000000 ELSE CAST(p_size AS BIGINT) END AS p_size)
   FROM part WHERE p_partkey % 7 <> 0
 )"""
+CUSTOMER_V2 = """customer_v2 AS (
+  SELECT * REPLACE (CASE WHEN c_custkey % 500 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal)
+  FROM customer WHERE c_custkey % 700 <> 0
+)"""
+CUSTOMER_VALUES = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 PART_VALUES = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
@@ -168,6 +173,15 @@ SELECT * FROM ev WHERE ds <> '2024-01-08' OR NOT coalesce(event_type = 'error',
 WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
 SELECT * FROM ev WHERE ds <> '2024-01-08-temp'
 UNION ALL SELECT event_id, user_id, event_type, value, props, '2024-01-08-temp' FROM ev WHERE ds = '2024-01-08'
+""",
+    "move_partition_drop_source": """
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+SELECT * FROM ev WHERE ds NOT IN ('2024-01-08', '2024-01-08-temp')
+UNION ALL SELECT event_id, user_id, event_type, value, props, '2024-01-08-temp' FROM ev WHERE ds = '2024-01-08'
+""",
+    "stored_partition": """
+WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
+SELECT * FROM ev WHERE ds = '2024-01-08'
 """,
     "drop_partition": """
 WITH ev AS (SELECT event_id, user_id, event_type, value, props, CAST(CAST(ts AS DATE) AS STRING) AS ds FROM events)
@@ -187,6 +201,11 @@ SELECT p_partkey, p_name, p_brand, p_type, p_size AS total_size, p_retailprice,
   CAST(NULL AS STRING) AS risk_level
 FROM part
 """,
+    "alter_table_cast": """
+SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size, CAST(p_partkey AS STRING) AS p_partkey) FROM part
+""",
+    "data_compare_checksums": f"WITH {CUSTOMER_V2}, typed AS ({_joined('customer', 'customer_v2', ['c_custkey'], CUSTOMER_VALUES)}) "
+    + _metrics("customer", "customer_v2", ["c_custkey"], True),
     "data_compare": f"WITH {ORDERS_V2}, typed AS ({_joined('orders', 'orders_v2', ['o_orderkey'], ORDER_VALUES)}) "
     + _metrics("orders", "orders_v2", ["o_orderkey"], True),
     "data_validation": """

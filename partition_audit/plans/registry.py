@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partition_audit import operators as op
-from partition_audit.plans.jobs import data_compare, data_validation
+from partition_audit.plans.jobs import data_compare, data_validation, open_partition
 from partition_audit.sources.files import partition_size
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +81,26 @@ def part_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return source, wider.where("p_partkey % 7 <> 0").withColumn("p_size", size), ["p_partkey"]
 
 
+def customer_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """`customer` and a copy of it that differs in few rows."""
+    source = table(spark, sf_dir, "customer")
+    balance = F.when(F.col("c_custkey") % 500 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    return source, source.where("c_custkey % 700 <> 0").withColumn("c_acctbal", balance), ["c_custkey"]
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of `events` written as ORC by day, below the session's checkpoint folder (local runs: a folder of their own)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='audit-')}"
+    path = f"{shared}/{uuid.uuid4().hex}"
+    # A day may hold a third of all rows, so days are not gathered in one task each.
+    events_by_day(spark, sf_dir).write.partitionBy("ds").orc(path)
+    return path
+
+
 def documents_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and their labels; NULL where a document has none."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -184,6 +206,14 @@ def _move_partition(spark, sf_dir):
     return op.move_partition(events_by_day(spark, sf_dir), DAY, TEMP_DAY)
 
 
+def _move_partition_drop_source(spark, sf_dir):
+    return op.move_partition(events_by_day(spark, sf_dir), DAY, TEMP_DAY, drop_source=True)
+
+
+def _stored_partition(spark, sf_dir):
+    return open_partition(spark, stored_events(spark, sf_dir), f"ds={DAY.replace('-', '')}")
+
+
 def _drop_partition(spark, sf_dir):
     return op.drop_partition(events_by_day(spark, sf_dir), DAY)
 
@@ -204,6 +234,15 @@ def _alter_table(spark, sf_dir):
     return op.evolve_schema(part, add={"risk_level": "string"}, rename={"p_size": "total_size"})
 
 
+def _alter_table_cast(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return op.evolve_schema(part, cast={"p_size": "bigint", "p_partkey": "string"})
+
+
+def _data_compare_checksums(spark, sf_dir):
+    return data_compare(*customer_versions(spark, sf_dir), checksum_buckets=1 << 14)
+
+
 def _data_compare(spark, sf_dir):
     return data_compare(*order_versions(spark, sf_dir))
 
@@ -243,11 +282,15 @@ QUERIES: dict[str, Query] = {
     "data_compare_repeated_keys": _data_compare_repeated_keys,
     "data_clean": _data_clean,
     "move_partition": _move_partition,
+    "move_partition_drop_source": _move_partition_drop_source,
+    "stored_partition": _stored_partition,
     "drop_partition": _drop_partition,
     "create_temp_partition": _create_temp_partition,
     "insert_values": _insert_values,
     "alter_table": _alter_table,
+    "alter_table_cast": _alter_table_cast,
     "data_compare": _data_compare,
+    "data_compare_checksums": _data_compare_checksums,
     "data_validation": _data_validation,
     "partition_inventory": _partition_inventory,
     "partition_size": _partition_size,
