@@ -59,17 +59,19 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
 
     Rows are told apart by id and text. `spans` are the sorted (at, k) of all hits, in words. The texts
     are read and split once: every row also sends a marker (place 0, no hash) past the probe, which
-    carries its word count.
+    carries its word count. (Not so where the set is too large to broadcast: see `_hits_by_shuffle`.)
     """
     grams = benchmark_grams(benchmark, size)
     facts = grams.agg(
         F.sort_array(F.collect_set("k")).alias("ks"),
         F.sum(F.octet_length("gram") + 64 + 24 * F.size("items")).alias("bytes"),
     ).first()
-    ks: Sequence[int] = facts["ks"]
-    gram_set = F.broadcast(grams) if (facts["bytes"] or 0) <= BROADCAST_BYTES else grams
+    find = _hits_by_broadcast if (facts["bytes"] or 0) <= BROADCAST_BYTES else _hits_by_shuffle
+    return find(docs, grams, facts["ks"]).withColumn("n_hit", _covered("spans"))
 
-    # Place 0 is the marker; then come the windows of each k.
+
+def _windows(docs: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """doc_id, text_key, w and, by place, at and wh: a window's first word and hash. Place 0 is a marker without them."""
     n, start, at, wh = F.size("w"), F.lit(1), F.lit(-1), F.lit(None).cast("bigint")
     for k in ks:
         end = start + F.greatest(n - k + 1, F.lit(0))
@@ -80,21 +82,28 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
     # Exploding an attribute keeps the words from being copied for every window. The outer form is used
     # since the plain one gets a filter on the array's size, pushed below the projections, that would
     # split the text anew.
-    windows = (
+    return (
         docs.select("doc_id", _text_key().alias("text_key"), words(some_text()).alias("w"))
         .select("doc_id", "text_key", "w", F.sequence(F.lit(0), start - 1).alias("places"))
         .select("doc_id", "text_key", "w", F.explode_outer("places").alias("i"))
         .select("doc_id", "text_key", "w", "i", at.alias("at"), wh.alias("wh"))
     )
-    same_words = F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ") == F.col("gram")
-    probed = windows.join(gram_set, (F.col("wh") == F.col("h")) & same_words, "left")
-    hit = F.col("h").isNotNull()
+
+
+def _same_words() -> Column:
+    return F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ") == F.col("gram")
+
+
+def _hits_by_broadcast(docs: DataFrame, grams: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """All in one pass: words stay where they are, and only hits and markers leave the task."""
+    probed = _windows(docs, ks).join(F.broadcast(grams), (F.col("wh") == F.col("h")) & _same_words(), "left")
+    hit, marker = F.col("h").isNotNull(), F.col("i") == 0
     return (
-        probed.where(hit | (F.col("i") == 0))
+        probed.where(hit | marker)
         .select(
             "doc_id",
             "text_key",
-            F.when(F.col("i") == 0, n).alias("n_words"),
+            F.when(marker, F.size("w")).alias("n_words"),
             F.when(hit, F.struct("at", "k")).alias("span"),
             "items",
         )
@@ -105,7 +114,41 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
             F.sort_array(F.collect_set("span")).alias("spans"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
-        .withColumn("n_hit", _covered("spans"))
+    )
+
+
+def _hits_by_shuffle(docs: DataFrame, grams: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """For benchmarks beyond the broadcast: windows travel as hashes, and words are compared afterwards.
+
+    A window goes through the join as (doc_id, text_key, at, wh), and rows without windows not at all. Windows that
+    occur more than once, or in repeated rows, are combined by document and hash before. Of the documents with
+    candidates the texts are fetched once, to keep the candidates whose words are the n-gram's.
+    """
+    key, held = ["doc_id", "text_key"], ["at", "k", "gram", "items"]
+    rows = docs.select("doc_id", _text_key().alias("text_key"), F.size(words(some_text())).alias("n"))
+    rows = rows.groupBy(*key).agg(F.count("n").alias("rows"), F.max("n").cast("bigint").alias("n_words"))
+    probes = _windows(docs, ks).where("i > 0").select(*key, "at", "wh")
+    found = probes.join(grams, F.col("wh") == F.col("h")).select(*key, F.struct(*held).alias("hit"))
+    found = found.groupBy(*key).agg(F.collect_set("hit").alias("hits"))
+    found = found.select(F.struct(*key).alias("its"), "hits")
+    texts = docs.select(F.struct("doc_id", _text_key().alias("text_key")).alias("own"), words(some_text()).alias("w"))
+    right = F.filter("hits", lambda x: F.array_join(F.slice("w", x["at"] + 1, x["k"]), " ") == x["gram"])
+    verified = (
+        texts.join(found, F.col("own").eqNullSafe(F.col("its")))
+        .select("own", right.alias("hits"))
+        .groupBy("own")
+        # Rows of one key have one text.
+        .agg(F.first("hits").alias("hits"))
+    )
+    spans = F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["k"].alias("k")))
+    joined = rows.join(verified, F.struct(*key).eqNullSafe(F.col("own")), "left")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        *key,
+        "rows",
+        "n_words",
+        F.sort_array(F.array_distinct(F.coalesce(spans, F.array().cast("array<struct<at:int,k:int>>")))).alias("spans"),
+        F.sort_array(F.coalesce(F.array_distinct(F.flatten("hits.items")), none)).alias("items"),
     )
 
 
