@@ -12,7 +12,10 @@ minimizers, so all occurrences of a string meet in one bucket, and every bucket
 
 Of runs that are equal inside a slice of a task only those of the smallest document travel; the others
 are known to be repeats there, so a passage of a third of all documents costs one run per slice.
-Buckets are as many as the text's size asks for. Where the longest repeats leave a run, they come out as
+Buckets are as many as the text's size asks for. Minimizers are counted in SLOTS slots beforehand, in a part of
+the documents; strings of slots that would fill a bucket (`HOT_BYTES`) are told apart by their second minimizer
+too, the smallest of another hash of their grams of other slots, which equal strings share as well. Results do not depend on
+which slots those are. Where the longest repeats leave a run, they come out as
 overlapping pieces, and their union is exact.
 
 NULL texts count as empty. Rows without an id neither remove nor lose anything. Rows repeated in whole
@@ -39,6 +42,11 @@ PACK_BYTES = 16 << 20
 # A run holds up to 2 * least - GRAM bytes, and its size travels in one byte.
 LONGEST_LEAST = 131
 SPREAD = np.uint64(0x9FB21C651E98DF25)
+# Slots that minimizers are counted in, the part of the documents they are counted in, and the bytes a slot may hold.
+SLOTS = 1 << 20
+COUNTED_PART = 16
+HOT_BYTES = 4 << 20
+SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -62,13 +70,31 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def runs_of(data: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first string, number of strings, text number, minimizer) of every run."""
+def slot_of(minimizer: np.ndarray) -> np.ndarray:
+    return (mixed(minimizer ^ SECOND) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def runs_of(
+    data: np.ndarray, places: np.ndarray, least: int, hot: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, number of strings, text number, minimizer) of every run.
+
+    Strings of `hot` slots (a flag per slot) have a mix of both minimizers in place of the first.
+    """
     width = least - GRAM + 1
     h = gram_hashes(data)
     if len(h) < width:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     low = window_minima(h, width)
+    if hot is not None:
+        # Neighbours mostly share their minimizer, so slots are looked up once per change.
+        change = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        crowded = np.repeat(hot[slot_of(low[change])], np.diff(np.append(change, len(low))))
+        if crowded.any():
+            # Grams of hot slots are no second minimizers: the first would often be the second too.
+            second = np.where(hot[slot_of(h)], np.uint64(2**64 - 1), mixed(h * SECOND))
+            second = window_minima(second, width)
+            low = np.where(crowded, mixed(low ^ mixed(second)), low)
     inside = np.zeros(len(low), bool)
     size = np.diff(places)
     text = np.flatnonzero(size >= least)
@@ -157,10 +183,36 @@ def _parcel(parts: list[tuple], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*parcels, *stretches], ["bucket", "blob", "size", "n", "doc", "low", "high"])
 
 
+def hot_slots(docs: DataFrame, least: int) -> np.ndarray | None:
+    """Flags of the slots whose runs would hold more than HOT_BYTES, by every COUNTED_PART-th document; None without any.
+
+    Only sums per slot leave the tasks, and SLOTS numbers at most reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in bounded_slices(batches):
+            data, places = text_buffer(batch.column("text"))
+            _, n, _, low = runs_of(data, places, least)
+            slots, at = np.unique(np.concatenate([slots, slot_of(low)]), return_inverse=True)
+            sizes = np.bincount(at, np.concatenate([sizes, n + least - 1]), len(slots)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(sizes)], ["slot", "bytes"])
+
+    part = docs.where(f"doc_id is not null and text is not null and pmod(xxhash64(doc_id, 'part'), {COUNTED_PART}) = 0")
+    sums = part.select("text").mapInArrow(count, "slot bigint, bytes bigint").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+    found = sums.where(F.col("bytes") * COUNTED_PART > HOT_BYTES).select("slot").toArrow()["slot"].to_numpy()
+    if not len(found):
+        return None
+    flags = np.zeros(SLOTS, bool)
+    flags[found] = True
+    return flags
+
+
 def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
     """Parcels of runs by bucket, and the stretches (doc, low, high) already known to be repeats."""
     if not GRAM <= least <= LONGEST_LEAST:
         raise ValueError(f"least must be between {GRAM} and {LONGEST_LEAST}")
+    shared = docs.sparkSession.sparkContext.broadcast(hot_slots(docs, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -168,7 +220,7 @@ def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
         for batch in bounded_slices(batches):
             data, places = text_buffer(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
-            first, count, text, low = runs_of(data, places, least)
+            first, count, text, low = runs_of(data, places, least, shared.value)
             end = first + count + least - 1
             left = np.where(first > places[text], data[first - 1] if len(first) else first, 256).astype(np.uint16)
             h = span_hashes(prefix_sums(data), first, end)
