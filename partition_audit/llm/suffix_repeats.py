@@ -45,7 +45,7 @@ SPREAD = np.uint64(0x9FB21C651E98DF25)
 # Slots that minimizers are counted in, the part of the documents they are counted in, and the bytes a slot may hold.
 SLOTS = 1 << 20
 COUNTED_PART = 16
-HOT_BYTES = 4 << 20
+HOT_BYTES = 8 << 20
 SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -87,14 +87,7 @@ def runs_of(
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     low = window_minima(h, width)
     if hot is not None:
-        # Neighbours mostly share their minimizer, so slots are looked up once per change.
-        change = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        crowded = np.repeat(hot[slot_of(low[change])], np.diff(np.append(change, len(low))))
-        if crowded.any():
-            # Grams of hot slots are no second minimizers: the first would often be the second too.
-            second = np.where(hot[slot_of(h)], np.uint64(2**64 - 1), mixed(h * SECOND))
-            second = window_minima(second, width)
-            low = np.where(crowded, mixed(low ^ mixed(second)), low)
+        low = _told_apart(h, low, width, hot)
     inside = np.zeros(len(low), bool)
     size = np.diff(places)
     text = np.flatnonzero(size >= least)
@@ -114,6 +107,27 @@ def runs_of(
     return first, count, np.searchsorted(places, first, "right") - 1, low[first]
 
 
+def _told_apart(h: np.ndarray, low: np.ndarray, width: int, hot: np.ndarray) -> np.ndarray:
+    """`low`, with a mix of first and second minimizer where a string's slot is hot.
+
+    Grams of hot slots are no second minimizers: the first would often be the second too.
+    """
+    # Neighbours mostly share their minimizer, so slots are looked up once per change.
+    change = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    crowded = hot[slot_of(low[change])]
+    if not crowded.any():
+        return low
+    begin, n = change[crowded], np.diff(np.append(change, len(low)))[crowded]
+    # The grams of each stretch of strings, one stretch after another; minima across two of them are passed over.
+    grams = h[_ragged(begin, n + width - 1)]
+    second = window_minima(np.where(hot[slot_of(grams)], np.uint64(2**64 - 1), mixed(grams * SECOND)), width)
+    at = np.cumsum(n + width - 1) - (n + width - 1)
+    place = _ragged(begin, n)
+    low = low.copy()
+    low[place] = mixed(low[place] ^ mixed(second[_ragged(at, n)]))
+    return low
+
+
 def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places of the given stretches, one after another."""
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
