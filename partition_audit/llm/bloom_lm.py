@@ -22,7 +22,7 @@ counts are 0. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from partition_audit.llm.buffers import (
     text_buffer,
     word_spans,
 )
-from partition_audit.llm.shared import bounded_batches, some_text, written
+from partition_audit.llm.shared import bounded_batches, give_back_memory, some_text, written
 
 BITS_PER_TOKEN = 8
 PROBES = 5
@@ -76,15 +76,27 @@ def pair_hash(previous: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mixed(previous * PAIR + token)
 
 
-def token_counts(training: DataFrame) -> DataFrame:
-    """(h, c) of every token."""
+def per_slice(
+    work: Callable[[pa.RecordBatch], list[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work` on slices of bounded size; what its arrays took is given back after each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_slices(batches):
-            h, c = np.unique(token_hashes(batch.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            yield from work(batch)
+            give_back_memory()
+
+    return run
+
 
-    return training.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+def token_counts(training: DataFrame) -> DataFrame:
+    """(h, c) of every token."""
+
+    def count(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        h, c = np.unique(token_hashes(batch.column(0))[0], return_counts=True)
+        return [pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])]
+
+    return training.select("text").mapInArrow(per_slice(count), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
@@ -165,15 +177,15 @@ PARCEL = "shard int, block bigint, blob binary, n bigint"
 def build_filter(training: DataFrame, counts: DataFrame, layout: Layout) -> DataFrame:
     """(shard, block, bits): the filter in blocks, each made by one task."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_slices(batches):
-            tokens, ends = token_hashes(batch.column(0))
-            previous = _before(tokens, ends)
-            shard = layout.shard(previous)
-            for s in range(layout.shards):
-                mine = shard == np.uint64(s)
-                h, c = np.unique(pair_hash(previous[mine], tokens[mine]), return_counts=True)
-                yield _parcels(s, list(_packed(layout.block(h), h, c)))
+    def pairs(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        tokens, ends = token_hashes(batch.column(0))
+        previous = _before(tokens, ends)
+        shard, parcels = layout.shard(previous), []
+        for s in range(layout.shards):
+            mine = shard == np.uint64(s)
+            h, c = np.unique(pair_hash(previous[mine], tokens[mine]), return_counts=True)
+            parcels.append(_parcels(s, list(_packed(layout.block(h), h, c))))
+        return parcels
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +194,14 @@ def build_filter(training: DataFrame, counts: DataFrame, layout: Layout) -> Data
             parts = list(_packed(layout.block(h), h, c))
             for s in range(layout.shards):
                 yield _parcels(s, parts)
+        give_back_memory()
 
     def fill(table: pa.Table) -> pa.Table:
+        bits = filled(table)
+        give_back_memory()
+        return pa.table({"shard": table["shard"][:1], "block": table["block"][:1], "bits": pa.array([bits], pa.binary())})
+
+    def filled(table: pa.Table) -> bytes:
         found = [_unpacked(blob, n) for blob, n in zip(table["blob"].to_pylist(), table["n"].to_pylist())]
         rest, counts = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         order = np.argsort(rest, kind="stable")
@@ -197,15 +215,9 @@ def build_filter(training: DataFrame, counts: DataFrame, layout: Layout) -> Data
                 bits[place] = True
             more = total >= 2**level
             rest, total, level = rest[more], total[more], level + 1
-        return pa.table(
-            {
-                "shard": table["shard"][:1],
-                "block": table["block"][:1],
-                "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-            }
-        )
+        return np.packbits(bits, bitorder="little").tobytes()
 
-    parcels = training.select("text").mapInArrow(pairs, PARCEL).union(counts.mapInArrow(words, PARCEL))
+    parcels = training.select("text").mapInArrow(per_slice(pairs), PARCEL).union(counts.mapInArrow(words, PARCEL))
     return parcels.groupBy("shard", "block").applyInArrow(fill, "shard int, block bigint, bits binary")
 
 
@@ -238,10 +250,13 @@ def _broadcast_pieces(blocks: DataFrame, layout: Layout, shard: int) -> list:
         last = min(first + PIECE_BLOCKS, layout.blocks)
         bits = np.zeros((last - first) * BLOCK_BYTES, np.uint8)
         mine = blocks.where((F.col("shard") == shard) & F.col("block").between(first, last - 1))
-        for row in mine.select("block", "bits").collect():
+        rows = mine.select("block", "bits").collect()
+        while rows:
+            row = rows.pop()
             at = (row["block"] - first) * BLOCK_BYTES
             bits[at : at + BLOCK_BYTES] = np.frombuffer(row["bits"], np.uint8)
         pieces.append(blocks.sparkSession.sparkContext.broadcast(bits))
+        give_back_memory()
     return pieces
 
 
@@ -276,24 +291,25 @@ def score_documents(docs: DataFrame, trains: Column, shard_bytes: int = SHARD_BY
     blocks = written(build_filter(training, counts, layout))
     space = float(n_all + n_words + 1)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         """Tokens that are not frequent: (ref, h, times)."""
-        for batch in bounded_slices(batches):
-            tokens, ends = token_hashes(batch.column("text"))
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            mine = _known_counts(common.value, tokens) < 0
-            order = np.lexsort((tokens[mine], owner[mine]))
-            h, own = tokens[mine][order], owner[mine][order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-            at = np.flatnonzero(new)
-            ref = batch.column("ref").to_numpy()[own[at]]
-            times = np.diff(np.append(at, len(h)))
-            yield pa.RecordBatch.from_arrays(
+        tokens, ends = token_hashes(batch.column("text"))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        mine = _known_counts(common.value, tokens) < 0
+        order = np.lexsort((tokens[mine], owner[mine]))
+        h, own = tokens[mine][order], owner[mine][order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        at = np.flatnonzero(new)
+        ref = batch.column("ref").to_numpy()[own[at]]
+        times = np.diff(np.append(at, len(h)))
+        return [
+            pa.RecordBatch.from_arrays(
                 [pa.array(ref), pa.array(h[at].view(np.int64)), pa.array(times, pa.int32())], ["ref", "h", "times"]
             )
+        ]
 
-    rest = rows.select("text", "ref").mapInArrow(rare, "ref bigint, h bigint, times int")
+    rest = rows.select("text", "ref").mapInArrow(per_slice(rare), "ref bigint, h bigint, times int")
     c = F.coalesce("c", F.lit(0))
     rest = (
         rest.join(counts, "h", "left")
@@ -330,37 +346,37 @@ def score_documents(docs: DataFrame, trains: Column, shard_bytes: int = SHARD_BY
 
 
 def _scorer(shared, common, layout: Layout, shard: int, space: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         bits = [piece.value for piece in shared]
-        for batch in bounded_slices(batches):
-            tokens, ends = token_hashes(batch.column("text"))
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            exact = _known_counts(common.value, tokens)
-            frequent = exact >= 0
-            base = np.bincount(owner[frequent], np.log10((exact[frequent] + 1) / space), batch.num_rows)
-            known = np.bincount(owner[frequent & (exact > 0)], minlength=batch.num_rows)
-
-            previous = _before(tokens, ends)
-            mine = np.flatnonzero(layout.shard(previous) == np.uint64(shard))
-            distinct, number = np.unique(np.concatenate([tokens[mine], previous[mine]]), return_inverse=True)
-            words = estimated_counts(bits, layout, distinct)
-            n_word, n_before = words[number[: len(mine)]], words[number[len(mine) :]]
-            pairs = estimated_counts(bits, layout, pair_hash(previous[mine], tokens[mine]))
-            p = (pairs + PRIOR * (n_word + 1) / space) / (np.maximum(n_before, pairs) + PRIOR)
-            score = np.bincount(owner[mine], np.log10(p), batch.num_rows)
-            size = pa.array(np.diff(ends), pa.int64(), mask=np.full(batch.num_rows, shard > 0))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    batch.column("trains"),
-                    batch.column("ref"),
-                    size,
-                    pa.array(known, pa.int64()),
-                    # Sums over no tokens come as whole numbers.
-                    pa.array(base, pa.float64()),
-                    pa.array(score, pa.float64()),
-                ],
-                ["doc_id", "trains", "ref", "n_tokens", "known", "base", "score"],
-            )
+        tokens, ends = token_hashes(batch.column("text"))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        exact = _known_counts(common.value, tokens)
+        frequent = exact >= 0
+        base = np.bincount(owner[frequent], np.log10((exact[frequent] + 1) / space), batch.num_rows)
+        known = np.bincount(owner[frequent & (exact > 0)], minlength=batch.num_rows)
+
+        previous = _before(tokens, ends)
+        mine = np.flatnonzero(layout.shard(previous) == np.uint64(shard))
+        distinct, number = np.unique(np.concatenate([tokens[mine], previous[mine]]), return_inverse=True)
+        words = estimated_counts(bits, layout, distinct)
+        n_word, n_before = words[number[: len(mine)]], words[number[len(mine) :]]
+        pairs = estimated_counts(bits, layout, pair_hash(previous[mine], tokens[mine]))
+        p = (pairs + PRIOR * (n_word + 1) / space) / (np.maximum(n_before, pairs) + PRIOR)
+        score = np.bincount(owner[mine], np.log10(p), batch.num_rows)
+        size = pa.array(np.diff(ends), pa.int64(), mask=np.full(batch.num_rows, shard > 0))
+        made = pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").cast(pa.int64()),
+                batch.column("trains"),
+                batch.column("ref"),
+                size,
+                pa.array(known, pa.int64()),
+                # Sums over no tokens come as whole numbers.
+                pa.array(base, pa.float64()),
+                pa.array(score, pa.float64()),
+            ],
+            ["doc_id", "trains", "ref", "n_tokens", "known", "base", "score"],
+        )
+        return [made]
 
-    return run
+    return per_slice(work)

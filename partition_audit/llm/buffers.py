@@ -84,10 +84,19 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
             for base in (_BASE, _BASE_INVERSE)
         )
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(data)], out=sums[1:])
+    sums[1:] = data
+    sums[1:] += np.uint64(1)
+    sums[1:] *= _powers[0][: len(data)]
+    np.cumsum(sums, out=sums)
     return sums
 
 
+def forget_powers() -> None:
+    """Drop the table that `prefix_sums` keeps, which is as long as the longest data so far."""
+    global _powers
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
 def span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes from begin to end; equal bytes have equal hashes in every batch."""
     h = (sums[end] - sums[begin]) * _powers[1][begin]
