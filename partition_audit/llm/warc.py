@@ -29,10 +29,11 @@ CRLF = "\r\n"
 VERSION = "WARC/1.1"
 
 # Blocks whose content is not text, tags that end a line, and what is left of markup.
-UNSEEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!doctype[^>]*>|<head.*?</head>"
-BREAKS = r"(?i)</(p|div|li|h[1-6]|tr|title|article|section|ul|ol|table)>|<br[^>]*>"
+# The angle bracket stands before the alternatives, so that they are tried only where there is one.
+UNSEEN = r"(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->|!doctype[^>]*>|head.*?</head>)"
+BREAKS = r"(?i)<(?:/(?:p|div|li|h[1-6]|tr|title|article|section|ul|ol|table)>|br[^>]*>)"
 TAGS = r"<[^>]*>"
-UNLINKED = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+UNLINKED = r"(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->)"
 SPACE = r"[ \t\r\n\f]"
 LINK = rf"""(?i)<a{SPACE}(?:[^>]*?{SPACE})?href{SPACE}*={SPACE}*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
 
@@ -51,8 +52,9 @@ def without_markup(html: Column) -> Column:
 
 
 def even_lines(text: Column) -> Column:
-    text = F.regexp_replace(F.translate(text, "\u00a0", " "), r"[ \t\r]+", " ")
-    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    # Single spaces and line ends that stay are not matched.
+    text = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r" [ \t\r]+|[\t\r][ \t\r]*", " ")
+    return F.btrim(F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def one_line(value: Column) -> Column:
@@ -61,7 +63,8 @@ def one_line(value: Column) -> Column:
 
 def links(html: Column) -> Column:
     found = F.regexp_extract_all(F.regexp_replace(html, UNLINKED, " "), F.lit(LINK), F.lit(1))
-    return F.transform(found, lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
+    quoted = lambda v: F.left(v, F.lit(1)).isin('"', "'")
+    return F.transform(found, lambda v: F.when(quoted(v), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
 
 
 def derived_id(*parts: Column | str) -> Column:
