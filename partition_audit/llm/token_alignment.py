@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,10 +46,16 @@ class Tokens:
     """One tokenizer: ids of texts, and the bytes and the number of bytes of every id."""
 
     encode: object
-    pieces: list[bytes]
+    pieces: np.ndarray
     lengths: np.ndarray
 
 
+def tokens(encode: object, pieces: list[bytes]) -> Tokens:
+    held = np.empty(len(pieces), object)
+    held[:] = pieces
+    return Tokens(encode, held, np.array([len(p) for p in pieces], np.int64))
+
+
 def byte_of_symbol() -> dict[str, int]:
     """The printable stand-in of every byte in byte-level vocabularies: Latin-1 letters stand for themselves, the
     other bytes follow from U+0100 on."""
@@ -92,7 +99,7 @@ def byte_level(path: str, pattern: str) -> Tokens:
                 return by_library(text)
 
         encode = by_ranks
-    return Tokens(lambda text: encode(" " + text), pieces, np.array([len(p) for p in pieces], np.int64))
+    return tokens(lambda text: encode(" " + text), pieces)
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +112,7 @@ def piece_level(path: str) -> Tokens:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         pieces.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Tokens(lambda text: model.encode(text, num_threads=1), pieces, np.array([len(p) for p in pieces], np.int64))
+    return tokens(lambda text: model.encode(text, num_threads=1), pieces)
 
 
 def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -113,6 +120,8 @@ def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     found = []
     i = j = 0
     n, m = len(a), len(b)
+    # Nothing equals the ends that are put after the last ones, so no slice goes beyond them.
+    a, b = [*a, -1], [*b, -2]
     while i < n and j < m:
         x, y = a[i], b[j]
         if x < y:
@@ -120,52 +129,52 @@ def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
         elif y < x:
             j += 1
         else:
-            run, step = 1, FIRST_PROBE
-            while a[i + run : i + run + step] == b[j + run : j + run + step] and i + run + step <= n and j + run + step <= m:
-                run += step
-                step *= 2
-            while step > 1:
-                step //= 2
-                if i + run + step <= n and j + run + step <= m and a[i + run : i + run + step] == b[j + run : j + run + step]:
-                    run += step
-            found.append((i, j, run))
-            i += run
-            j += run
+            first, shift = i, j - i
+            i += 1
+            # Most stretches are short: the first steps go one by one.
+            probed = i + FIRST_PROBE
+            while a[i] == b[i + shift]:
+                i += 1
+                if i == probed:
+                    step = FIRST_PROBE
+                    while a[i : i + step] == b[i + shift : i + shift + step]:
+                        i += step
+                        step *= 2
+                    while step > 1:
+                        step //= 2
+                        if a[i : i + step] == b[i + shift : i + shift + step]:
+                            i += step
+                    break
+            j = i + shift
+            found.append((first, first + shift, i - first))
     return found
 
 
-@dataclass(frozen=True)
-class Names:
-    """Decimal ids with the mark that follows them."""
-
-    comma: np.ndarray
-    last: np.ndarray
-
-
-def names(count: int, last: str) -> Names:
-    return Names(*(np.array([f"{i}{mark}" for i in range(count)], object) for mark in (",", last)))
+def names(count_a: int, count_b: int) -> np.ndarray:
+    """Decimal ids with the mark that follows them: A's before `,`, A's before `|`, B's before `,`, B's before `;`."""
+    return np.array([f"{i}{mark}" for count, marks in ((count_a, ",|"), (count_b, ",;")) for mark in marks for i in range(count)], object)
 
 
-def group_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, of_a: Names, of_b: Names) -> str:
+def group_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, named: np.ndarray, count_a: int, count_b: int) -> str:
     """`a1,a2|b1;a3|b2,b3`: the ids of every group, groups ending at the places `last_a` and `last_b`."""
-    out = np.empty(len(a) + len(b), object)
+    out = np.empty(len(a) + len(b), np.int64)
     size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
     at_a = np.arange(len(a)) + np.repeat(last_b + 1 - size_b, size_a)
     at_b = np.arange(len(b)) + np.repeat(last_a + 1, size_b)
-    out[at_a], out[at_b] = of_a.comma[a], of_b.comma[b]
-    out[at_a[last_a]], out[at_b[last_b]] = of_a.last[a[last_a]], of_b.last[b[last_b]]
-    return "".join(out.tolist())[:-1]
+    out[at_a], out[at_b] = a, b + 2 * count_a
+    out[at_a[last_a]] += count_a
+    out[at_b[last_b]] += count_b
+    return "".join(named[out].tolist())[:-1]
 
 
 def aligned(text: str, one: Tokens, two: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Ids of A and B and the places at which tokens of both end, or None without tokens."""
     if not text:
         return None
-    a, b = one.encode(text), two.encode(text)
+    a, b = (np.frombuffer(array("q", x.encode(text)), np.int64) for x in (one, two))
     whole = b" " + text.encode()
-    if b"".join(map(one.pieces.__getitem__, a)) != whole or b"".join(map(two.pieces.__getitem__, b)) != whole:
+    if b"".join(one.pieces[a].tolist()) != whole or b"".join(two.pieces[b].tolist()) != whole:
         return None
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
     runs = np.array(common_ends(np.cumsum(one.lengths[a]).tolist(), np.cumsum(two.lengths[b]).tolist()), np.int64)
     step = np.arange(runs[:, 2].sum()) - np.repeat(np.cumsum(runs[:, 2]) - runs[:, 2], runs[:, 2])
     return a, b, np.repeat(runs[:, 0], runs[:, 2]) + step, np.repeat(runs[:, 1], runs[:, 2]) + step
@@ -177,7 +186,8 @@ def _slices(docs: DataFrame, path_a: str, pattern: str, path_b: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = byte_level(path_a, pattern), piece_level(path_b)
-        of_a, of_b = names(len(one.pieces), "|"), names(len(two.pieces), ";")
+        counts_of = len(one.pieces), len(two.pieces)
+        named = names(*counts_of)
         nth = 0
         for batch in bounded_slices(batches, limit=PAIR_BYTES):
             figures, links = [], []
@@ -188,7 +198,7 @@ def _slices(docs: DataFrame, path_a: str, pattern: str, path_b: str) -> DataFram
                     links.append(np.zeros(0, np.int64))
                     continue
                 a, b, last_a, last_b = found
-                digest = hashlib.sha256(group_text(a, b, last_a, last_b, of_a, of_b).encode()).hexdigest()
+                digest = hashlib.sha256(group_text(a, b, last_a, last_b, named, *counts_of).encode()).hexdigest()
                 figures.append((len(a), len(b), len(last_a), digest))
                 links.append(a[last_a] << ID_BITS | b[last_b])
             pairs, place, counts = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
