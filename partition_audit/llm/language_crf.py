@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partition_audit.llm.buffers import lowered, mixed, prefix_sums, span_hashes, text_buffer, word_spans
+from partition_audit.llm.buffers import forget_powers, lowered, mixed, prefix_sums, span_hashes, text_buffer, word_spans
 from partition_audit.llm.shared import bounded_batches, give_back_memory, some_text
 
 BUCKETS = 1 << 18
@@ -31,6 +31,10 @@ CHAIN_WORDS = 64  # a text is labelled in chains of at most so many words
 BATCH_CHAINS = 128
 # Bytes of text labelled at a time; features and marginals take some hundred times as much.
 LABEL_BYTES = 1 << 19
+# Bytes of text hashed at a time.
+HASH_BYTES = 1 << 18
+# Words of the sample whose features are made at a time.
+FIT_WORDS = 1 << 13
 EPOCHS = 4
 RATE = 0.3
 UNKNOWN = "und"
@@ -102,12 +106,42 @@ def _chain_lengths(words_per_text: np.ndarray) -> np.ndarray:
     return lengths
 
 
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every word; sums are taken over `HASH_BYTES` at a time, or a longer word."""
+    parts, low = [np.zeros(0, np.uint64)], 0
+    while low < len(begin):
+        first = begin[low]
+        high = max(low + 1, int(np.searchsorted(end, first + HASH_BYTES, "right")))
+        sums = prefix_sums(data[first : end[high - 1]])
+        parts.append(span_hashes(sums, begin[low:high] - first, end[low:high] - first))
+        low = high
+    return np.concatenate(parts)
+
+
 def _distinct(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place of each distinct word, and every word's number among them."""
-    _, first, number = np.unique(span_hashes(prefix_sums(data), begin, end), return_index=True, return_inverse=True)
+    _, first, number = np.unique(_word_hashes(data, begin, end), return_index=True, return_inverse=True)
     return first, number
 
 
+def _gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the given words alone, and where each begins and ends there."""
+    size = end - begin
+    last = np.cumsum(size)
+    return data[np.repeat(begin - (last - size), size) + np.arange(size.sum())], last - size, last
+
+
+def _sorted_features(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' features, word by word, and where each word's begin; `FIT_WORDS` words at a time."""
+    parts, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for low in range(0, len(begin), FIT_WORDS):
+        mine = slice(low, low + FIT_WORDS)
+        words, buckets = word_features(*_gathered(data, begin[mine], end[mine]))
+        parts.append(buckets[np.argsort(words, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(words, minlength=len(begin[mine])))
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     languages = sorted(set(labels))
     label_of = {name: i for i, name in enumerate(languages)}
@@ -118,10 +152,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     if not len(begin):
         return model
     first, number = _distinct(data, begin, end)
-    words, buckets = word_features(data, begin[first], end[first])
-    order = np.argsort(words, kind="stable")
-    buckets = buckets[order]
-    feature_at = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(first)))])
+    buckets, feature_at = _sorted_features(data, begin[first], end[first])
+    give_back_memory()
     gold = np.array([label_of[x] for x in labels])[text]
 
     # Pieces of 4 to 20 words; a chain goes on in the same text or, one time in five, in another one.
@@ -235,7 +267,12 @@ def sample(labelled: DataFrame) -> list[tuple[str, str]]:
 def fit_language_model(labelled: DataFrame) -> Model:
     """From columns text and lang; rows without either do not count."""
     rows = sample(labelled.where("text is not null and lang is not null").select("text", "lang"))
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    model = fit([r[0] for r in rows], [r[1] for r in rows])
+    # The driver lives on after the fit.
+    del rows
+    forget_powers()
+    give_back_memory()
+    return model
 
 
 def language_of(docs: DataFrame, model: Model) -> Column:

@@ -210,8 +210,11 @@ def bucket_levels(docs: DataFrame, width: int) -> np.ndarray:
     counted = docs.select(some_text().alias("text")).mapInArrow(count, "block bigint, counts binary")
     summed = counted.repartition(COUNT_TASKS, "block").mapInArrow(add, "block bigint, levels binary")
     levels = np.zeros((BUCKETS // COUNT_BLOCK, COUNT_BLOCK), np.uint8)
-    for row in summed.collect():
+    rows = summed.collect()
+    for row in rows:
         levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    del rows
+    give_back_memory()
     return levels.ravel()
 
 
